@@ -28,10 +28,12 @@ def trailing_excess(bars: DataFrame, bench: DataFrame, horizon: int = 5, min_com
 
 def risk_return(te: DataFrame) -> DataFrame:
     """Per ticker mean, sample std of the trailing return and the out-performance rate (round 4)."""
+    from barlens.functions.series import round_half_away as r4
+
     return te.groupBy("ticker").agg(
-        F.round(F.avg("stock_return"), 4).alias("mean_return"),
-        F.round(F.stddev_samp("stock_return"), 4).alias("volatility"),
-        F.round(F.avg("outperforms"), 4).alias("outperf_rate"),
+        r4(F.avg("stock_return"), 4).alias("mean_return"),
+        r4(F.stddev_samp("stock_return"), 4).alias("volatility"),
+        r4(F.avg("outperforms"), 4).alias("outperf_rate"),
     )
 
 

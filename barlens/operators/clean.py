@@ -76,10 +76,14 @@ def ticker_subset(df: DataFrame, n: int, seed: int = 42, key: str = KEY) -> Data
 
 
 def bfill_features(df: DataFrame, cols, key: str = KEY) -> DataFrame:
-    """Backward fill per ticker (the reference default; it leaks later values into warm-up rows)."""
-    w = W(key).rowsBetween(0, Window.unboundedFollowing)
+    """Backward fill per ticker (the reference default; it leaks later values into warm-up rows).
+
+    Written as a running ``last(ignorenulls)`` in descending date order: Spark evaluates a growing
+    frame incrementally (O(n)), whereas a ``current row .. unbounded following`` frame is re-aggregated
+    for every row (O(n^2) per ticker)."""
+    w = Window.partitionBy(key).orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)
     cs = set(cols)
-    return df.select(*[F.first(c, ignorenulls=True).over(w).alias(c) if c in cs else F.col(c) for c in df.columns])
+    return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cs else F.col(c) for c in df.columns])
 
 
 def feature_null_ratio(df: DataFrame, cols, key: str | None = KEY) -> DataFrame:
@@ -104,19 +108,26 @@ def drop_sparse_features(df: DataFrame, cols, max_ratio: float = SPARSE_RATIO, k
     return df.select(*out)
 
 
-def median_impute(df: DataFrame, cols, key: str | None = KEY) -> DataFrame:
-    """Fill nulls with the exact per-ticker (or global) median of the column.
+def median_impute(df: DataFrame, cols, key: str | None = KEY, exact: bool = True,
+                  accuracy: int = 100000) -> DataFrame:
+    """Fill nulls with the per-ticker (or global) median of the column.
 
-    Per-ticker groups are bounded by the calendar (one row per date), so the exact percentile over
-    a ticker partition stays small; the global variant uses an aggregate joined back by broadcast.
+    Per-ticker groups are bounded by the calendar (one row per date), so the exact interpolated
+    percentile over a ticker partition stays small.  A global exact median keeps a value->count map
+    of the whole column in the final aggregate; pass ``exact=False`` for data-sized columns to use
+    the mergeable quantile sketch (``percentile_approx``) instead.
     """
     cs = set(cols)
     if key:
         w = Window.partitionBy(key)
         return df.select(*[F.coalesce(F.col(c), F.percentile(c, 0.5).over(w)).alias(c) if c in cs else F.col(c)
                            for c in df.columns])
+
+    def med(c):
+        return F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, accuracy)
+
     # one scalar subquery per column; Catalyst merges scalar subqueries over the same plan into one scan
-    return df.select(*[F.coalesce(F.col(c), df.select(F.percentile(c, 0.5)).scalar()).alias(c) if c in cs
+    return df.select(*[F.coalesce(F.col(c), df.select(med(c)).scalar()).alias(c) if c in cs
                        else F.col(c) for c in df.columns])
 
 

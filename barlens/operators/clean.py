@@ -123,12 +123,18 @@ def median_impute(df: DataFrame, cols, key: str | None = KEY, exact: bool = True
         return df.select(*[F.coalesce(F.col(c), F.percentile(c, 0.5).over(w)).alias(c) if c in cs else F.col(c)
                            for c in df.columns])
 
+    med = fit_medians(df, list(cols), exact, accuracy)
+    return df.select(*[F.coalesce(F.col(c), F.lit(med[c]).cast("double")).alias(c) if c in cs else F.col(c)
+                       for c in df.columns])
+
+
+def fit_medians(df: DataFrame, cols, exact: bool = True, accuracy: int = 100000) -> dict:
+    """Column medians in one aggregate pass (an Imputer-style fit: one number per column)."""
     def med(c):
         return F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, accuracy)
 
-    # one scalar subquery per column; Catalyst merges scalar subqueries over the same plan into one scan
-    return df.select(*[F.coalesce(F.col(c), df.select(med(c)).scalar()).alias(c) if c in cs
-                       else F.col(c) for c in df.columns])
+    row = df.agg(*[med(c).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+    return {c: row[f"m_{i}"] for i, c in enumerate(cols)}
 
 
 def inf_to_null(df: DataFrame, cols) -> DataFrame:

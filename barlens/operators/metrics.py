@@ -100,7 +100,10 @@ def calibration(scored: DataFrame, prob: str = "prob", label: str = "label", bin
     Per bin: count, mean confidence, accuracy of (p > .5) against the label."""
     conf = F.abs(F.col(prob) - 0.5) * 2.0
     t = scored.select(conf.alias("confidence"), ((F.col(prob) > 0.5).cast("int") == F.col(label)).cast("double").alias("hit"))
-    t = t.filter(F.col("confidence") < 1.0).select("*", F.floor(F.col("confidence") * bins).cast("int").alias("bin"))
+    # bin i holds i/bins <= confidence < (i+1)/bins, tested against the same boundary doubles
+    bounds = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    b = F.size(F.filter(bounds, lambda x: F.col("confidence") >= x))
+    t = t.filter(F.col("confidence") < 1.0).select("*", b.cast("int").alias("bin"))
     return t.groupBy("bin").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), F.avg("hit").alias("accuracy"))
 
 
@@ -122,7 +125,14 @@ def ks_drift(long: DataFrame, key: str = "feature", value: str = "value", sample
     s = d.groupBy(key, "n0", "n1").agg(F.max("gap").alias("ks_stat"))
     ne = (F.col("n0") * F.col("n1")).cast("double") / (F.col("n0") + F.col("n1")).cast("double")
     lam = (F.sqrt(ne) + 0.12 + 0.11 / F.sqrt(ne)) * F.col("ks_stat")
-    terms = F.transform(F.sequence(F.lit(1), F.lit(100)),
-                        lambda k: F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam))
-    pval = F.least(F.greatest(2.0 * F.aggregate(terms, F.lit(0.0), lambda a, v: a + v), F.lit(0.0)), F.lit(1.0))
+    # Kolmogorov survival function Q(lam): the alternating series converges fast for lam >= 1.18;
+    # below that use the equivalent theta-function form 1 - sqrt(2 pi)/lam * sum exp(-(2k-1)^2 pi^2 / (8 lam^2)).
+    ks = F.sequence(F.lit(1), F.lit(100))
+    big = 2.0 * F.aggregate(F.transform(ks, lambda k: F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam)),
+                            F.lit(0.0), lambda a, v: a + v)
+    small = 1.0 - math.sqrt(2.0 * math.pi) / lam * F.aggregate(
+        F.transform(ks, lambda k: F.exp(-((2 * k - 1) * (2 * k - 1)) * (math.pi * math.pi) / (8.0 * lam * lam))),
+        F.lit(0.0), lambda a, v: a + v)
+    q = F.when(lam <= 0, F.lit(1.0)).when(lam < 1.18, small).otherwise(big)
+    pval = F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))
     return s.select("*", pval.alias("p_value")).select("*", (F.col("p_value") < alpha).alias("drift"))

@@ -94,7 +94,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def evaluate(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     s = score(model, df).select(F.lit(name).alias("model_name"), F.col("prob").alias("score"),
-                                F.col(LABEL).alias("label"), "pred")
+                                F.col(LABEL).alias("label"), "pred").persist()
     a = roc_auc(s, keys=["model_name"]).select("model_name", "auc")
     c = class_metrics(s, keys=["model_name"]).select("model_name", "accuracy", "precision", "recall", "f1_score")
     return a.join(c, "model_name")

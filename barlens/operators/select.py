@@ -68,16 +68,21 @@ def mutual_info(df: DataFrame, features: list[str], label: str = "outperforms",
 
 def standardize(df: DataFrame, features: list[str], fit_filter=None) -> DataFrame:
     """(x - mean) / sigma with sigma of ddof 0 fitted on ``fit_filter`` rows (e.g. the train split);
-    sigma = 0 becomes 1.  Statistics are scalar subqueries (merged into one scan by Catalyst)."""
+    sigma = 0 becomes 1.
+
+    Fit/transform like MLlib's scaler: one aggregate pass computes every mean and sigma, the fitted
+    parameters (two numbers per feature) come back to the driver, and the transform is a projection
+    with literals -- no per-feature subquery re-running the input plan."""
     fit = df.filter(fit_filter) if fit_filter is not None else df
+    st = fit.agg(*[F.avg(c).alias(f"mu_{i}") for i, c in enumerate(features)],
+                 *[F.stddev_pop(c).alias(f"sd_{i}") for i, c in enumerate(features)]).first()
+    pos = {c: i for i, c in enumerate(features)}
     out = []
-    fs = set(features)
     for c in df.columns:
-        if c in fs:
-            mu = fit.select(F.avg(c)).scalar()
-            sd = fit.select(F.stddev_pop(c)).scalar()
-            sd = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-            out.append(((F.col(c) - mu) / sd).alias(c))
+        if c in pos:
+            mu, sd = st[f"mu_{pos[c]}"], st[f"sd_{pos[c]}"]
+            sd = 1.0 if sd is None or sd == 0 else sd
+            out.append(((F.col(c) - F.lit(mu)) / F.lit(sd)).alias(c) if mu is not None else F.col(c).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)
@@ -86,12 +91,14 @@ def standardize(df: DataFrame, features: list[str], fit_filter=None) -> DataFram
 def align_feature_columns(df: DataFrame, trained: list[str], keys: list[str]) -> DataFrame:
     """Project onto the trained column list in order: absent names become 0.0, extra columns are
     dropped, NULLs take the column's median (0.0 when the column has no value at all)."""
-    have = set(df.columns)
+    from barlens.operators.clean import fit_medians
+
+    have = [c for c in trained if c in df.columns]
+    med = fit_medians(df, have) if have else {}
     out = []
     for c in trained:
-        if c in have:
-            med = df.select(F.percentile(c, 0.5)).scalar()
-            out.append(F.coalesce(F.col(c).cast("double"), med, F.lit(0.0)).alias(c))
+        if c in med:
+            out.append(F.coalesce(F.col(c).cast("double"), F.lit(med[c]), F.lit(0.0)).alias(c))
         else:
             out.append(F.lit(0.0).alias(c))
     return df.select(*keys, *out)

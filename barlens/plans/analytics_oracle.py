@@ -246,7 +246,8 @@ O["pr_curve"] = _PR + "\n" + rounded("SELECT * FROM pr", keep="tp, fp")
 O["avg_precision"] = _PR + "\nSELECT round((sum(precision) + 1.0) / (count(*) + 1), 6) AS avg_precision FROM pr"
 O["calibration"] = SCORED + """,
 c AS (SELECT abs(prob - 0.5) * 2.0 AS confidence, CAST(CAST(prob > 0.5 AS INTEGER) = label AS DOUBLE) AS hit FROM sc0 WHERE split = 'test'),
-c2 AS (SELECT *, CAST(floor(confidence * 10) AS INTEGER) AS bin FROM c WHERE confidence < 1.0)
+c2 AS (SELECT *, CAST(""" + " + ".join(f"CAST(confidence >= CAST({i / 10!r} AS DOUBLE) AS INTEGER)" for i in range(1, 10)) + """ AS INTEGER) AS bin
+       FROM c WHERE confidence < 1.0)
 """ + rounded("SELECT bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(hit) AS accuracy FROM c2 GROUP BY bin", keep="bin, n")
 O["validate_predictions"] = SCORED + """
 SELECT ticker, date, pred AS predicted, label AS actual, pred = label AS correct FROM sc0 WHERE split = 'test'"""
@@ -268,8 +269,11 @@ cu AS (SELECT *, sum(c0) OVER w AS k0, sum(c1) OVER w AS k1, sum(c0) OVER (PARTI
 s AS (SELECT feature, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, max(abs(k0 / n0 - k1 / n1)) AS ks_stat FROM cu GROUP BY ALL),
 s2 AS (SELECT *, CAST(n0 * n1 AS DOUBLE) / CAST(n0 + n1 AS DOUBLE) AS ne FROM s),
 s3 AS (SELECT *, (sqrt(ne) + 0.12 + 0.11 / sqrt(ne)) * ks_stat AS lam FROM s2),
-s4 AS (SELECT feature, n0, n1, ks_stat, least(greatest(2.0 * list_reduce(list_transform(range(1, 101),
-          lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)), lambda a, v: a + v, CAST(0.0 AS DOUBLE)), 0.0), 1.0) AS p_value FROM s3)
+s4 AS (SELECT feature, n0, n1, ks_stat, least(greatest(CASE WHEN lam <= 0 THEN 1.0
+          WHEN lam < 1.18 THEN 1.0 - sqrt(2.0 * pi()) / lam * list_reduce(list_transform(range(1, 101),
+            lambda k: exp(-((2 * k - 1) * (2 * k - 1)) * (pi() * pi()) / (8.0 * lam * lam))), lambda a, v: a + v, CAST(0.0 AS DOUBLE))
+          ELSE 2.0 * list_reduce(list_transform(range(1, 101),
+            lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * lam * lam)), lambda a, v: a + v, CAST(0.0 AS DOUBLE)) END, 0.0), 1.0) AS p_value FROM s3)
 """ + rounded("SELECT *, p_value < 0.05 AS drift FROM s4", keep="feature, n0, n1, drift")
 
 # ---- registry / leaderboards

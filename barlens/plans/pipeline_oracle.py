@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barlens.plans.analytics_oracle import FEATURES, FRAME
+from barlens.plans.core_oracle import BB
 from barlens.plans.sqlkit import rounded
 
 O: dict[str, str] = {}
@@ -10,4 +12,10 @@ O["resample_bars"] = rounded("""SELECT event_type AS ticker, date_trunc('hour',
   CAST(count(*) AS DOUBLE) AS volume
 FROM events GROUP BY 1, 2""", keep="ticker, bar_start")
 
+# persistence round trips: what is read back equals what was written
+O["write_bars"] = BB + "\n" + rounded("SELECT * FROM bars")
+_F = ", ".join(FEATURES)
+O["write_processed"] = FRAME + "\n" + rounded(f"SELECT ticker, date, {_F} FROM frame")
+O["read_processed"] = FRAME + "\n" + rounded(f"SELECT ticker, date, {_F}, outperforms FROM frame", keep="ticker, date, outperforms")
+
 ORACLE = O

@@ -86,11 +86,13 @@ def latest_version(spark, sf):
 # ---- MLlib ------------------------------------------------------------------------------------------
 
 def ml_frame(spark, sf):
-    """Signal features, per-split median fill (sketch-based global median), train-fitted z-scores."""
-    f = signal_frame(spark, sf).select("ticker", "date", "close", "split", "outperforms", *FEATURES)
-    parts = []
-    for s in ("train", "val", "test"):
-        parts.append(CL.median_impute(f.filter(F.col("split") == s), FEATURES, key=None, exact=False))
+    """Signal features, per-split median fill (sketch-based medians), train-fitted z-scores.
+
+    The signal table is checkpointed to the shared checkpoint directory first: every fit and model
+    iteration then scans that file instead of re-running the bar/label lineage, and a lost executor
+    re-reads it instead of recomputing."""
+    f = signal_frame(spark, sf).select("ticker", "date", "close", "split", "outperforms", *FEATURES).checkpoint(eager=True)
+    parts = [CL.median_impute(f.filter(F.col("split") == s), FEATURES, key=None, exact=False) for s in ("train", "val", "test")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return SE.standardize(u, FEATURES, F.col("split") == "train")
 

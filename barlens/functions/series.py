@@ -155,6 +155,12 @@ def ema(x, span: int, key=KEY) -> Column:
     return F.when(seen(x, key) >= span, ewm_fold(x, 2.0 / (span + 1.0), key))
 
 
+def reuse(df, name: str, expr: Column) -> Column:
+    """``name`` when an earlier step already produced that exact column, else ``expr``: the merged
+    feature table then evaluates each shared window (e.g. the 20-row close SMA) once."""
+    return F.col(name) if name in df.columns else expr
+
+
 def round_half_away(x, digits: int = 6) -> Column:
     """round(x, digits) as std::round(x * 10^d) / 10^d (half away from zero on the scaled double).
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.series import CUM, corr_k, div, lag, pct, quantile_k, rsum, sma, std
+from barlens.functions.series import CUM, corr_k, div, lag, pct, quantile_k, reuse, rsum, sma, std
 
 CROSS_PAIRS = ((5, 10), (10, 20), (20, 50))
 REGIME_PERIODS = (20, 50)
@@ -20,7 +20,7 @@ TRADING_DAYS = 252
 def momentum_cross(df: DataFrame, pairs=CROSS_PAIRS) -> DataFrame:
     cols = []
     for fast, slow in pairs:
-        f, s = sma("close", fast), sma("close", slow)
+        f, s = reuse(df, f"sma_{fast}", sma("close", fast)), reuse(df, f"sma_{slow}", sma("close", slow))
         cols += [
             F.coalesce(f > s, F.lit(False)).cast("int").alias(f"momentum_cross_{fast}_{slow}"),
             div(f - s, s).alias(f"momentum_strength_{fast}_{slow}"),
@@ -34,7 +34,7 @@ def vol_regime(df: DataFrame, periods=REGIME_PERIODS, keep_existing: bool = True
     When a column of the same name already exists (the un-annualised price-family one), the existing
     column is kept (first definition wins) and the flag still uses the annualised value.
     """
-    t = df.select("*", pct("close", 1).alias("_r"))
+    t = df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_r"))
     t = t.select("*", *[(F.lit(math.sqrt(TRADING_DAYS)) * std("_r", w)).alias(f"_av{w}") for w in periods])
     flags = [
         F.coalesce(F.col(f"_av{w}") > quantile_k(f"_av{w}", REGIME_QUANTILE, REGIME_LOOKBACK), F.lit(False))
@@ -67,7 +67,7 @@ def volume_momentum(df: DataFrame) -> DataFrame:
 def mean_reversion(df: DataFrame, periods=MEAN_REVERSION_PERIODS) -> DataFrame:
     cols = []
     for p in periods:
-        s = sma("close", p)
+        s = reuse(df, f"sma_{p}", sma("close", p))
         cols += [div(F.col("close") - s, s).alias(f"mean_reversion_{p}"),
                  div(F.col("close") - s, std("close", p)).alias(f"price_zscore_{p}")]
     return df.select("*", *cols)
@@ -102,8 +102,8 @@ def adx(df: DataFrame, periods=ADX_PERIODS) -> DataFrame:
 
 
 def vol_regime_change(df: DataFrame) -> DataFrame:
-    t = df.select("*", pct("close", 1).alias("_r"))
-    return t.select("*", div(std("_r", 10), std("_r", 50)).alias("vol_regime_change")).drop("_r")
+    t = df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_r"))
+    return t.select("*", div(reuse(df, "volatility_10", std("_r", 10)), std("_r", 50)).alias("vol_regime_change")).drop("_r")
 
 
 def market_correlation(df: DataFrame, n: int = 60, against: str | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def market_correlation(df: DataFrame, n: int = 60, against: str | None = None) -
     With ``against=None`` this reproduces the reference, which correlates the returns with
     themselves (1.0 wherever the window has variance, NULL otherwise).
     """
-    t = df.select("*", pct("close", 1).alias("_r"))
+    t = df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_r"))
     other = against or "_r"
     return t.select("*", corr_k("_r", other, n).alias("market_correlation")).drop("_r")
 

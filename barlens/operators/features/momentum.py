@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.series import div, lag, pct, sma
+from barlens.functions.series import div, lag, pct, reuse, sma
 
 ROC_PERIODS = (10, 20)
 MOMENTUM_PERIODS = (5, 10, 20)
@@ -30,7 +30,7 @@ def acceleration(df: DataFrame, periods=ACCELERATION_PERIODS) -> DataFrame:
 def rs_sma(df: DataFrame, periods=TREND_PERIODS) -> DataFrame:
     cols = []
     for p in periods:
-        s = sma("close", p)
+        s = reuse(df, f"sma_{p}", sma("close", p))
         cols.append(div(F.col("close") - s, s).alias(f"rs_sma_{p}"))
     return df.select("*", *cols)
 

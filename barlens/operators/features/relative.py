@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.series import corr_k, cov_k, div, lag, pct, quantile_k, rsum, sma, std, var_k
+from barlens.functions.series import corr_k, cov_k, div, lag, pct, quantile_k, reuse, rsum, sma, std, var_k
 
 EXCESS_PERIODS = (5, 10, 20, 60)
 REL_VOL_PERIODS = (20, 60)
@@ -31,7 +31,7 @@ def returns(df: DataFrame) -> DataFrame:
     """Adds ``_s``, ``_b`` (daily returns) and ``_ex`` = s - b."""
     if "_s" in df.columns:
         return df
-    t = df.select("*", pct("close", 1).alias("_s"), pct("bclose", 1).alias("_b"))
+    t = df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_s"), pct("bclose", 1).alias("_b"))
     return t.select("*", (F.col("_s") - F.col("_b")).alias("_ex"))
 
 
@@ -72,7 +72,7 @@ def relative_strength(df: DataFrame, periods=STRENGTH_PERIODS) -> DataFrame:
     """relative_strength_{p}d and relative_ma_{p}d: (C/sma C)/(B/sma B) -- two names, one value."""
     cols = []
     for p in periods:
-        v = div(div("close", sma("close", p)), div("bclose", sma("bclose", p)))
+        v = div(div("close", reuse(df, f"sma_{p}", sma("close", p))), div("bclose", sma("bclose", p)))
         cols += [v.alias(f"relative_strength_{p}d"), v.alias(f"relative_ma_{p}d")]
     return df.select("*", *cols)
 

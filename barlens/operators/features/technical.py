@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions.series import (
-    CUM, R, W, div, ema, ewm_fold, full, lag, rmax, rmin, roll, seen, sma,
+    CUM, R, W, div, ema, ewm_fold, full, lag, reuse, rmax, rmin, roll, seen, sma,
 )
 
 # Fixed indicator parameters (defaults of the feature configuration).
@@ -55,7 +55,7 @@ def rsi(df: DataFrame, n: int = RSI_PERIOD) -> DataFrame:
 
 
 def bollinger(df: DataFrame, n: int = BB_PERIOD, k: float = BB_STD) -> DataFrame:
-    t = df.select("*", sma("close", n).alias("bb_middle"), roll(F.stddev_pop, "close", n).alias("_sd"))
+    t = df.select("*", reuse(df, f"sma_{n}", sma("close", n)).alias("bb_middle"), roll(F.stddev_pop, "close", n).alias("_sd"))
     u = F.col("bb_middle") + F.lit(float(k)) * F.col("_sd")
     lo = F.col("bb_middle") - F.lit(float(k)) * F.col("_sd")
     t = t.select("*", u.alias("bb_upper"), lo.alias("bb_lower")).drop("_sd")
@@ -67,7 +67,8 @@ def bollinger(df: DataFrame, n: int = BB_PERIOD, k: float = BB_STD) -> DataFrame
 
 
 def macd(df: DataFrame, fast=MACD_FAST, slow=MACD_SLOW, sign=MACD_SIGNAL) -> DataFrame:
-    t = df.select("*", (ema("close", fast) - ema("close", slow)).alias("macd"))
+    e = [reuse(df, f"ema_{p}", ema("close", p)) for p in (fast, slow)]
+    t = df.select("*", (e[0] - e[1]).alias("macd"))
     t = t.select("*", ema("macd", sign).alias("macd_signal"))
     return t.select("*", (F.col("macd") - F.col("macd_signal")).alias("macd_histogram"))
 

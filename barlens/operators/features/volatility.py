@@ -7,14 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.series import div, pct, rank_in_window, std
+from barlens.functions.series import div, pct, rank_in_window, reuse, std
 
 VOLATILITY_PERIODS = (5, 10, 20)
 TRADING_DAYS = 252
 
 
 def _ret(df: DataFrame) -> DataFrame:
-    return df if "_ret" in df.columns else df.select("*", pct("close", 1).alias("_ret"))
+    return df if "_ret" in df.columns else df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_ret"))
 
 
 def volatility(df: DataFrame, periods=VOLATILITY_PERIODS) -> DataFrame:
@@ -37,7 +37,7 @@ def vol_ratio(df: DataFrame, periods=VOLATILITY_PERIODS) -> DataFrame:
 
 def realized_vol(df: DataFrame) -> DataFrame:
     t = _ret(df)
-    return t.select("*", (F.lit(math.sqrt(TRADING_DAYS)) * std("_ret", 20)).alias("realized_vol")).drop("_ret")
+    return t.select("*", (F.lit(math.sqrt(TRADING_DAYS)) * reuse(t, "volatility_20", std("_ret", 20))).alias("realized_vol")).drop("_ret")
 
 
 def vol_clustering(df: DataFrame) -> DataFrame:

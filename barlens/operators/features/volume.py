@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.series import CUM, corr_k, div, lag, pct, sma
+from barlens.functions.series import CUM, corr_k, div, lag, pct, reuse, sma
 
 VOLUME_MA_PERIODS = (5, 10, 20, 50)
 PV_CORR_PERIODS = (5, 10, 20)
@@ -19,7 +19,7 @@ def volume_change(df: DataFrame) -> DataFrame:
 def volume_ma(df: DataFrame, periods=VOLUME_MA_PERIODS) -> DataFrame:
     cols = []
     for p in periods:
-        m = sma("volume", p)
+        m = reuse(df, "volume_sma", sma("volume", p)) if p == 20 else sma("volume", p)
         cols += [m.alias(f"volume_ma_{p}"), div("volume", m).alias(f"volume_ratio_{p}")]
     return df.select("*", *cols)
 
@@ -37,7 +37,8 @@ def nvi(df: DataFrame) -> DataFrame:
 
 
 def price_volume_corr(df: DataFrame, periods=PV_CORR_PERIODS) -> DataFrame:
-    t = df.select("*", pct("close", 1).alias("_pc"), pct("volume", 1).alias("_vc"))
+    t = df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_pc"),
+                  reuse(df, "volume_change", pct("volume", 1)).alias("_vc"))
     return t.select("*", *[corr_k("_pc", "_vc", p).alias(f"price_volume_corr_{p}") for p in periods]).drop("_pc", "_vc")
 
 

@@ -20,8 +20,13 @@ SIGNALS = ["momentum_20", "rs_sma_20", "price_zscore_20", "volume_ratio", "volat
 SIZES = [2, 4, 6]
 
 
-def signal_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """A compact feature table joined to labels and split chronologically (p_type universe)."""
+def signal_frame(spark: SparkSession, sf: str, materialize: bool = True) -> DataFrame:
+    """A compact feature table joined to labels and split chronologically (p_type universe).
+
+    The result is bars-sized (one row per ticker and date) while its lineage scans the trade table
+    several times (bars, market, split counts).  Queries over it run several jobs (quantile bounds,
+    scalar subqueries, the main job), so it is checkpointed once into the shared checkpoint folder:
+    every later job reads that file instead of rescanning the trades, and survives executor loss."""
     b = SB.bars(spark, sf, "p_type")
     s20 = sma("close", 20)
     t = b.select("ticker", "date", "close", "volume",
@@ -33,7 +38,8 @@ def signal_frame(spark: SparkSession, sf: str) -> DataFrame:
                  pct("close", 1).alias("_r"))
     t = t.select("*", std("_r", 20).alias("volatility_20")).drop("_r")
     lab = L.labels(b, SB.market_bars(spark, sf))
-    return S.chrono_split(t.join(lab, ["ticker", "date"]))
+    out = S.chrono_split(t.join(lab, ["ticker", "date"]))
+    return out.checkpoint(eager=True) if materialize else out
 
 
 def _frame_rounded(df):

@@ -55,8 +55,9 @@ def registry_scan(reg: DataFrame) -> DataFrame:
     best AUC first."""
     name = F.regexp_extract("file_name", r"(.+)_(\d+)stocks_", 1)
     n = F.regexp_extract("file_name", r"(.+)_(\d+)stocks_", 2).cast("int")
-    return reg.select("file_name", name.alias("parsed_model"), n.alias("parsed_stocks"),
-                      *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in METRICS], "training_samples")
+    out = reg.select("file_name", name.alias("parsed_model"), n.alias("parsed_stocks"),
+                     *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in METRICS], "training_samples")
+    return out.orderBy(F.col("auc").desc(), "file_name")
 
 
 def leaderboard_by_type(reg: DataFrame) -> DataFrame:

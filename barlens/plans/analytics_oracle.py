@@ -249,6 +249,10 @@ c AS (SELECT abs(prob - 0.5) * 2.0 AS confidence, CAST(CAST(prob > 0.5 AS INTEGE
 c2 AS (SELECT *, CAST(""" + " + ".join(f"CAST(confidence >= CAST({i / 10!r} AS DOUBLE) AS INTEGER)" for i in range(1, 10)) + """ AS INTEGER) AS bin
        FROM c WHERE confidence < 1.0)
 """ + rounded("SELECT bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(hit) AS accuracy FROM c2 GROUP BY bin", keep="bin, n")
+O["histogram_probs"] = SCORED + """,
+h AS (SELECT prob, min(prob) OVER () AS lo, max(prob) OVER () AS hi FROM sc0 WHERE split = 'test' AND prob IS NOT NULL),
+h2 AS (SELECT lo, hi, CAST(least(coalesce(floor((prob - lo) / nullif((hi - lo) / 30, 0)), 0), 29) AS INTEGER) AS bin FROM h)
+""" + rounded("SELECT bin, lo + bin * (hi - lo) / 30 AS bin_start, count(*) AS count FROM h2 GROUP BY bin, lo, hi", keep="bin, count")
 O["validate_predictions"] = SCORED + """
 SELECT ticker, date, pred AS predicted, label AS actual, pred = label AS correct FROM sc0 WHERE split = 'test'"""
 O["top_predictions"] = with_ctes(BARS_CTE, ticker="p_brand") + f""",

@@ -204,6 +204,11 @@ def calibration(spark, sf):
     return rnd(ME.calibration(_scored(spark, sf).filter("split = 'test'")))
 
 
+def histogram_probs(spark, sf, bins=30):
+    """30-bin histogram of the predicted probabilities on the test split."""
+    return rnd(RP.histogram(_scored(spark, sf).filter("split = 'test'"), "prob", bins), keep=("bin",))
+
+
 def validate_predictions(spark, sf):
     s = _scored(spark, sf).filter("split = 'test'")
     return s.select("ticker", "date", F.col("pred").alias("predicted"), F.col("label").alias("actual"),
@@ -299,7 +304,7 @@ QUERIES = {
     "drop_sparse_features": drop_sparse_features, "inf_to_null": inf_to_null, "quality_report": quality_report,
     "prepare_matrix": prepare_matrix, "align_feature_columns": align_feature_columns,
     "roc_auc": roc_auc, "class_metrics": class_metrics, "pr_curve": pr_curve, "avg_precision": avg_precision,
-    "calibration": calibration, "validate_predictions": validate_predictions, "top_predictions": top_predictions,
+    "calibration": calibration, "validate_predictions": validate_predictions, "histogram_probs": histogram_probs, "top_predictions": top_predictions,
     "ks_drift": ks_drift,
     "registry": registry, "registry_scan": registry_scan, "leaderboard_by_type": leaderboard_by_type,
     "best_per_group": best_per_group, "best_per_metric": best_per_metric, "best_model_counts": best_model_counts,

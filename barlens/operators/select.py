@@ -52,11 +52,41 @@ def f_score(df: DataFrame, features: list[str], label: str = "outperforms") -> D
     return a.select("feature", "n", "ssb", "ssw", fval.alias("f_score"))
 
 
+def ntile_positions(long: DataFrame, bins: int, key: str = "feature", value: str = "value",
+                    tiebreak: tuple[str, str] = ("ticker", "date")) -> DataFrame:
+    """``ntile(bins) OVER (PARTITION BY key ORDER BY value, ticker, date)`` without a per-key window.
+
+    A row's 0-based position is (rows of its key with a smaller value) + (its rank among rows with the
+    same value, by ticker then date).  Both parts are bucketed prefix sums, so neither a whole column
+    nor a large tie group ever sits in one task; ntile's bucket sizes then follow from the position.
+    """
+    from barlens.operators.metrics import prefix_sums
+
+    t_name, d_name = tiebreak
+    tick = long.select(t_name).distinct()
+    tick = tick.select(t_name, (F.row_number().over(Window.orderBy(t_name)) - 1).cast("long").alias("_tord"))
+    # numeric tie-break key ordered like (ticker, date): ticker ordinal * 2^20 + epoch day
+    rows = long.join(F.broadcast(tick), t_name).select(
+        "*", (F.col("_tord") * (1 << 20) + F.datediff(F.col(d_name), F.lit("1970-01-01").cast("date"))).alias("_tk"),
+        F.lit(1).cast("long").alias("_one"))
+    vals = rows.groupBy(key, value).agg(F.count("*").alias("_nv"))
+    below = prefix_sums(vals, value, ["_nv"], [key], inclusive=False).select(key, value, F.col("cum__nv").alias("_below"))
+    within = prefix_sums(rows, "_tk", ["_one"], [key, value], inclusive=False).withColumnRenamed("cum__one", "_within")
+    n = vals.groupBy(key).agg(F.sum("_nv").alias("_n"))
+    t = within.join(below, [key, value]).join(F.broadcast(n), key)
+    pos = F.col("_below") + F.col("_within")
+    q = F.floor(F.col("_n") / bins)
+    r = F.col("_n") - q * bins
+    big = r * (q + 1)
+    b = F.when(pos < big, F.floor(pos / (q + 1))).otherwise(r + F.floor((pos - big) / q)) + 1
+    return t.select(*long.columns, b.cast("int").alias("bin"))
+
+
 def mutual_info(df: DataFrame, features: list[str], label: str = "outperforms", bins: int = 10,
                 keys: tuple[str, ...] = ("ticker", "date")) -> DataFrame:
     """MI(feature bin; label) with equal-frequency bins (ntile over the feature's non-null values)."""
     long = to_long(df, features, [*keys, label]).filter(F.col("value").isNotNull())
-    b = long.select("feature", label, F.ntile(bins).over(Window.partitionBy("feature").orderBy("value", *keys)).alias("bin"))
+    b = ntile_positions(long, bins, tiebreak=keys).select("feature", label, "bin")
     j = b.groupBy("feature", "bin", label).agg(F.count("*").alias("n_xy"))
     w = Window.partitionBy("feature")
     t = j.select("*", F.sum("n_xy").over(w).alias("n"),

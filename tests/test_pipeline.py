@@ -140,3 +140,20 @@ def test_no_look_ahead_before_fill(spark):
             continue
         x, y = a[col].astype(float).to_numpy(), b[col].astype(float).to_numpy()
         assert ((np.isnan(x) & np.isnan(y)) | np.isclose(x, y, rtol=1e-9, atol=1e-12)).all(), col
+
+
+@pytest.mark.parametrize("bins", [10, 7])
+def test_distributed_ntile_equals_window_ntile(spark, bins):
+    import random
+
+    from pyspark.sql import Window
+
+    from barlens.operators.select import ntile_positions
+
+    random.seed(1)
+    rows = [(f, t, day(d), float(random.choice([0, 0, 0, 1, 2, 3.5, random.random()])))
+            for f in ("a", "b") for t in ("X", "Y", "Z") for d in range(60)]
+    df = spark.createDataFrame(rows, "feature string, ticker string, date date, value double")
+    exp = df.select("*", F.ntile(bins).over(Window.partitionBy("feature").orderBy("value", "ticker", "date")).alias("bin"))
+    got = ntile_positions(df, bins)
+    assert exp.exceptAll(got).count() == 0 and got.exceptAll(exp).count() == 0

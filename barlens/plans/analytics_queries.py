@@ -39,7 +39,12 @@ def signal_frame(spark: SparkSession, sf: str, materialize: bool = True) -> Data
     t = t.select("*", std("_r", 20).alias("volatility_20")).drop("_r")
     lab = L.labels(b, SB.market_bars(spark, sf))
     out = S.chrono_split(t.join(lab, ["ticker", "date"]))
-    return out.checkpoint(eager=True) if materialize else out
+    if not materialize:
+        return out
+    from barlens.session import checkpoint_dir
+
+    checkpoint_dir(spark)  # the cluster's spark.checkpoint.dir; a scratch folder only when unset
+    return out.checkpoint(eager=True)
 
 
 def _frame_rounded(df):

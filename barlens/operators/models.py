@@ -157,12 +157,14 @@ def tune(train: DataFrame, features: list[str], name: str = "logistic_regression
     est = estimator(name, len(features), n)
     grid = ParamGridBuilder()
     if name == "logistic_regression":
-        # C in {0.1, 1, 10, 100} x penalty {l1, l2} -> regParam = 1/(C n), elasticNet 1 or 0
-        grid = grid.addGrid(est.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0, 100.0)]).addGrid(est.elasticNetParam, [0.0, 1.0])
+        # C in {0.1, 1, 10} x penalty {l1, l2} -> regParam = 1/(C n), elasticNet 1 or 0 (the reference's
+        # solver axis selects an optimiser, not a different model, so it has no MLlib counterpart)
+        grid = grid.addGrid(est.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]).addGrid(est.elasticNetParam, [0.0, 1.0])
     elif name == "random_forest":
+        # min_samples_split has no MLlib equivalent; leaf size maps to minInstancesPerNode
         grid = grid.addGrid(est.numTrees, [50, 100, 200]).addGrid(est.maxDepth, [5, 10, 15]).addGrid(est.minInstancesPerNode, [1, 2, 4])
     elif name == "gradient_boosting":
-        grid = grid.addGrid(est.maxIter, [50, 100, 200]).addGrid(est.stepSize, [0.01, 0.1, 0.2]).addGrid(est.maxDepth, [3, 6, 9])
+        grid = grid.addGrid(est.maxIter, [50, 100, 200]).addGrid(est.stepSize, [0.01, 0.1, 0.2]).addGrid(est.maxDepth, [3, 5, 7])
     pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), est])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid.build(), numFolds=folds, parallelism=parallelism, seed=SEED,
                         evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"))

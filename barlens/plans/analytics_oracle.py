@@ -120,9 +120,9 @@ u AS (SELECT * FROM s2 UNION ALL SELECT * FROM b2)
 _TC = lambda src: f"""tl AS ({_long(src, extra='outperforms')}),
 tc AS (SELECT feature, {_corr("value", "CAST(outperforms AS DOUBLE)")} AS corr FROM tl WHERE value IS NOT NULL GROUP BY feature)"""
 O["top_features"] = FRAME + ",\ntrain AS (SELECT * FROM frame WHERE split = 'train'),\n" + _TC("train") + "\n" + rounded(
-    "SELECT feature, corr, abs(corr) AS abs_corr FROM tc ORDER BY abs(corr) DESC, feature LIMIT 3", keep="feature")
+    "SELECT feature, corr, abs(corr) AS abs_corr FROM tc ORDER BY round(abs(corr), 12) DESC, feature LIMIT 3", keep="feature")
 O["feature_corr_matrix"] = FRAME + ",\n" + _TC("frame") + """,
-top AS (SELECT feature, row_number() OVER (ORDER BY abs(corr) DESC, feature) - 1 AS o FROM tc QUALIFY o < 3),
+top AS (SELECT feature, row_number() OVER (ORDER BY round(abs(corr), 12) DESC, feature) - 1 AS o FROM tc QUALIFY o < 3),
 sel AS (SELECT feature, o FROM top UNION ALL SELECT 'outperforms', 3),
 lv AS (SELECT ticker, date, feature, value FROM tl UNION ALL SELECT ticker, date, 'outperforms', CAST(outperforms AS DOUBLE) FROM frame),
 lo AS (SELECT lv.*, sel.o FROM lv JOIN sel ON lv.feature = sel.feature WHERE value IS NOT NULL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlens.functions.series import div, lag, pct, rnd, sma, std
+from barlens.functions.series import div, lag, pct, rnd, round_half_away, sma, std
 from barlens.operators import clean as CL
 from barlens.operators import labels as L
 from barlens.operators import metrics as ME
@@ -107,14 +107,15 @@ def rolling_vol_report(spark, sf):
 def feature_corr_matrix(spark, sf, top_n=3):
     f = signal_frame(spark, sf)
     tc = RP.feature_target_corr(f, FEATURES)
-    top = [r.feature for r in tc.orderBy(F.col("abs_corr").desc(), "feature").limit(top_n).collect()]  # N names
+    # identical columns tie exactly; rank on |corr| rounded to 12 dp so an ulp cannot reorder them
+    top = [r.feature for r in tc.orderBy(round_half_away("abs_corr", 12).desc(), "feature").limit(top_n).collect()]
     cols = top + ["outperforms"]
     return rnd(RP.corr_long(f.select(*[F.col(c).cast("double") for c in cols]), cols), keep=("a", "b"))
 
 
 def top_features(spark, sf, n=3):
     tc = RP.feature_target_corr(signal_frame(spark, sf).filter("split = 'train'"), FEATURES)
-    return rnd(tc.orderBy(F.col("abs_corr").desc(), "feature").limit(n), keep=("feature",))
+    return rnd(tc.orderBy(round_half_away("abs_corr", 12).desc(), "feature").limit(n), keep=("feature",))
 
 
 # ---- selection / preparation -------------------------------------------------------------------------

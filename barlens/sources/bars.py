@@ -54,15 +54,28 @@ def ohlcv(trades: DataFrame, keys: list[str], order: list[str], price: str = "pr
     )
 
 
+def series_partitioned(df: DataFrame, key: str = "ticker", n: int | None = None) -> DataFrame:
+    """Range-partition a bars-sized table by series with an explicit partition count.
+
+    Every per-series window then finds its clustering already in place (no further exchange), the
+    sampled range bounds give each series -- and a hot one -- its own task, and AQE does not coalesce
+    an explicitly numbered repartition (it would otherwise merge a small bars shuffle into one task
+    and run every series' windows on one core).
+    """
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, key)
+
+
 def bars(spark: SparkSession, sf_dir: str, ticker: str = "p_type", start=None, end=None) -> DataFrame:
     """``scan_bars``: lineitem joined to part, aggregated to daily bars per ticker.
 
     The part side is only ``(p_partkey, ticker)``; Spark broadcasts it when its measured size is under
-    the broadcast threshold and falls back to a sort-merge join otherwise.
+    the broadcast threshold and falls back to a sort-merge join otherwise.  The result is
+    range-partitioned by ticker (``series_partitioned``).
     """
     part = read(spark, sf_dir, "part", ["p_partkey", ticker]).withColumnRenamed(ticker, "ticker")
     t = _trades(spark, sf_dir, start, end).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return ohlcv(t, ["ticker", "date"], LINE_KEY).select(*BAR_COLS)
+    return series_partitioned(ohlcv(t, ["ticker", "date"], LINE_KEY).select(*BAR_COLS))
 
 
 def market_bars(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
@@ -97,7 +110,7 @@ def sector_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s_suppkey", F.col("n_name").alias("ticker")
     )
     t = _trades(spark, sf_dir).join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-    return ohlcv(t, ["ticker", "date"], LINE_KEY).select(*BAR_COLS)
+    return series_partitioned(ohlcv(t, ["ticker", "date"], LINE_KEY).select(*BAR_COLS))
 
 
 def universe(spark: SparkSession, sf_dir: str, ticker: str = "p_type") -> DataFrame:

@@ -26,9 +26,12 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], keys: list[str] | No
     from pyspark.ml.feature import Bucketizer
 
     keys = keys or []
-    # the distinct-value table feeds two jobs (quantile bounds, then the sums): keep it instead of
-    # re-running its lineage; it is at most one row per distinct value
-    df = df.persist()
+    # the distinct-value table feeds two jobs (quantile bounds, then the sums): materialise it once in
+    # the shared checkpoint folder instead of re-running its lineage (no executor memory is held)
+    from barlens.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(b for b in df.stat.approxQuantile(order, probs, 0.001) if b is not None and math.isfinite(b)))
     splits = [-math.inf] + bounds + [math.inf]

@@ -24,11 +24,13 @@ BAR_COLS = ["ticker", "date", "open", "high", "low", "close", "volume"]
 
 def _trades(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
     li = read(spark, sf_dir, "lineitem", LINE_KEY + ["l_shipdate"])
+    # typed TIMESTAMP_NTZ literals: independent of the driver's time zone, and the comparison stays on
+    # the raw column so the predicate reaches the parquet scan
     if start is not None:
-        li = li.filter(F.col("l_shipdate") >= F.lit(_dt.datetime.combine(_as_date(start), _dt.time())))
-    if end is not None:
-        # inclusive end date; comparison stays on the raw column so the predicate reaches the scan
-        li = li.filter(F.col("l_shipdate") < F.lit(_dt.datetime.combine(_as_date(end) + _dt.timedelta(days=1), _dt.time())))
+        li = li.filter(F.col("l_shipdate") >= F.expr(f"TIMESTAMP_NTZ '{_as_date(start).isoformat()} 00:00:00'"))
+    if end is not None:  # inclusive end date
+        nxt = _as_date(end) + _dt.timedelta(days=1)
+        li = li.filter(F.col("l_shipdate") < F.expr(f"TIMESTAMP_NTZ '{nxt.isoformat()} 00:00:00'"))
     return li.select(
         *LINE_KEY,
         F.to_date("l_shipdate").alias("date"),

@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 
 def row_positions(df: DataFrame, order: str = "date", tiebreak: str = "ticker") -> DataFrame:
+    """Adds ``row_pos`` (0-based position in (order, tiebreak) order) and ``n_rows`` (table size).
+
+    Both come from the per-date count table (calendar-sized): its running sum gives the rows before
+    each date and its total gives the table size, so the input plan is evaluated once -- no scalar
+    subquery re-running it."""
     per = df.groupBy(order).agg(F.count("*").alias("_nd"))
     before = F.coalesce(F.sum("_nd").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select(order, before.alias("_before"))
+    per = per.select(order, before.alias("_before"), F.sum("_nd").over(Window.partitionBy()).alias("n_rows"))
     within = F.row_number().over(Window.partitionBy(order).orderBy(tiebreak)) - 1
     return df.join(F.broadcast(per), order).select("*", (F.col("_before") + within).alias("row_pos")).drop("_before")
 
 
 def chrono_split(df: DataFrame, test_size: float = 0.2, val_size: float = 0.2) -> DataFrame:
-    n = df.select(F.count("*")).scalar()
-    test_start = F.floor(n * F.lit(1.0 - test_size))
-    val_start = F.floor(test_start * F.lit(1.0 - val_size))
     p = row_positions(df)
+    test_start = F.floor(F.col("n_rows") * F.lit(1.0 - test_size))
+    val_start = F.floor(test_start * F.lit(1.0 - val_size))
     split = F.when(F.col("row_pos") < val_start, "train").when(F.col("row_pos") < test_start, "val").otherwise("test")
-    return p.select("*", split.alias("split"))
+    return p.select("*", split.alias("split")).drop("n_rows")
 
 
 def label_balance(df: DataFrame, label: str = "outperforms") -> DataFrame:

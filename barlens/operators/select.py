@@ -96,6 +96,14 @@ def mutual_info(df: DataFrame, features: list[str], label: str = "outperforms",
     return t.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
+def select_top(scores: DataFrame, score: str, n: int, name: str = "feature") -> DataFrame:
+    """The n best-scoring features (SelectKBest): score rounded to 12 dp for the order, so an ulp
+    between two identical columns cannot reorder them; ties by name."""
+    from barlens.functions.series import round_half_away
+
+    return scores.orderBy(round_half_away(score, 12).desc(), name).limit(n)
+
+
 def standardize(df: DataFrame, features: list[str], fit_filter=None) -> DataFrame:
     """(x - mean) / sigma with sigma of ddof 0 fitted on ``fit_filter`` rows (e.g. the train split);
     sigma = 0 becomes 1.

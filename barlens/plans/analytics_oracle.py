@@ -153,14 +153,22 @@ g AS (SELECT feature, outperforms, count(*) AS n_g, avg(value) AS m_g, var_pop(v
 g2 AS (SELECT *, sum(n_g) OVER (PARTITION BY feature) AS n, sum(n_g * m_g) OVER (PARTITION BY feature) / sum(n_g) OVER (PARTITION BY feature) AS m,
               count(*) OVER (PARTITION BY feature) AS k FROM g),
 a AS (SELECT feature, CAST(n AS BIGINT) AS n, k, sum(n_g * ((m_g - m) * (m_g - m))) AS ssb, sum(n_g * v_g) AS ssw FROM g2 GROUP BY feature, n, k)
-""" + rounded("SELECT feature, n, ssb, ssw, (ssb / (k - 1)) / nullif(ssw / (n - k), 0) AS f_score FROM a", keep="feature, n")
+,
+fsc AS (SELECT feature, n, ssb, ssw, (ssb / (k - 1)) / nullif(ssw / (n - k), 0) AS f_score FROM a)
+""" + rounded("SELECT * FROM fsc", keep="feature, n")
+O["f_score_top"] = O["f_score"].replace(rounded("SELECT * FROM fsc", keep="feature, n"), rounded(
+    "SELECT * FROM fsc ORDER BY round(f_score, 12) DESC, feature LIMIT 3", keep="feature, n"))
 O["mutual_info"] = TRAIN + f""",
 tl AS ({_long('train', extra='outperforms')}),
 b AS (SELECT feature, outperforms, ntile(10) OVER (PARTITION BY feature ORDER BY value, ticker, date) AS bin FROM tl WHERE value IS NOT NULL),
 j AS (SELECT feature, bin, outperforms, count(*) AS n_xy FROM b GROUP BY ALL),
 t AS (SELECT *, sum(n_xy) OVER (PARTITION BY feature) AS n, sum(n_xy) OVER (PARTITION BY feature, bin) AS n_x,
              sum(n_xy) OVER (PARTITION BY feature, outperforms) AS n_y FROM j)
-""" + rounded("SELECT feature, sum((n_xy / n) * ln((n_xy * n) / (n_x * n_y))) AS mutual_info FROM t GROUP BY feature", keep="feature")
+,
+mi AS (SELECT feature, sum((n_xy / n) * ln((n_xy * n) / (n_x * n_y))) AS mutual_info FROM t GROUP BY feature)
+""" + rounded("SELECT * FROM mi", keep="feature")
+O["mutual_info_top"] = O["mutual_info"].replace(rounded("SELECT * FROM mi", keep="feature"), rounded(
+    "SELECT * FROM mi ORDER BY round(mutual_info, 12) DESC, feature LIMIT 3", keep="feature"))
 _STATS = ", ".join(f"avg({f}) AS mu_{f}, stddev_pop({f}) AS sd_{f}" for f in FEATURES)
 O["standardize"] = FRAME + f""",
 st AS (SELECT {_STATS} FROM frame WHERE split = 'train')

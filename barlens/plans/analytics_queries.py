@@ -132,6 +132,14 @@ def f_score(spark, sf):
     return rnd(SE.f_score(_train(spark, sf), FEATURES), keep=("feature",))
 
 
+def f_score_top(spark, sf, n=3):
+    return rnd(SE.select_top(SE.f_score(_train(spark, sf), FEATURES), "f_score", n), keep=("feature",))
+
+
+def mutual_info_top(spark, sf, n=3):
+    return rnd(SE.select_top(SE.mutual_info(_train(spark, sf), FEATURES), "mutual_info", n), keep=("feature",))
+
+
 def mutual_info(spark, sf):
     return rnd(SE.mutual_info(_train(spark, sf), FEATURES), keep=("feature",))
 
@@ -305,7 +313,7 @@ QUERIES = {
     "max_drawdown": max_drawdown, "sector_performance": sector_performance, "ticker_performance": ticker_performance,
     "box_stats": box_stats, "return_corr_matrix": return_corr_matrix, "rolling_vol_report": rolling_vol_report,
     "feature_corr_matrix": feature_corr_matrix, "top_features": top_features,
-    "corr_prune": corr_prune, "f_score": f_score, "mutual_info": mutual_info, "standardize": standardize,
+    "corr_prune": corr_prune, "f_score": f_score, "mutual_info": mutual_info, "f_score_top": f_score_top, "mutual_info_top": mutual_info_top, "standardize": standardize,
     "feature_null_ratio": feature_null_ratio, "bfill_features": bfill_features, "median_impute": median_impute,
     "drop_sparse_features": drop_sparse_features, "inf_to_null": inf_to_null, "quality_report": quality_report,
     "prepare_matrix": prepare_matrix, "align_feature_columns": align_feature_columns,

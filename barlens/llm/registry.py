@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import decontaminate, mixing, near_dedup, sharding, toxicity
+from barlens.llm import ann, decontaminate, html_text, langid, mixing, near_dedup, secrets, sharding, token_rollup, toxicity
 from barlens.llm.common import fold, table
+from barlens.session import scratch_path
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return got.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"),
+                      secrets.digest(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_entropy"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 4) != 2))
@@ -30,11 +46,37 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Totals after two batches: all documents come in, then exact copies (all but the smallest id of a text) go."""
+    docs = table(spark, sf_dir, "documents")
+    store = token_rollup.Rollup(spark, scratch_path(spark, "llm", f"rollup-{uuid.uuid4().hex}"))
+    version = vocabulary.rsplit("/", 1)[-1].split(".")[0]
+    store.commit("0001-load", token_rollup.with_tokens(docs, vocabulary).select(F.lit("upsert").alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), "tokens"))
+    same = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    first = same.groupBy("h", "n").agg(F.min("doc_id").alias("first"))
+    copies = same.join(first, ["h", "n"]).where("doc_id <> first").select(F.lit("delete").alias("op"), "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("version", "string"), ("tokens", "long"))])
+    store.commit("0002-copies", copies)
+    return store.totals()
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_toxicity, op5_sharding, op6_mixing, op8_decontamination)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 3) != 1))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+                                               F.col("lang").alias("lang_pred"), "score", "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_minhash_dedup, op3_secrets, op4_toxicity, op5_sharding, op6_mixing,
+                                   op7_token_rollup, op8_decontamination, op9_html_text, op10_langid)}
 
 ORACLE = {
     "op6_mixing": r"""

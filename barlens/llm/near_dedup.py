@@ -127,8 +127,20 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield rest, np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(axis=1))])
 
 
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a[i] and b[i]; ``root`` names every element's set by its first element."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        if len(a):
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+
+
 def _canopies(plan: Plan):
-    """Edges leader - member of all buckets of a frame at once; one round per leader of the busiest bucket."""
+    """The families of all buckets of a frame at once; one round per leader of the busiest bucket."""
     last, least = plan.bounds()[-1]
     leave, reach = int(plan.leave * last), int(plan.leave * last) + last - least
 
@@ -136,7 +148,7 @@ def _canopies(plan: Plan):
         for frame, group in _groups(batches, ["key", "p", "q"]):
             ids = frame["cls"].to_numpy()
             sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(ids), -1)
-            at, a, b = np.arange(len(ids)), [], []
+            at, root = np.arange(len(ids)), np.arange(len(ids))
             while len(at):
                 g = group[at]
                 first = np.concatenate([[True], g[1:] != g[:-1]])
@@ -144,15 +156,14 @@ def _canopies(plan: Plan):
                 gap = np.empty(len(at), np.int32)
                 for i in range(0, len(at), 65536):  # bounded work space
                     gap[i:i + 65536] = (sig[at[i:i + 65536]] != sig[lead[i:i + 65536]]).sum(axis=1)
-                near = (gap <= reach) & (at != lead)
-                a.append(ids[lead[near]])
-                b.append(ids[at[near]])
+                near = (gap <= reach) & (root[at] != root[lead])
+                _merge(root, lead[near], at[near])
                 stay = gap > leave
                 at, g = at[stay], g[stay]
                 if len(at):  # a lone member has nobody left to meet
                     same = g[1:] == g[:-1]
                     at = at[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            out = pd.DataFrame({"a": np.concatenate([*a, []]).astype(np.int64), "b": np.concatenate([*b, []]).astype(np.int64)})
+            out = pd.DataFrame({"a": ids[root], "b": ids})  # a star per family: one edge a member
             yield out[out["a"] != out["b"]].drop_duplicates()
 
     return run

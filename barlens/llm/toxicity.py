@@ -36,7 +36,7 @@ class Plan:
     prior, in texts.  drift: subtracted from every token's log-odds.  least_texts: texts below which a unit is
     left to its prefix.  level: p-value up to which a segment is a toxic passage."""
 
-    sample_rows: int = 40_000
+    sample_rows: int = 20_000
     prior: float = 4.0
     drift: float = 0.75
     least_texts: int = 3
@@ -73,7 +73,7 @@ class Model:
                 rate = (got[0] + p.prior * rate) / (got[0] + got[1] + p.prior)
             rate = min(max(rate, 1e-6), 1 - 1e-6)
             s = math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base)) - p.drift
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             self.memo[token] = s
         return s

@@ -124,25 +124,38 @@ def rank_in_window(x, k: int, key=KEY) -> Column:
 
 
 # --- recursive smoothing -----------------------------------------------------------------------
-# An exponential recursion y_t = a*x_t + (1-a)*y_{t-1} is folded over a bounded trailing frame of
-# K rows.  The weight of anything older than K rows is (1-a)^K <= exp(-39) ~ 1e-17, below double
-# precision, so the fold equals the unbounded recursion to the last bit in practice while staying a
-# plain JVM window expression (partition-parallel, no Python).
-
-def ewm_horizon(alpha: float) -> int:
-    return int(math.ceil(39.0 / -math.log(1.0 - alpha)))
-
-
-def ewm_fold(x, alpha: float, key=KEY, horizon: int | None = None) -> Column:
-    """Recursive EWM (pandas ``adjust=False``) seeded with the first non-null value."""
-    K = horizon or ewm_horizon(alpha)
-    xs = F.collect_list(col(x)).over(W(key).rowsBetween(-K, 0))
-    a = F.lit(alpha)
-    return F.aggregate(
-        xs,
-        F.lit(None).cast("double"),
-        lambda acc, v: F.when(acc.isNull(), v).otherwise(a * v + (F.lit(1.0) - a) * acc),
-    )
+# y_t = a*x_t + (1-a)*y_{t-1} by blocks of rows, as plain JVM window expressions.
+
+def with_ewm(df, outs: dict[str, tuple[str, float]], key=KEY, order: str = ORDER, block: int = 48):
+    """``df`` plus, per ``name: (column, alpha)``, the recursive EWM (pandas ``adjust=False``) over all earlier
+    non-null values, seeded with the first; a null row carries the last value.
+
+    Exact at any length: inside a block of rows the recursion is an affine map of the value that enters it, the
+    maps of the finished blocks are folded into that value, so a row costs ``block`` steps plus one per block.
+    """
+    w, k = W(key, order), F.col("_pos") % block
+    t = df.withColumn("_pos", F.row_number().over(w) - 1)
+    t = t.withColumns({f"_s_{o}": F.struct(F.col(x).cast("double").alias("v"), (F.count(x).over(CUM(key, order)) == 1).alias("first"))
+                       for o, (x, _) in outs.items()})
+    near = w.rowsBetween(-(block - 1), 0)
+    one, none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c")), F.lit(None).cast("double")
+
+    def block_map(rows: Column, alpha: float) -> Column:
+        step = lambda m, e: (F.when(e["v"].isNull(), m)
+                             .when(e["first"], F.struct(F.lit(0.0).alias("a"), e["v"].alias("c")))
+                             .otherwise(F.struct((m["a"] * (1.0 - alpha)).alias("a"), (alpha * e["v"] + (1.0 - alpha) * m["c"]).alias("c"))))
+        return F.aggregate(rows, one, step)
+
+    def fold(rows: Column, y: Column, alpha: float) -> Column:
+        return F.aggregate(rows, y, lambda acc, e: F.when(e["v"].isNull(), acc).when(acc.isNull(), e["v"]).otherwise(alpha * e["v"] + (1.0 - alpha) * acc))
+
+    t = t.withColumns({f"_r_{o}": F.slice(F.collect_list(f"_s_{o}").over(near), -(k + 1), k + 1) for o in outs})
+    t = t.withColumns({f"_m_{o}": F.when(k == block - 1, block_map(F.col(f"_r_{o}"), alpha)) for o, (_, alpha) in outs.items()})
+    enter = lambda y, m: F.when(m["a"] == 0.0, m["c"]).otherwise(m["a"] * y + m["c"])
+    done = lambda o: F.collect_list(f"_m_{o}").over(w.rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  finished blocks only
+    t = t.withColumns({f"_y_{o}": F.aggregate(done(o), none, enter) for o in outs})
+    t = t.withColumns({o: fold(F.col(f"_r_{o}"), F.col(f"_y_{o}"), alpha) for o, (_, alpha) in outs.items()})
+    return t.drop("_pos", *[f"_{p}_{o}" for o in outs for p in "srmy"])
 
 
 def seen(x, key=KEY) -> Column:
@@ -150,9 +163,11 @@ def seen(x, key=KEY) -> Column:
     return F.count(col(x)).over(CUM(key))
 
 
-def ema(x, span: int, key=KEY) -> Column:
-    """``ewm(span, adjust=False, min_periods=span).mean()``."""
-    return F.when(seen(x, key) >= span, ewm_fold(x, 2.0 / (span + 1.0), key))
+def with_ema(df, outs: dict[str, tuple[str, int]], key=KEY):
+    """``df`` plus, per ``name: (column, span)``, ``ewm(span, adjust=False, min_periods=span).mean()``."""
+    t = with_ewm(df, {o: (x, 2.0 / (span + 1.0)) for o, (x, span) in outs.items()}, key)
+    ready = {o: F.when(seen(x, key) >= span, F.col(o)) for o, (x, span) in outs.items()}
+    return t.withColumns(ready)
 
 
 def reuse(df, name: str, expr: Column) -> Column:

@@ -1,7 +1,7 @@
 """Technical indicators (SMA, EMA, RSI, Bollinger, MACD, ATR, volume SMA, OBV, stochastic, CCI, %R).
 
 Recursive indicators (EMA, RSI, MACD, ATR) use the bounded-horizon fold from
-``barlens.functions.series.ewm_fold`` so they stay JVM window expressions.
+``barlens.functions.series.with_ewm`` so they stay JVM window expressions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions.series import (
-    CUM, R, W, div, ema, ewm_fold, full, lag, reuse, rmax, rmin, roll, seen, sma,
+    CUM, R, W, div, full, lag, reuse, rmax, rmin, roll, seen, sma, with_ema, with_ewm,
 )
 
 # Fixed indicator parameters (defaults of the feature configuration).
@@ -35,11 +35,9 @@ def sma_features(df: DataFrame, periods=SMA_PERIODS) -> DataFrame:
 
 
 def ema_features(df: DataFrame, periods=EMA_PERIODS) -> DataFrame:
-    cols = []
-    for p in periods:
-        e = ema("close", p)
-        cols += [e.alias(f"ema_{p}"), div("close", e).alias(f"close_ema_{p}_ratio")]
-    return df.select("*", *cols)
+    t = with_ema(df, {f"ema_{p}": ("close", p) for p in periods})
+    cols = [c for p in periods for c in (F.col(f"ema_{p}"), div("close", f"ema_{p}").alias(f"close_ema_{p}_ratio"))]
+    return t.select(*df.columns, *cols)
 
 
 def rsi(df: DataFrame, n: int = RSI_PERIOD) -> DataFrame:
@@ -49,9 +47,10 @@ def rsi(df: DataFrame, n: int = RSI_PERIOD) -> DataFrame:
         F.when(d > 0, d).otherwise(F.lit(0.0)).alias("_up"),
         F.when(d < 0, -d).otherwise(F.lit(0.0)).alias("_dn"),
     )
-    up, dn = ewm_fold("_up", 1.0 / n), ewm_fold("_dn", 1.0 / n)
+    t = with_ewm(t, {"_eu": ("_up", 1.0 / n), "_ed": ("_dn", 1.0 / n)})
+    up, dn = F.col("_eu"), F.col("_ed")
     val = F.when(dn == 0, F.lit(100.0)).otherwise(F.lit(100.0) - div(F.lit(100.0), F.lit(1.0) + div(up, dn)))
-    return t.select("*", F.when(seen("_up") >= n, val).alias("rsi")).drop("_up", "_dn")
+    return t.select("*", F.when(seen("_up") >= n, val).alias("rsi")).drop("_up", "_dn", "_eu", "_ed")
 
 
 def bollinger(df: DataFrame, n: int = BB_PERIOD, k: float = BB_STD) -> DataFrame:
@@ -67,9 +66,10 @@ def bollinger(df: DataFrame, n: int = BB_PERIOD, k: float = BB_STD) -> DataFrame
 
 
 def macd(df: DataFrame, fast=MACD_FAST, slow=MACD_SLOW, sign=MACD_SIGNAL) -> DataFrame:
-    e = [reuse(df, f"ema_{p}", ema("close", p)) for p in (fast, slow)]
-    t = df.select("*", (e[0] - e[1]).alias("macd"))
-    t = t.select("*", ema("macd", sign).alias("macd_signal"))
+    t = with_ema(df, {f"_e{p}": ("close", p) for p in (fast, slow) if f"ema_{p}" not in df.columns})
+    e = [F.col(f"ema_{p}" if f"ema_{p}" in df.columns else f"_e{p}") for p in (fast, slow)]
+    t = t.select(*df.columns, (e[0] - e[1]).alias("macd"))
+    t = with_ema(t, {"macd_signal": ("macd", sign)})
     return t.select("*", (F.col("macd") - F.col("macd_signal")).alias("macd_histogram"))
 
 
@@ -87,8 +87,9 @@ def atr(df: DataFrame, n: int = ATR_PERIOD) -> DataFrame:
     t = df.select("*", true_range().alias("_tr"), rn.alias("_rn"))
     seed = F.when(F.col("_rn") == n, F.avg("_tr").over(R(n))).when(F.col("_rn") > n, F.col("_tr"))
     t = t.select("*", seed.alias("_seed"))
-    a = F.when(F.col("_rn") < n, F.lit(0.0)).otherwise(ewm_fold("_seed", 1.0 / n))
-    t = t.select("*", a.alias("atr")).drop("_tr", "_rn", "_seed")
+    t = with_ewm(t, {"_ewm": ("_seed", 1.0 / n)})
+    a = F.when(F.col("_rn") < n, F.lit(0.0)).otherwise(F.col("_ewm"))
+    t = t.select("*", a.alias("atr")).drop("_tr", "_rn", "_seed", "_ewm")
     return t.select("*", div("atr", "close").alias("atr_ratio"))
 
 

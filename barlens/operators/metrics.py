@@ -34,9 +34,12 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], keys: list[str] | No
     df = df.checkpoint(eager=True)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = sorted(set(b for b in df.stat.approxQuantile(order, probs, 0.001) if b is not None and math.isfinite(b)))
-    splits = [-math.inf] + bounds + [math.inf]
     t = df.withColumn("_ord_d", F.col(order).cast("double"))
-    t = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_bk", handleInvalid="keep").transform(t)
+    if bounds:
+        splits = [-math.inf] + bounds + [math.inf]
+        t = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_bk", handleInvalid="keep").transform(t)
+    else:  # no rows: one empty bucket
+        t = t.withColumn("_bk", F.lit(0.0))
     tot = t.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
@@ -127,18 +130,19 @@ def ks_drift(long: DataFrame, key: str = "feature", value: str = "value", sample
         F.sum((F.col(sample) == 0).cast("long")).alias("c0"), F.sum((F.col(sample) == 1).cast("long")).alias("c1"))
     p = prefix_sums(c, value, ["c0", "c1"], [key], buckets, inclusive=True)
     n = c.groupBy(key).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    d = p.join(n, key).select(key, "n0", "n1", F.abs(F.col("cum_c0") / F.col("n0") - F.col("cum_c1") / F.col("n1")).alias("gap"))
+    d = p.join(n, key).select(key, "n0", "n1", F.abs(F.try_divide("cum_c0", "n0") - F.try_divide("cum_c1", "n1")).alias("gap"))
     s = d.groupBy(key, "n0", "n1").agg(F.max("gap").alias("ks_stat"))
-    ne = (F.col("n0") * F.col("n1")).cast("double") / (F.col("n0") + F.col("n1")).cast("double")
-    lam = (F.sqrt(ne) + 0.12 + 0.11 / F.sqrt(ne)) * F.col("ks_stat")
+    ne = F.try_divide((F.col("n0") * F.col("n1")).cast("double"), (F.col("n0") + F.col("n1")).cast("double"))
+    # a feature with rows in one sample only has no statistic: ks_stat and p_value are null
+    lam = (F.sqrt(ne) + 0.12 + F.try_divide(F.lit(0.11), F.sqrt(ne))) * F.col("ks_stat")
     # Kolmogorov survival function Q(lam): the alternating series converges fast for lam >= 1.18;
     # below that use the equivalent theta-function form 1 - sqrt(2 pi)/lam * sum exp(-(2k-1)^2 pi^2 / (8 lam^2)).
     ks = F.sequence(F.lit(1), F.lit(100))
     big = 2.0 * F.aggregate(F.transform(ks, lambda k: F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam)),
                             F.lit(0.0), lambda a, v: a + v)
-    small = 1.0 - math.sqrt(2.0 * math.pi) / lam * F.aggregate(
-        F.transform(ks, lambda k: F.exp(-((2 * k - 1) * (2 * k - 1)) * (math.pi * math.pi) / (8.0 * lam * lam))),
+    small = 1.0 - F.try_divide(F.lit(math.sqrt(2.0 * math.pi)), lam) * F.aggregate(
+        F.transform(ks, lambda k: F.exp(F.try_divide(-((2 * k - 1) * (2 * k - 1)) * (math.pi * math.pi), 8.0 * lam * lam))),
         F.lit(0.0), lambda a, v: a + v)
-    q = F.when(lam <= 0, F.lit(1.0)).when(lam < 1.18, small).otherwise(big)
-    pval = F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))
+    q = F.when(lam.isNull(), F.lit(None).cast("double")).when(lam <= 0, F.lit(1.0)).when(lam < 1.18, small).otherwise(big)
+    pval = F.when(q.isNotNull(), F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
     return s.select("*", pval.alias("p_value")).select("*", (F.col("p_value") < alpha).alias("drift"))

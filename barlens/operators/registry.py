@@ -94,9 +94,9 @@ def latest_models(reg: DataFrame, k: int = 3) -> DataFrame:
     return reg.orderBy(F.col("timestamp").desc(), F.col("file_name")).limit(k)
 
 
-def best_model(reg: DataFrame, metric: str = "auc", newest: int = 50) -> DataFrame:
-    """Max ``metric`` among the ``newest`` newest rows; the newest row when no metric is present."""
-    recent = reg.orderBy(F.col("timestamp").desc(), "file_name").limit(newest)
+def best_model(reg: DataFrame, metric: str = "auc", newest: int | None = None) -> DataFrame:
+    """Max ``metric`` among all rows, or the ``newest`` newest; the newest row when no metric is present."""
+    recent = reg if newest is None else reg.orderBy(F.col("timestamp").desc(), "file_name").limit(newest)
     ranked = recent.select("*", F.row_number().over(
         Window.orderBy(F.col(metric).desc_nulls_last(), F.col("timestamp").desc(), "file_name")).alias("_rn"))
     return ranked.filter("_rn = 1").drop("_rn")

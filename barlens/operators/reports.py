@@ -62,10 +62,10 @@ def max_drawdown(bars: DataFrame) -> DataFrame:
     """Per row: drawdown % from the running peak of the cumulative growth C/C_first; per ticker the
     minimum is the max drawdown.  (The product of (1 + r) telescopes to C / C_first.)"""
     first = F.first("close").over(CUM())
-    cum = F.col("close") / first
+    cum = F.try_divide(F.col("close"), first)
     t = bars.select("ticker", "date", cum.alias("cum_growth"))
     peak = F.max("cum_growth").over(CUM())
-    return t.select("*", ((F.col("cum_growth") / peak - 1.0) * 100.0).alias("drawdown_pct"))
+    return t.select("*", ((F.try_divide(F.col("cum_growth"), peak) - 1.0) * 100.0).alias("drawdown_pct"))
 
 
 def ticker_performance(bars: DataFrame, min_rows: int = 100) -> DataFrame:

@@ -48,7 +48,7 @@ def f_score(df: DataFrame, features: list[str], label: str = "outperforms") -> D
     t = g.select("feature", "n_g", "m_g", "v_g", n.alias("n"), m.alias("m"), F.count("*").over(w).alias("k"))
     a = t.groupBy("feature", "n", "k").agg(F.sum(F.col("n_g") * ((F.col("m_g") - F.col("m")) * (F.col("m_g") - F.col("m")))).alias("ssb"),
                                            F.sum(F.col("n_g") * F.col("v_g")).alias("ssw"))
-    fval = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))
+    fval = F.try_divide(F.try_divide(F.col("ssb"), (F.col("k") - 1).cast("double")), F.try_divide(F.col("ssw"), (F.col("n") - F.col("k")).cast("double")))
     return a.select("feature", "n", "ssb", "ssw", fval.alias("f_score"))
 
 

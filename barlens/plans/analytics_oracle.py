@@ -331,7 +331,7 @@ m AS (SELECT model_name, stocks_count, unnest([{'metric': 'auc', 'score': auc},
 m2 AS (SELECT model_name, stocks_count, m.metric AS metric, m.score AS score FROM m WHERE m.score > 0)
 """ + rounded("SELECT * FROM m2 QUALIFY row_number() OVER (PARTITION BY metric ORDER BY score DESC, model_name, stocks_count) = 1",
               keep="model_name, stocks_count, metric")
-O["best_model"] = REG + ",\nrecent AS (SELECT * FROM reg ORDER BY timestamp DESC, file_name LIMIT 50)\n" + rounded(
+O["best_model"] = REG + ",\nrecent AS (SELECT * FROM reg)\n" + rounded(
     "SELECT * FROM recent ORDER BY auc DESC NULLS LAST, timestamp DESC, file_name LIMIT 1", keep=_RK)
 O["latest_model"] = REG + "\n" + rounded("SELECT * FROM reg ORDER BY timestamp DESC, file_name LIMIT 3", keep=_RK)
 O["perf_gate"] = REG + "\n" + rounded(

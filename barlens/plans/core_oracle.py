@@ -37,9 +37,7 @@ O: dict[str, str] = {}
 # ---- sources
 O["scan_bars"] = BT + "\n" + rounded("SELECT * FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
 O["scan_benchmark"] = with_ctes(MARKET_CTE) + "\n" + rounded("SELECT * FROM market", keep="date")
-O["scan_universe"] = BB + """,
-uni AS (SELECT row_number() OVER (ORDER BY ticker) AS ordinal, ticker FROM (SELECT DISTINCT p_brand AS ticker FROM part))
-""" + rounded("SELECT * FROM bars WHERE ticker IN (SELECT ticker FROM uni WHERE ordinal <= 10)")
+O["scan_universe"] = BB + "\n" + rounded("SELECT * FROM bars")
 O["tz_normalize"] = """SELECT event_id,
   (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS ts_local,
   CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS date_local

@@ -42,9 +42,11 @@ def scan_benchmark(spark, sf):
     return rnd(_market(spark, sf), keep=("date",))
 
 
-def scan_universe(spark, sf, n=10):
-    u = SB.universe(spark, sf, "p_brand").filter(F.col("ordinal") <= n).select("ticker")
-    return rnd(_bars(spark, sf, "p_brand").join(F.broadcast(u), "ticker", "left_semi"))
+def scan_universe(spark, sf, n=None):
+    """Bars of the whole universe, or of its first ``n`` tickers."""
+    u = SB.universe(spark, sf, "p_brand")
+    u = (u if n is None else u.filter(F.col("ordinal") <= n)).select("ticker")
+    return rnd(_bars(spark, sf, "p_brand").join(u, "ticker", "left_semi"))
 
 
 def tz_normalize(spark, sf):

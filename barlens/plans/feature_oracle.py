@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barlens.plans.sqlkit import (
-    PART, base, corr, cov, cum, div, ema, ewm, frame, horizon, lag, pct, roll, rounded, running, sma, std,
+    PART, base, corr, cov, cum, div, ema, ewm, frame, lag, pct, roll, rounded, running, sma, std,
 )
 
 B = base()
@@ -65,7 +65,7 @@ O["ema"] = q(cols(*[f"e{p} AS ema_{p}, {div('close', f'e{p}')} AS close_ema_{p}_
 _RSI_STAGES = _stages(
     ("r1", "bars", "close - " + lag("close") + " AS d"),
     ("r2", "r1", "CASE WHEN d > 0 THEN d ELSE 0.0 END AS up, CASE WHEN d < 0 THEN -d ELSE 0.0 END AS dn"),
-    ("r3", "r2", f"{ewm('up', 1 / 14, horizon(1 / 14))} AS eu, {ewm('dn', 1 / 14, horizon(1 / 14))} AS ed, count(up) OVER {cum()} AS n_seen"),
+    ("r3", "r2", f"{ewm('up', 1 / 14)} AS eu, {ewm('dn', 1 / 14)} AS ed, count(up) OVER {cum()} AS n_seen"),
     ("r4", "r3", "CASE WHEN n_seen >= 14 THEN (CASE WHEN ed = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + eu / ed) END) END AS rsi"),
 )
 O["rsi"] = q("rsi", "r4", _RSI_STAGES)
@@ -88,7 +88,7 @@ _TR = f"greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')
 O["atr"] = q("atr, atr_ratio", "a4", _stages(
     ("a1", "bars", f"{_TR} AS tr, row_number() OVER ({PART}) AS rn"),
     ("a2", "a1", f"CASE WHEN rn = 14 THEN avg(tr) OVER {frame(14)} WHEN rn > 14 THEN tr END AS seed"),
-    ("a3", "a2", f"CASE WHEN rn < 14 THEN 0.0 ELSE {ewm('seed', 1 / 14, horizon(1 / 14))} END AS atr"),
+    ("a3", "a2", f"CASE WHEN rn < 14 THEN 0.0 ELSE {ewm('seed', 1 / 14)} END AS atr"),
     ("a4", "a3", f"{div('atr', 'close')} AS atr_ratio"),
 ))
 O["volume_sma"] = q(f"{sma('volume', 20)} AS volume_sma, {div('volume', sma('volume', 20))} AS volume_ratio")
@@ -190,7 +190,7 @@ _KEYS = ("rsi", "volume_ratio", "close_sma_20_ratio", "macd", "bb_position")
 _INTER = _stages(
     ("r1", "bars", "close - " + lag("close") + " AS d"),
     ("r2", "r1", "CASE WHEN d > 0 THEN d ELSE 0.0 END AS up, CASE WHEN d < 0 THEN -d ELSE 0.0 END AS dn"),
-    ("r3", "r2", f"{ewm('up', 1 / 14, horizon(1 / 14))} AS eu, {ewm('dn', 1 / 14, horizon(1 / 14))} AS ed, count(up) OVER {cum()} AS n_seen, "
+    ("r3", "r2", f"{ewm('up', 1 / 14)} AS eu, {ewm('dn', 1 / 14)} AS ed, count(up) OVER {cum()} AS n_seen, "
                  f"{div('volume', sma('volume', 20))} AS volume_ratio, {div('close', sma('close', 20))} AS close_sma_20_ratio, "
                  f"{ema('close', 12)} - {ema('close', 26)} AS macd, {sma('close', 20)} AS bbm, {roll('stddev_pop', 'close', 20)} AS bsd"),
     ("r4", "r3", "CASE WHEN n_seen >= 14 THEN (CASE WHEN ed = 0 THEN 100.0 ELSE 100.0 - 100.0 / (1.0 + eu / ed) END) END AS rsi, "

@@ -12,6 +12,9 @@ O["resample_bars"] = rounded("""SELECT event_type AS ticker, date_trunc('hour',
   CAST(count(*) AS DOUBLE) AS volume
 FROM events GROUP BY 1, 2""", keep="ticker, bar_start")
 
+# the stream has seen all events, so its bars are the batch bars
+O["stream_bars"] = O["resample_bars"]
+
 # persistence round trips: what is read back equals what was written
 O["write_bars"] = BB + "\n" + rounded("SELECT * FROM bars")
 _F = ", ".join(FEATURES)

@@ -108,27 +108,21 @@ def cov(x: str, y: str, k: int, part: str = PART) -> str:
     return f"(CASE WHEN count({xj}) OVER {f} = {k} THEN covar_samp({xj}, {yj}) OVER {f} END)"
 
 
-def ewm(x: str, alpha: float, horizon: int, part: str = PART) -> str:
-    """Recursive EWM folded over the non-null values of the last horizon+1 rows (same bounded fold
-    as the Spark side; NULL-initialised so the first value seeds the recursion)."""
+def ewm(x: str, alpha: float, part: str = PART) -> str:
+    """Recursive EWM folded over all earlier non-null values (NULL-initialised: the first one seeds it)."""
     a = f"CAST({float(alpha)!r} AS DOUBLE)"
-    xs = f"list_filter(list({x}) OVER ({part} ROWS BETWEEN {horizon} PRECEDING AND CURRENT ROW), lambda v: v IS NOT NULL)"
+    xs = f"list_filter(list({x}) OVER {cum(part)}, lambda v: v IS NOT NULL)"
     return (f"list_reduce({xs}, lambda acc, v: CASE WHEN acc IS NULL THEN v ELSE {a} * v + (1.0 - {a}) * acc END, "
             f"CAST(NULL AS DOUBLE))")
 
 
-def horizon(alpha: float) -> int:
-    import math
-    return int(math.ceil(39.0 / -math.log(1.0 - alpha)))
-
-
 def seen(x: str, part: str = PART) -> str:
     return f"count({x}) OVER {cum(part)}"
 
 
 def ema(x: str, span: int, part: str = PART) -> str:
     a = 2.0 / (span + 1.0)
-    return f"(CASE WHEN {seen(x, part)} >= {span} THEN {ewm(x, a, horizon(a), part)} END)"
+    return f"(CASE WHEN {seen(x, part)} >= {span} THEN {ewm(x, a, part)} END)"
 
 
 def running(op: str, x: str, part: str = PART) -> str:

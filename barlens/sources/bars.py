@@ -34,7 +34,7 @@ def _trades(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame
     return li.select(
         *LINE_KEY,
         F.to_date("l_shipdate").alias("date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.try_divide("l_extendedprice", "l_quantity").alias("price"),
     )
 
 

@@ -1,16 +1,15 @@
 """Structured Streaming: raw events -> OHLCV bars, and idempotent re-ingest.
 
-The file source reads the ``events`` parquet; event time is cast from ``timestamp_ntz`` to
-``timestamp`` (watermarks need the latter).  Sinks are parquet folders with their checkpoints under
-the cluster's shared checkpoint directory, so a restarted query (or a lost executor) resumes from
-the committed offsets with exactly-once output.
+The file source reads the ``events`` parquet; event time is cast from ``timestamp_ntz`` to ``timestamp``
+(watermarks need the latter).  A stream has one name, and with it one sink and one checkpoint under the shared
+checkpoint folder: a run that follows an earlier one, or a lost driver, goes on from the committed offsets.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlens.session import scratch_path
@@ -34,29 +33,44 @@ def bars_from_events(events: DataFrame, width: str = "1 hour", lateness: str = "
             .select("ticker", F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "volume"))
 
 
-def run_to_parquet(df: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a streaming plan to completion (``availableNow``) into a parquet sink; returns its path."""
-    spark = df.sparkSession
-    run = uuid.uuid4().hex[:12]
-    out = scratch_path(spark, "streams", name, run, "data")
-    ckpt = scratch_path(spark, "streams", name, run, "checkpoint")
-    q = (df.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+def stream_name(kind: str, sf_dir: str) -> str:
+    return f"{kind}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+
+
+def run_updates(df: DataFrame, name: str) -> str:
+    """Run a windowed aggregate to the end of its input in update mode: every batch writes the windows it changed
+    to a folder of its own number, so a batch that is run again replaces itself.  Returns the sink."""
+    out = scratch_path(df.sparkSession, "streams", name, "data")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    (df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch_path(df.sparkSession, "streams", name, "checkpoint"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return out
+
+
+def run_appends(df: DataFrame, name: str) -> str:
+    """Run an append-only plan to the end of its input into a parquet sink; returns its path."""
+    out = scratch_path(df.sparkSession, "streams", name, "data")
+    (df.writeStream.format("parquet").outputMode("append").option("path", out)
+     .option("checkpointLocation", scratch_path(df.sparkSession, "streams", name, "checkpoint")).trigger(availableNow=True).start().awaitTermination())
     return out
 
 
-def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = run_to_parquet(bars_from_events(event_stream(spark, sf_dir)), "bars")
-    return spark.read.parquet(path)
+def stream_bars(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """Bars of all events seen so far, open windows included: the newest state of each window."""
+    path = run_updates(bars_from_events(event_stream(spark, sf_dir)), name or stream_name("bars", sf_dir))
+    rows = spark.read.option("basePath", path).parquet(path).drop("part")
+    newest = F.row_number().over(Window.partitionBy("ticker", "bar_start").orderBy(F.col("batch").desc()))
+    return rows.withColumn("_n", newest).where("_n = 1").drop("_n", "batch")
 
 
 def dedup_events(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same range fetched twice (two sources over the same files) lands once."""
+def stream_dedup(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The same range fetched twice (two sources over the same files) lands once, also over several runs."""
     twice = event_stream(spark, sf_dir).unionByName(event_stream(spark, sf_dir))
-    path = run_to_parquet(dedup_events(twice), "dedup")
-    return spark.read.parquet(path)
+    return spark.read.parquet(run_appends(dedup_events(twice), name or stream_name("dedup", sf_dir)))

@@ -111,3 +111,39 @@ def test_short_and_single_row_tickers(spark):
 def test_nvi_moves_only_on_lower_volume(spark):
     df = make_bars(spark, closes(spark, "A", [10, 11, 12, 6], [100, 50, 80, 40]))
     assert _pdf(volume.nvi(df), ["negative_volume_index"]).negative_volume_index.tolist() == pytest.approx([1000, 1100, 1100, 550])
+
+
+def test_rsi_of_a_long_flat_stretch_keeps_its_last_value(spark):
+    from barlens.operators.features.technical import rsi
+
+    import math
+
+    moving = [100.0 + 5.0 * math.sin(i * 1.7) + 0.1 * i for i in range(40)]
+    out = rsi(make_bars(spark, closes(spark, "A", moving + [moving[-1]] * 700))).orderBy("date").toPandas()["rsi"].tolist()
+    up = dn = 0.0
+    values = moving + [moving[-1]] * 700
+    want = []
+    for i, v in enumerate(values):
+        d = v - values[i - 1] if i else 0.0
+        u, w = max(d, 0.0), max(-d, 0.0)
+        up, dn = (u, w) if not i else (u / 14 + up * 13 / 14, w / 14 + dn * 13 / 14)
+        want.append(100.0 if dn == 0 else 100.0 - 100.0 / (1.0 + up / dn))
+    assert all(abs(a - b) < 1e-6 for a, b in zip(out[13:], want[13:]))
+    assert abs(out[-1] - out[39]) < 1e-6
+
+
+def test_ewm_skips_nulls_and_crosses_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from barlens.functions.series import with_ewm
+
+    n = 130
+    df = spark.range(n).select(F.lit("A").alias("ticker"), F.col("id").alias("date"),
+                               F.when((F.col("id") > 2) & (F.col("id") % 7 != 0), F.sin(F.col("id").cast("double"))).alias("x"))
+    got = [r.y for r in with_ewm(df, {"y": ("x", 0.2)}, block=16).orderBy("date").collect()]
+    acc, want = None, []
+    for r in df.orderBy("date").collect():
+        if r.x is not None:
+            acc = r.x if acc is None else 0.2 * r.x + 0.8 * acc
+        want.append(acc)
+    assert all((a is None and b is None) or abs(a - b) < 1e-12 for a, b in zip(got, want))

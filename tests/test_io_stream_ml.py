@@ -36,14 +36,15 @@ def test_processed_versions_pair_and_order(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
-def test_stream_bars_equal_batch_bars_on_closed_windows(spark):
+def test_stream_bars_equal_batch_bars(spark):
     from barlens.sources.bars import event_bars
     from barlens.streaming.bars import stream_bars
 
     s = stream_bars(spark, SF)
-    b = event_bars(spark, SF)
-    assert s.count() <= b.count()
-    assert s.exceptAll(b.select(*s.columns)).count() == 0  # every emitted window is exact
+    b = event_bars(spark, SF).select(*s.columns)
+    assert s.count() == b.count()
+    assert s.exceptAll(b).count() == b.exceptAll(s).count() == 0
+    assert stream_bars(spark, SF).exceptAll(s).count() == 0  # a second run goes on from the first
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")

@@ -157,3 +157,18 @@ def test_distributed_ntile_equals_window_ntile(spark, bins):
     exp = df.select("*", F.ntile(bins).over(Window.partitionBy("feature").orderBy("value", "ticker", "date")).alias("bin"))
     got = ntile_positions(df, bins)
     assert exp.exceptAll(got).count() == 0 and got.exceptAll(exp).count() == 0
+
+
+def test_zero_divisors_give_null_instead_of_failing(spark):
+    from barlens.operators.metrics import ks_drift, roc_auc
+    from barlens.operators.reports import max_drawdown
+    from barlens.operators.select import f_score
+
+    flat = make_bars(spark, [("A", i, 0, 0, 0, c, 1) for i, c in enumerate([0.0, 1.0, 2.0])])
+    assert {r.drawdown_pct for r in max_drawdown(flat).collect()} == {None}
+    one_sided = spark.createDataFrame([("f", 1.0, 0), ("f", 2.0, 0)], "feature string, value double, sample int")
+    assert [(r.ks_stat, r.p_value) for r in ks_drift(one_sided).collect()] == [(None, None)]
+    one_class = spark.createDataFrame([("A", 1.0, 1), ("A", 2.0, 1)], "ticker string, x double, outperforms int")
+    assert [r.f_score for r in f_score(one_class, ["x"]).collect()] == [None]
+    empty = spark.createDataFrame([], "score double, label int")
+    assert all(r.auc is None for r in roc_auc(empty).collect())

@@ -36,7 +36,8 @@ def resample_bars(spark, sf):
 
 
 def stream_bars(spark, sf):
-    return rnd(STR.stream_bars(spark, sf), keep=("ticker", "bar_start"))
+    bars = STR.stream_bars(spark, sf)
+    return rnd(bars.withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz")), keep=("ticker", "bar_start"))
 
 
 def stream_dedup(spark, sf):

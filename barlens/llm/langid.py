@@ -82,10 +82,12 @@ def fit(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col:
     """One dictionary per non-null language, from whole sampled texts in hash order."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = n.select("lang", F.least(F.lit(1.0), plan.rows_per_lang / F.col("n")).alias("share"))
+    counts = rows.groupBy("lang").count().collect()  # one row per language
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, plan.rows_per_lang / r["count"]))).otherwise(share)
     u = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000)) / 1_000_000.0
-    sample = rows.join(share, "lang").where(u < F.col("share")).select("lang", "text", u.alias("u")).toPandas()
+    sample = rows.where(u < share).select("lang", "text", u.alias("u")).toPandas()
     have = {}
     for lang, part in sample.sort_values(["lang", "u", "text"]).drop_duplicates(["lang", "text"]).groupby("lang"):
         have[lang] = [letters(t).encode("utf-8", "surrogatepass") for t in part["text"]]

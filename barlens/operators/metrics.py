@@ -2,8 +2,8 @@
 
 Global orderings (rank-sum AUC, PR curve, KS) never use an un-partitioned window over the data:
 rows are first collapsed to distinct values (a hot value becomes one row), distinct values are
-range-bucketed by approximate quantiles, bucket totals (a table of ``buckets`` rows) get a prefix
-sum, and each row adds its within-bucket running sum to its bucket offset.
+range-sorted, partition totals get a prefix sum, and each row adds its running sum within the
+partition to the partition's offset.
 """
 
 from __future__ import annotations
@@ -13,39 +13,29 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-
 
 def prefix_sums(df: DataFrame, order: str, cols: list[str], keys: list[str] | None = None,
-                buckets: int = DEFAULT_BUCKETS, inclusive: bool = True) -> DataFrame:
-    """Running sums of ``cols`` in ``order`` (unique within ``keys``), computed bucket-parallel.
+                buckets: int | None = None, inclusive: bool = True) -> DataFrame:
+    """Running sums of ``cols`` in ``order`` (unique within ``keys``); adds ``cum_<c>`` for each c.
 
-    Adds ``cum_<c>`` for each c.  ``order`` must be numeric; quantile bounds (``buckets`` values)
-    are the only thing read on the driver.
+    A range sort on (keys, order) cuts every key into as many slices as its rows need (``buckets``: number
+    of range partitions, by default sized by the session); slice totals (a row per key and partition) give
+    the offsets.  The sorted table is checkpointed in the shared folder, which fixes the partition numbers
+    that the totals and the rows both refer to.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    keys = keys or []
-    # the distinct-value table feeds two jobs (quantile bounds, then the sums): materialise it once in
-    # the shared checkpoint folder instead of re-running its lineage (no executor memory is held)
     from barlens.session import checkpoint_dir
 
+    keys = keys or []
     checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(b for b in df.stat.approxQuantile(order, probs, 0.001) if b is not None and math.isfinite(b)))
-    t = df.withColumn("_ord_d", F.col(order).cast("double"))
-    if bounds:
-        splits = [-math.inf] + bounds + [math.inf]
-        t = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_bk", handleInvalid="keep").transform(t)
-    else:  # no rows: one empty bucket
-        t = t.withColumn("_bk", F.lit(0.0))
-    tot = t.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    by = [F.col(c) for c in (*keys, order)]
+    t = df.repartitionByRange(buckets, *by) if buckets else df.repartitionByRange(*by)
+    t = t.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    tot = t.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in cols])
     hi = 0 if inclusive else -1
-    w = Window.partitionBy(*keys, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, hi)
-    j = t.join(F.broadcast(off) if not keys else off, [*keys, "_bk"])
+    w = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, hi)
+    j = t.join(off, [*keys, "_part"])
     return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"cum_{c}") for c in cols])
 
 
@@ -56,7 +46,7 @@ def score_counts(scored: DataFrame, score: str = "score", label: str = "label",
 
 
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label", keys: list[str] | None = None,
-            buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """Rank-sum AUC with average ranks for ties: for every positive, negatives scored lower count 1
     and tied negatives count 1/2."""
     keys = keys or []
@@ -86,7 +76,7 @@ def class_metrics(scored: DataFrame, pred: str = "pred", label: str = "label", k
     return a.select("*", f1.alias("f1_score"))
 
 
-def pr_curve(scored: DataFrame, score: str = "score", label: str = "label", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", label: str = "label", buckets: int | None = None) -> DataFrame:
     """Precision/recall at every distinct score threshold t (predicted positive = score >= t)."""
     sc = score_counts(scored, score, label)
     c = prefix_sums(sc, score, ["pos", "neg"], None, buckets, inclusive=False)
@@ -123,7 +113,7 @@ def perf_gate(metrics: DataFrame, min_accuracy: float = 0.55, min_auc: float = 0
 
 
 def ks_drift(long: DataFrame, key: str = "feature", value: str = "value", sample: str = "sample",
-             alpha: float = 0.05, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+             alpha: float = 0.05, buckets: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov per ``key``: ``sample`` is 0 (reference) or 1 (current).
     D = max |F0 - F1| over distinct values; asymptotic p-value; drift when p < alpha."""
     c = long.filter(F.col(value).isNotNull()).groupBy(key, value).agg(

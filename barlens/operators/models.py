@@ -69,8 +69,8 @@ def training_table(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(t)
 
 
-def fit(name: str, train: DataFrame, features: list[str]) -> PipelineModel:
-    n = train.count()
+def fit(name: str, train: DataFrame, features: list[str], n_rows: int | None = None) -> PipelineModel:
+    n = train.count() if n_rows is None else n_rows
     stages = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"),
               estimator(name, len(features), n)]
     t = train.select("*", F.col(LABEL).cast("double").alias("label"),
@@ -93,30 +93,38 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def evaluate(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    s = score(model, df).select(F.lit(name).alias("model_name"), F.col("prob").alias("score"),
-                                F.col(LABEL).alias("label"), "pred").persist()
+    s = score(model, df).select(F.lit(name).alias("model_name"), F.col("prob").alias("score"), F.col(LABEL).alias("label"), "pred")
     a = roc_auc(s, keys=["model_name"]).select("model_name", "auc")
     c = class_metrics(s, keys=["model_name"]).select("model_name", "accuracy", "precision", "recall", "f1_score")
     return a.join(c, "model_name")
 
 
-def train_all(train: DataFrame, test: DataFrame, features: list[str], names=MODEL_NAMES) -> tuple[DataFrame, dict]:
-    """Fit every named model (a failure is recorded, not raised); returns (metrics table, models)."""
+def train_all(train: DataFrame, test: DataFrame, features: list[str], names=MODEL_NAMES,
+              val: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """Fit every named model (a failure is a row with its ``error``, not raised); returns (table, models).
+
+    Metrics are those of ``test``.  With ``val``, ``val_auc`` is the AUC there and ``is_best`` marks the
+    model that is best by it (ties by name), so the choice does not see the test rows."""
     spark = train.sparkSession
-    train = train.persist()
-    results, models, failed = [], {}, []
+    n_rows = train.count()
+    out = spark.createDataFrame([], "model_name string, auc double, accuracy double, precision double, recall double, f1_score double, error string")
+    models, val_auc = {}, {}
     for n in names:
         try:
-            m = fit(n, train, features)
+            m = fit(n, train, features, n_rows)
             models[n] = m
-            results.append(evaluate(m, test, n))
+            row = evaluate(m, test, n)
+            if val is not None:
+                s = score(m, val).select(F.col("prob").alias("score"), F.col(LABEL).alias("label"))
+                val_auc[n] = roc_auc(s).first()["auc"]  # one number per model
+            out = out.unionByName(row, allowMissingColumns=True)
         except Exception as e:  # noqa: BLE001 -- a failing model is skipped like in the reference
-            failed.append((n, repr(e)[:200]))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    if failed:
-        out = out.unionByName(spark.createDataFrame(failed, "model_name string, error string"), allowMissingColumns=True)
+            failed = spark.createDataFrame([(n, repr(e)[:200])], "model_name string, error string")
+            out = out.unionByName(failed, allowMissingColumns=True)
+    if val is not None:
+        table = spark.createDataFrame(list(val_auc.items()), "model_name string, val_auc double")
+        best = min((n for n, a in val_auc.items() if a is not None), key=lambda n: (-val_auc[n], n), default=None)
+        out = out.join(table, "model_name", "left").withColumn("is_best", F.col("model_name").eqNullSafe(F.lit(best)))
     return out, models
 
 
@@ -140,9 +148,9 @@ def top_features(imp: DataFrame, n: int = 20) -> DataFrame:
 def rfe(train: DataFrame, features: list[str], keep: int, step: int = 1) -> list[str]:
     """Recursive elimination: refit a random forest and drop the least important feature(s)."""
     cur = list(features)
-    train = train.persist()
+    n = train.count()
     while len(cur) > keep:
-        imp = feature_importance(fit("random_forest", train, cur), cur).orderBy("importance", "feature")
+        imp = feature_importance(fit("random_forest", train, cur, n), cur).orderBy("importance", "feature")
         drop = [r.feature for r in imp.limit(min(step, len(cur) - keep)).collect()]
         cur = [c for c in cur if c not in drop]
     return cur

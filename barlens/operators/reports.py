@@ -99,15 +99,22 @@ def box_stats(df: DataFrame, value: str, key: str = "ticker") -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int, key: str | None = None) -> DataFrame:
-    """Equal-width bins between the (per-key) min and max; the max falls into the last bin."""
+    """Equal-width bins between the (per-key) min and max; the max falls into the last bin, empty bins
+    count 0.  Bounds and counts are aggregates (a row per key, a row per key and bin), so no task holds
+    all rows of a key."""
     keys = [key] if key else []
-    w = Window.partitionBy(*keys)
-    t = df.filter(F.col(value).isNotNull()).select(*keys, value, F.min(value).over(w).alias("_lo"), F.max(value).over(w).alias("_hi"))
+    v = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    lim = v.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).filter(F.col("_lo").isNotNull())
+    if keys:
+        t = v.join(lim, keys)
+    else:
+        t = v.select(value, v.select(F.min(value)).scalar().alias("_lo"), v.select(F.max(value)).scalar().alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    t = t.select(*keys, "_lo", "_hi", b.alias("bin"))
-    g = t.groupBy(*keys, "bin", "_lo", "_hi").agg(F.count("*").alias("count"))
-    return g.select(*keys, "bin", (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"), "count")
+    n = t.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("count"))
+    every = lim.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(n, [*keys, "bin"], "left")
+    return every.select(*keys, "bin", (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_start"),
+                        F.coalesce("count", F.lit(0)).alias("count"))
 
 
 def _pair_corr(x: str, y: str):

@@ -10,8 +10,7 @@ FEATURES = ["momentum_20", "rs_sma_20", "price_ma_position_20", "price_zscore_20
 SIGNALS = ["momentum_20", "rs_sma_20", "price_zscore_20", "volume_ratio", "volatility_20"]
 
 _S20 = sma("close", 20)
-FRAME = BTM + LABELS_CTES + f""",
-sig0 AS (SELECT ticker, date, close, volume,
+_SIG = f"""sig0 AS (SELECT ticker, date, close, volume,
     close / nullif(lag(close, 20) OVER ({P}), 0) - 1 AS momentum_20,
     (close - {_S20}) / nullif({_S20}, 0) AS rs_sma_20,
     (close - {_S20}) / nullif({_S20}, 0) AS price_ma_position_20,
@@ -19,7 +18,9 @@ sig0 AS (SELECT ticker, date, close, volume,
     volume / nullif({sma('volume', 20)}, 0) AS volume_ratio,
     close / nullif(lag(close) OVER ({P}), 0) - 1 AS r_
   FROM bars),
-sig1 AS (SELECT * EXCLUDE (r_), {std('r_', 20)} AS volatility_20 FROM sig0),
+sig1 AS (SELECT * EXCLUDE (r_), {std('r_', 20)} AS volatility_20 FROM sig0)"""
+SIGNALS_SQL = with_ctes(BARS_CTE) + ",\n" + _SIG
+FRAME = BTM + LABELS_CTES + ",\n" + _SIG + """,
 fl AS (SELECT sig1.*, lab.stock_return, lab.benchmark_return, lab.excess_return, lab.outperforms
        FROM sig1 JOIN lab ON sig1.ticker = lab.ticker AND sig1.date = lab.date),
 pos AS (SELECT *, row_number() OVER (ORDER BY date, ticker) - 1 AS row_pos, count(*) OVER () AS n_all FROM fl),
@@ -75,8 +76,10 @@ top AS (SELECT ticker FROM ar ORDER BY sharpe_ratio DESC, ticker LIMIT 5),
 r AS (SELECT * FROM (SELECT ticker, date, close / nullif(lag(close) OVER ({P}), 0) - 1 AS r FROM bars)
       WHERE ticker IN (SELECT ticker FROM top) AND r IS NOT NULL),
 r2 AS (SELECT *, min(r) OVER (PARTITION BY ticker) AS lo, max(r) OVER (PARTITION BY ticker) AS hi FROM r),
-r3 AS (SELECT ticker, lo, hi, CAST(least(coalesce(floor((r - lo) / nullif((hi - lo) / 50, 0)), 0), 49) AS INTEGER) AS bin FROM r2)
-""" + rounded("SELECT ticker, bin, lo + bin * (hi - lo) / 50 AS bin_start, count(*) AS count FROM r3 GROUP BY ticker, bin, lo, hi",
+r3 AS (SELECT ticker, CAST(least(coalesce(floor((r - lo) / nullif((hi - lo) / 50, 0)), 0), 49) AS INTEGER) AS bin FROM r2),
+bins AS (SELECT ticker, lo, hi, CAST(unnest(range(50)) AS INTEGER) AS bin FROM (SELECT DISTINCT ticker, lo, hi FROM r2))
+""" + rounded("SELECT b.ticker, b.bin, lo + b.bin * (hi - lo) / 50 AS bin_start, count(r3.bin) AS count "
+              "FROM bins b LEFT JOIN r3 ON b.ticker = r3.ticker AND b.bin = r3.bin GROUP BY b.ticker, b.bin, lo, hi",
               keep="ticker, bin, count")
 O["max_drawdown"] = BB_DD = with_ctes(BARS_CTE, ticker="p_brand") + f""",
 c AS (SELECT ticker, date, close / first_value(close) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_growth FROM bars),
@@ -259,8 +262,10 @@ c2 AS (SELECT *, CAST(""" + " + ".join(f"CAST(confidence >= CAST({i / 10!r} AS D
 """ + rounded("SELECT bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(hit) AS accuracy FROM c2 GROUP BY bin", keep="bin, n")
 O["histogram_probs"] = SCORED + """,
 h AS (SELECT prob, min(prob) OVER () AS lo, max(prob) OVER () AS hi FROM sc0 WHERE split = 'test' AND prob IS NOT NULL),
-h2 AS (SELECT lo, hi, CAST(least(coalesce(floor((prob - lo) / nullif((hi - lo) / 30, 0)), 0), 29) AS INTEGER) AS bin FROM h)
-""" + rounded("SELECT bin, lo + bin * (hi - lo) / 30 AS bin_start, count(*) AS count FROM h2 GROUP BY bin, lo, hi", keep="bin, count")
+h2 AS (SELECT CAST(least(coalesce(floor((prob - lo) / nullif((hi - lo) / 30, 0)), 0), 29) AS INTEGER) AS bin FROM h),
+bins AS (SELECT lo, hi, CAST(unnest(range(30)) AS INTEGER) AS bin FROM (SELECT DISTINCT lo, hi FROM h))
+""" + rounded("SELECT b.bin, lo + b.bin * (hi - lo) / 30 AS bin_start, count(h2.bin) AS count "
+              "FROM bins b LEFT JOIN h2 ON b.bin = h2.bin GROUP BY b.bin, lo, hi", keep="bin, count")
 O["validate_predictions"] = SCORED + """
 SELECT ticker, date, pred AS predicted, label AS actual, pred = label AS correct FROM sc0 WHERE split = 'test'"""
 O["top_predictions"] = with_ctes(BARS_CTE, ticker="p_brand") + f""",

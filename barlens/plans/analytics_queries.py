@@ -20,6 +20,19 @@ SIGNALS = ["momentum_20", "rs_sma_20", "price_zscore_20", "volume_ratio", "volat
 SIZES = [2, 4, 6]
 
 
+def signals(bars: DataFrame) -> DataFrame:
+    """The signal columns of every bar."""
+    s20 = sma("close", 20)
+    t = bars.select("ticker", "date", "close", "volume",
+                    (div("close", lag("close", 20)) - 1).alias("momentum_20"),
+                    div(F.col("close") - s20, s20).alias("rs_sma_20"),
+                    div(F.col("close") - s20, s20).alias("price_ma_position_20"),
+                    div(F.col("close") - s20, std("close", 20)).alias("price_zscore_20"),
+                    div("volume", sma("volume", 20)).alias("volume_ratio"),
+                    pct("close", 1).alias("_r"))
+    return t.select("*", std("_r", 20).alias("volatility_20")).drop("_r")
+
+
 def signal_frame(spark: SparkSession, sf: str, materialize: bool = True) -> DataFrame:
     """A compact feature table joined to labels and split chronologically (p_type universe).
 
@@ -28,17 +41,8 @@ def signal_frame(spark: SparkSession, sf: str, materialize: bool = True) -> Data
     scalar subqueries, the main job), so it is checkpointed once into the shared checkpoint folder:
     every later job reads that file instead of rescanning the trades, and survives executor loss."""
     b = SB.bars(spark, sf, "p_type")
-    s20 = sma("close", 20)
-    t = b.select("ticker", "date", "close", "volume",
-                 (div("close", lag("close", 20)) - 1).alias("momentum_20"),
-                 div(F.col("close") - s20, s20).alias("rs_sma_20"),
-                 div(F.col("close") - s20, s20).alias("price_ma_position_20"),
-                 div(F.col("close") - s20, std("close", 20)).alias("price_zscore_20"),
-                 div("volume", sma("volume", 20)).alias("volume_ratio"),
-                 pct("close", 1).alias("_r"))
-    t = t.select("*", std("_r", 20).alias("volatility_20")).drop("_r")
     lab = L.labels(b, SB.market_bars(spark, sf))
-    out = S.chrono_split(t.join(lab, ["ticker", "date"]))
+    out = S.chrono_split(signals(b).join(lab, ["ticker", "date"]))
     if not materialize:
         return out
     from barlens.session import checkpoint_dir

@@ -11,6 +11,7 @@ from barlens.operators import joins as J
 from barlens.operators import labels as L
 from barlens.operators import split as S
 from barlens.sources import bars as SB
+from barlens.sources.store import fresh_files
 from barlens.sources.tables import read
 
 
@@ -56,11 +57,10 @@ def tz_normalize(spark, sf):
     return ev.select("event_id", local.alias("ts_local"), F.to_date(local).alias("date_local"))
 
 
-def fresh_scan(spark, sf, ttl_days=1):
-    """Rows of files modified within ``ttl_days`` of now (hidden file-metadata column)."""
-    li = spark.read.parquet(f"{sf.rstrip('/')}/lineitem.parquet")
-    fresh = F.col("_metadata.file_modification_time") >= F.current_timestamp() - F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    return li.filter(fresh).select("l_orderkey", "l_linenumber", "l_shipdate")
+def fresh_scan(spark, sf, ttl_days=1, now=None):
+    """Rows of files modified within ``ttl_days`` before ``now`` (default: the newest file's time)."""
+    li = fresh_files(spark, f"{sf.rstrip('/')}/lineitem.parquet", ttl_days, now)
+    return li.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("l_shipdate"))
 
 
 # ---- cleansing ----------------------------------------------------------------------------------------

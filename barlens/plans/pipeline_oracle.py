@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlens.plans.analytics_oracle import FEATURES, FRAME
+from barlens.plans.analytics_oracle import FEATURES, FRAME, SIGNALS_SQL
 from barlens.plans.core_oracle import BB
 from barlens.plans.sqlkit import rounded
 
@@ -21,4 +21,15 @@ _F = ", ".join(FEATURES)
 O["write_processed"] = FRAME + "\n" + rounded(f"SELECT ticker, date, {_F} FROM frame")
 O["read_processed"] = FRAME + "\n" + rounded(f"SELECT ticker, date, {_F}, outperforms FROM frame", keep="ticker, date, outperforms")
 
+# a set per year of trades; the last year has no labels, so it is not listed
+O["latest_version"] = """WITH y AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE l_shipdate IS NOT NULL)
+SELECT 'training' AS prefix, CAST(y AS VARCHAR) || '1231_000000' AS version FROM y WHERE y < (SELECT max(y) FROM y)"""
+# all files of a table written at once are fresh
+O["fresh_scan"] = "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem"
+# the newest bar of every series with at least 50 bars, whether or not its label is known yet
+O["score_rows"] = rounded(SIGNALS_SQL + """
+SELECT ticker, date AS prediction_date, close AS last_price, n_rows, """ + _F + """
+FROM (SELECT *, count(*) OVER (PARTITION BY ticker) AS n_rows, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM sig1)
+WHERE rn = 1 AND n_rows >= 50""", keep="ticker, prediction_date, n_rows")
+
 ORACLE = O

@@ -16,7 +16,7 @@ from barlens.operators import clean as CL
 from barlens.operators import models as MD
 from barlens.operators import select as SE
 from barlens.operators.features.engineer import engineer
-from barlens.plans.analytics_queries import FEATURES, signal_frame
+from barlens.plans.analytics_queries import FEATURES, signal_frame, signals
 from barlens.session import scratch_path
 from barlens.sources import bars as SB
 from barlens.sources import store as ST
@@ -75,47 +75,69 @@ def read_processed(spark, sf):
 
 
 def latest_version(spark, sf):
+    """A training set per calendar year of bars; the last year has no labels yet, so it is not a pair."""
     root = _run_dir(spark, "versions")
-    b = SB.bars(spark, sf, "p_type").select("ticker", "date", "close")
-    for v in ("20240101_000000", "20240201_000000"):
-        ST.write_processed(b, b.select("ticker", "date"), root, prefix="training", version=v)
-    ST.write_processed(b, b.select("ticker", "date"), root, prefix="test", version="20240301_000000")
-    b.write.mode("overwrite").parquet(f"{root}/orphan_features/version=20240401_000000")  # no labels: not a pair
+    b = SB.market_bars(spark, sf).select("date", "close", F.year("date").alias("year"))
+    years = sorted(r.year for r in b.select("year").distinct().collect())  # calendar years
+    for y in years:
+        one = b.filter(F.col("year") == y).select("date", "close")
+        ST.write_set(one, root, "training", "features", f"{y}1231_000000")
+        if y < years[-1]:
+            ST.write_set(one.select("date"), root, "training", "labels", f"{y}1231_000000")
     return ST.latest_version(spark, root)
 
 
 # ---- MLlib ------------------------------------------------------------------------------------------
 
-def ml_frame(spark, sf):
+def ml_frame(spark, sf, to_score=None):
     """Signal features, per-split median fill (sketch-based medians), train-fitted z-scores.
 
-    The signal table is checkpointed to the shared checkpoint directory first: every fit and model
-    iteration then scans that file instead of re-running the bar/label lineage, and a lost executor
-    re-reads it instead of recomputing."""
+    ``to_score``: unlabelled rows that are scaled like the rest, as split ``score``; their nulls become the
+    training mean.  The signal table is checkpointed to the shared checkpoint directory first: every fit
+    and model iteration then scans that file instead of re-running the bar/label lineage, and a lost
+    executor re-reads it instead of recomputing."""
     f = signal_frame(spark, sf).select("ticker", "date", "close", "split", "outperforms", *FEATURES)
     parts = [CL.median_impute(f.filter(F.col("split") == s), FEATURES, key=None, exact=False) for s in ("train", "val", "test")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return SE.standardize(u, FEATURES, F.col("split") == "train")
+    if to_score is not None:
+        u = u.unionByName(to_score.withColumn("split", F.lit("score")), allowMissingColumns=True)
+    u = SE.standardize(u, FEATURES, F.col("split") == "train")
+    return u if to_score is None else u.fillna(0.0, FEATURES)
+
+
+def newest_rows(spark, sf, as_of=None, min_rows=50):
+    """The newest bar and its signals of every series with at least ``min_rows`` bars up to ``as_of``
+    (default: all bars), whether or not the bar has a label yet."""
+    b = SB.bars(spark, sf, "p_type", end=as_of)
+    n = b.groupBy("ticker").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_rows)
+    return MD.latest_rows(signals(b)).join(n, "ticker")
+
+
+def score_rows(spark, sf, as_of=None):
+    """What ``score_universe`` scores: series, prediction date, last price and raw signals."""
+    t = newest_rows(spark, sf, as_of)
+    t = t.select("ticker", F.col("date").alias("prediction_date"), F.col("close").alias("last_price"), "n_rows", *FEATURES)
+    return rnd(t, keep=("ticker", "prediction_date", "n_rows"))
 
 
 def _train_one(name):
     def run(spark, sf):
-        f = ml_frame(spark, sf).persist()
-        m = MD.fit(name, f.filter("split = 'train'"), FEATURES)
+        f = ml_frame(spark, sf)
+        m = MD.fit(name,f.filter("split = 'train'"), FEATURES)
         return MD.evaluate(m, f.filter("split = 'test'"), name)
     run.__name__ = f"train_{name}"
     return run
 
 
 def train_all(spark, sf):
-    f = ml_frame(spark, sf).persist()
-    out, _ = MD.train_all(f.filter("split = 'train'"), f.filter("split = 'test'"), FEATURES)
+    f = ml_frame(spark, sf)
+    out, _ = MD.train_all(f.filter("split = 'train'"), f.filter("split = 'test'"), FEATURES, val=f.filter("split = 'val'"))
     return out
 
 
 def tune(spark, sf):
-    f = ml_frame(spark, sf).filter("split = 'train'").persist()
-    cv = MD.tune(f, FEATURES, "logistic_regression", folds=5)
+    f = ml_frame(spark, sf).filter("split = 'train'")
+    cv =MD.tune(f, FEATURES, "logistic_regression", folds=5)
     maps = cv.getEstimatorParamMaps()
     rows = [(str({p.name: v for p, v in m.items()}), float(a)) for m, a in zip(maps, cv.avgMetrics)]  # one row per grid point
     return spark.createDataFrame(rows, "params string, mean_auc double")
@@ -133,7 +155,7 @@ def rfe(spark, sf, keep=3):
 
 
 def model_save_load(spark, sf):
-    f = ml_frame(spark, sf).persist()
+    f = ml_frame(spark, sf)
     train = f.filter("split = 'train'")
     m = MD.fit("logistic_regression", train, FEATURES)
     root = _run_dir(spark, "models")
@@ -144,10 +166,12 @@ def model_save_load(spark, sf):
     return MD.score(loaded, f.filter("split = 'test'")).select("ticker", "date", "prob", "pred")
 
 
-def score_universe(spark, sf):
-    f = ml_frame(spark, sf).persist()
+def score_universe(spark, sf, as_of=None):
+    """The newest bar of every series as of a date, scored by a model of the training rows."""
+    newest = newest_rows(spark, sf, as_of).select("ticker", "date", "close", *FEATURES)
+    f = ml_frame(spark, sf, newest)
     m = MD.fit("logistic_regression", f.filter("split = 'train'"), FEATURES)
-    return MD.score_universe(m, f, FEATURES, "logistic_regression")
+    return MD.score_universe(m, f.filter("split = 'score'"), FEATURES, "logistic_regression")
 
 
 QUERIES = {
@@ -158,5 +182,5 @@ QUERIES = {
     "train_ridge": _train_one("ridge"), "train_random_forest": _train_one("random_forest"),
     "train_gbt": _train_one("gradient_boosting"), "train_svm": _train_one("svm"), "train_mlp": _train_one("mlp"),
     "train_all": train_all, "tune": tune, "feature_importance": feature_importance, "rfe": rfe,
-    "model_save_load": model_save_load, "score_universe": score_universe,
+    "model_save_load": model_save_load, "score_universe": score_universe, "score_rows": score_rows,
 }

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from barlens.session import scratch_path
 
+MANIFEST = "prefix string, kind string, version string"
+
 
 def write_bars(bars: DataFrame, path: str) -> str:
     """Partition by ticker; dynamic partition overwrite replaces only the tickers being written."""
@@ -38,11 +40,18 @@ def write_processed(features: DataFrame, labels: DataFrame, root: str, prefix: s
                     version: str | None = None) -> str:
     """``<root>/<prefix>_features/version=<v>`` and ``<root>/<prefix>_labels/version=<v>``."""
     v = version or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    features.write.mode("overwrite").parquet(f"{root}/{prefix}_features/version={v}")
-    labels.write.mode("overwrite").parquet(f"{root}/{prefix}_labels/version={v}")
+    write_set(features, root, prefix, "features", v)
+    write_set(labels, root, prefix, "labels", v)
     return v
 
 
+def write_set(df: DataFrame, root: str, prefix: str, kind: str, version: str) -> None:
+    """One saved set, and its row in the manifest once the set is complete."""
+    df.write.mode("overwrite").parquet(f"{root}/{prefix}_{kind}/version={version}")
+    row = df.sparkSession.createDataFrame([(prefix, kind, version)], MANIFEST)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{prefix}_{kind}_{version}")
+
+
 def read_processed(spark: SparkSession, root: str, prefix: str = "processed_data", version: str | None = None):
     """Features and labels of one version (latest when not given)."""
     if version is None:
@@ -53,12 +62,8 @@ def read_processed(spark: SparkSession, root: str, prefix: str = "processed_data
 
 
 def list_versions(spark: SparkSession, root: str) -> DataFrame:
-    """Every saved set: (kind, prefix, version) from the files' own paths (hidden ``_metadata``)."""
-    files = spark.read.option("recursiveFileLookup", "false").parquet(f"{root}/*_*/version=*").select(
-        F.col("_metadata.file_path").alias("p")).distinct()
-    rx = r"/([A-Za-z0-9_]+)_(features|labels)/version=([0-9_]+)/"
-    return files.select(F.regexp_extract("p", rx, 1).alias("prefix"), F.regexp_extract("p", rx, 2).alias("kind"),
-                        F.regexp_extract("p", rx, 3).alias("version")).distinct()
+    """Every saved set (prefix, kind, version), from the manifest: one small row per set, no data file is read."""
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest/*").distinct()
 
 
 def latest_version(spark: SparkSession, root: str, prefix: str | None = None) -> DataFrame:
@@ -71,11 +76,13 @@ def latest_version(spark: SparkSession, root: str, prefix: str | None = None) ->
     return f.join(lab, ["prefix", "version"]).orderBy(F.col("version").desc(), "prefix")
 
 
-def fresh_files(spark: SparkSession, path: str, ttl_days: float = 1.0) -> DataFrame:
-    """Rows from files modified within the TTL; older cached files are ignored."""
+def fresh_files(spark: SparkSession, path: str, ttl_days: float = 1.0, now: _dt.datetime | None = None) -> DataFrame:
+    """Rows from files modified within the TTL before ``now`` (default: when the newest file was written);
+    older cached files are ignored."""
     df = spark.read.parquet(path)
-    cutoff = F.current_timestamp() - F.make_interval(secs=F.lit(ttl_days * 86400.0))
-    return df.filter(F.col("_metadata.file_modification_time") >= cutoff)
+    written = F.col("_metadata.file_modification_time")
+    at = F.lit(now) if now is not None else df.select(F.max(written)).scalar()
+    return df.filter(written >= at - F.make_dt_interval(secs=F.lit(ttl_days * 86400.0)))
 
 
 def default_root(spark: SparkSession, name: str) -> str:

@@ -22,13 +22,13 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: allow-listed candidates: UUIDs, spaced-out numbers and dates, paths of plain words, placeholders
+#: allow-listed candidates: UUIDs and placeholders
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[0-9]+([-_/=+][0-9]+)*$",
-    r"^([A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4})([-_/=]([A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4}))+[-_/=]?$",
     r"(?i)example|placeholder|changeme|dummy|xxxx|0000|1234",
 )
+#: a piece of an allow-listed path: a plain word, perhaps numbered, or a short number
+_PIECE = r"^([A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4})$"
 _ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 
 
@@ -42,13 +42,25 @@ class Plan:
     allow: Sequence[str] = ALLOW
 
 
-def _spans(text: Column, kind: str, no: int, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, no, end, kind>> of the pattern's matches whose ``group`` has ``least`` characters."""
+def _spans(text: Column, kind: str, no: int, pattern: str, group: int, least: int, block: int = 256) -> Column:
+    """array<struct<start, no, end, kind>> of the pattern's matches whose ``group`` has ``least`` characters.
+
+    The running sum of lengths goes over blocks of matches, then within each block: appending to one array a match
+    would cost the square of their number."""
     found = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("gap"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
                          F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("key"))
     kept = "array<struct<start:bigint,no:int,end:bigint,kind:string,key:string>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kept).alias("out"))
+    length = lambda m: (F.length(m["gap"]) + F.length(m["all"])).cast("bigint")
+
+    def blocks(all_):
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")), lambda k: F.slice(all_, k * block + 1, block))
+        return F.transform(cut, lambda ms: F.struct(ms.alias("ms"), F.aggregate(ms, F.lit(0).cast("bigint"), lambda n, m: n + length(m)).alias("n")))
+
+    def ahead(bs):
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(bs, begin, lambda acc, b: F.struct((acc["at"] + b["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                           lambda acc: acc["out"])
 
     def step(acc, m):
         s = acc["at"] + F.length(m["gap"])
@@ -56,41 +68,54 @@ def _spans(text: Column, kind: str, no: int, pattern: str, group: int, least: in
         one = F.struct(s.alias("start"), F.lit(no).alias("no"), e.alias("end"), F.lit(kind).alias("kind"), m["key"].alias("key"))
         return F.struct(e.alias("at"), F.when(F.length(m["key"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kept))
-
+    def inside(b, at):
+        return F.aggregate(b["ms"], F.struct(at.alias("at"), F.array().cast(kept).alias("out")), step, lambda acc: acc["out"])
 
-def _index(key: Column, i: Column) -> Column:
-    """The place in the alphabet of the i-th character."""
-    return F.position(F.substring(key, i, F.lit(1)), F.lit(_ALPHABET))
+    # a lambda's argument is evaluated once, so one-element arrays keep what several places read
+    spans = F.transform(F.transform(F.array(found), blocks), lambda bs: F.flatten(F.zip_with(bs, ahead(bs), inside)))[0]
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kept))
 
 
 def _windows(key: Column, plan: Plan) -> Column:
-    """array<struct<s, e>> of the merged windows of ``key`` (offsets in it) that reach their class's entropy."""
+    """array<struct<s, e>> of the merged windows of ``key`` (offsets in it) that reach their class's entropy.
+
+    The state carries the window's characters and the class's threshold, so a step costs the window and the
+    alphabet, however long the candidate is."""
     w, size = plan.window, len(_ALPHABET)
     least = F.lit(math.inf)
     for _, pattern, bits in reversed(plan.classes):
         least = F.when(key.rlike(pattern), F.lit(bits)).otherwise(least)
     clogc = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 1)])
     weight = lambda c: F.element_at(clogc, c + 1)
-    begin = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    begin = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), w).alias("ring"), F.array_repeat(F.lit(0), size).alias("n"),
+                     F.lit(0.0).alias("sum"), least.alias("least"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
-    def step(acc, i):
-        new = _index(key, i)
-        old = F.when(i > w, _index(key, i - w)).otherwise(F.lit(0))
+    def step(acc, new):
+        i = acc["i"] + 1
+        old = F.element_at(acc["ring"], 1)  # 0 until the window is full
         # the character that leaves, then the one that enters
-        c_old = F.when(i > w, F.element_at(acc["n"], F.greatest(old, F.lit(1))))
-        less = F.when(i > w, weight(c_old - 1) - weight(c_old)).otherwise(F.lit(0.0))
+        c_old = F.when(old > 0, F.element_at(acc["n"], F.greatest(old, F.lit(1))))
+        less = F.when(old > 0, weight(c_old - 1) - weight(c_old)).otherwise(F.lit(0.0))
         c_new = F.element_at(acc["n"], new) - F.when(old == new, 1).otherwise(0)
         total = acc["sum"] + less + weight(c_new + 1) - weight(c_new)
         counts = F.transform(acc["n"], lambda c, k: c + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
+        ring = F.concat(F.slice(acc["ring"], 2, w - 1), F.array(new))
         last = F.try_element_at(acc["out"], F.lit(-1))
-        hit = (i >= w) & (F.lit(math.log2(w)) - total / w >= least)
-        fresh = F.array(F.struct((i - w).cast("int").alias("s"), i.cast("int").alias("e")))
-        joined = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), i.cast("int").alias("e"))))
+        hit = (i >= w) & (F.lit(math.log2(w)) - total / w >= acc["least"])
+        fresh = F.array(F.struct((i - w).alias("s"), i.alias("e")))
+        joined = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["s"].alias("s"), i.alias("e"))))
         out = F.when(~hit, acc["out"]).when(F.coalesce(last["e"] >= i - w, F.lit(False)), joined).otherwise(F.concat(acc["out"], fresh))
-        return F.struct(counts.alias("n"), total.alias("sum"), out.alias("out"))
+        return F.struct(i.alias("i"), ring.alias("ring"), counts.alias("n"), total.alias("sum"), acc["least"].alias("least"), out.alias("out"))
+
+    places = F.transform(F.filter(F.split(key, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(_ALPHABET)))
+    return F.aggregate(places, begin, step, lambda acc: acc["out"])
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(key)), begin, step, lambda acc: acc["out"])
+def _path(key: Column) -> Column:
+    """Whether ``key`` is two or more plain pieces between separators, one more separator at its end allowed.  Read
+    piece by piece: a repeated group would take a stack frame a piece."""
+    pieces = F.split(F.regexp_replace(key, "[-_/=]$", ""), "[-_/=]", -1)
+    return (F.size(pieces) > 1) & F.forall(pieces, lambda p: p.rlike(_PIECE))
 
 
 def scan(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,7 +129,7 @@ def scan(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col:
     rows = rows.withColumn("runs", _spans(F.col("t"), "entropy", len(BASE), f"(?<![{run}])[{run}]{{{plan.window},}}+", 0, plan.window))
 
     def candidate(r: Column) -> Column:
-        ok = r["key"].rlike("[0-9]") & r["key"].rlike("[A-Za-z]")
+        ok = r["key"].rlike("[0-9]") & r["key"].rlike("[A-Za-z]") & ~_path(r["key"])
         for pattern in plan.allow:
             ok = ok & ~r["key"].rlike(pattern)
         return ok

@@ -134,6 +134,33 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_secrets_long_texts(spark):
+    rng = random.Random(9)
+    many = " ".join(rng.choice(["é", "𝒳 y", "plain words"]) + f" token=abcdef{i:04d}" + ("" if i % 3 else " pwd AKIAABCDEFGHIJKL") for i in range(700))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    blob = "".join(rng.choice(letters) for _ in range(20_000))
+    path = "ab-c1d-" + "abc-def-" * 5_000  # plain pieces, whatever their number
+    got = {r.doc_id: r for r in secrets.scan(documents(spark, [(1, many, "en", "s"), (2, f"x {blob} y", "en", "s"), (3, path, "en", "s")])).collect()}
+    kinds = {kind: (re.compile(pattern), group, least) for kind, pattern, group, least in secrets.BASE}
+    for i, text in ((1, many), (2, f"x {blob} y"), (3, path)):
+        want = sorted((m.start(), m.end(), k) for k, (pat, group, least) in kinds.items() for m in pat.finditer(text) if len(m.group(group)) >= least)
+        assert sorted((b.start, b.end, b.kind) for b in got[i].base) == want
+    assert len(got[1].base) == 700 + 234
+
+    def entropy(w):
+        return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+
+    hot, w = [], secrets.Plan().window
+    for s in range(len(blob) - w + 1):  # every window anew
+        if entropy(blob[s:s + w]) >= 3.75 + 1e-9:
+            if hot and hot[-1][1] >= s + 2:
+                hot[-1][1] = s + 2 + w
+            else:
+                hot.append([s + 2, s + 2 + w])
+    assert [[a.start, a.end] for a in got[2].added] == hot
+    assert got[3].added == []
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [(900, None, "en", "s"), (901, "", "en", "s")], []

@@ -62,17 +62,17 @@ def asof_cutoff(df: DataFrame, as_of) -> DataFrame:
     return df.filter(F.col("date") <= F.lit(d))
 
 
-def recent_range(df: DataFrame, bench: DataFrame, days: int) -> DataFrame:
-    """Rows on or after max(benchmark date) - ``days`` (scalar subquery, no join)."""
-    last = bench.select(F.max("date")).scalar()
-    return df.filter(F.col("date") >= F.date_sub(last, days))
+def recent_start(dates: DataFrame, days: int, col: str = "date") -> _dt.date | None:
+    """``days`` before the newest date, as a value that a scan can push down; None without a date."""
+    last = dates.select(F.to_date(F.max(col))).first()[0]  # one value
+    return None if last is None else last - _dt.timedelta(days=days)
 
 
 def ticker_subset(df: DataFrame, n: int, seed: int = 42, key: str = KEY) -> DataFrame:
     """Deterministic seeded sample of ``n`` tickers: order by md5(ticker || seed), keep the first n."""
     tick = df.select(key).distinct()
     pick = tick.orderBy(F.md5(F.concat(F.col(key), F.lit(f":{seed}"))), key).limit(n)
-    return df.join(F.broadcast(pick), key, "left_semi")
+    return df.join(pick, key, "left_semi")
 
 
 def bfill_features(df: DataFrame, cols, key: str = KEY) -> DataFrame:

@@ -66,7 +66,7 @@ def align_features(labels: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def sector_lookup(df: DataFrame, sectors: DataFrame, default: str = "Other") -> DataFrame:
-    return df.join(F.broadcast(sectors), "ticker", "left").withColumn("sector", F.coalesce(F.col("sector"), F.lit(default)))
+    return df.join(sectors, "ticker", "left").withColumn("sector", F.coalesce(F.col("sector"), F.lit(default)))
 
 
 def invalid_tickers(requested: DataFrame, universe: DataFrame) -> DataFrame:

@@ -204,11 +204,12 @@ def latest_rows(features: DataFrame, key: str = "ticker") -> DataFrame:
     return features.select("*", F.row_number().over(w).alias("_rn")).filter("_rn = 1").drop("_rn")
 
 
-def score_universe(model: PipelineModel, features: DataFrame, feature_cols: list[str], name: str, horizon: int = 5) -> DataFrame:
+def score_universe(model: PipelineModel, features: DataFrame, feature_cols: list[str], name: str, horizon: int = 5,
+                   price: str = "close") -> DataFrame:
     """Latest feature row per ticker -> probability, prediction, confidence = max(p, 1 - p)."""
     s = score(model, latest_rows(features))
     return s.select("ticker", F.col("date").alias("prediction_date"), (F.col("pred") == 1).alias("prediction"),
                     F.col("prob").alias("outperform_probability"),
                     F.greatest(F.col("prob"), 1 - F.col("prob")).alias("confidence"), F.lit(name).alias("model_name"),
-                    F.lit(len(feature_cols)).alias("features_used"), F.col("close").alias("last_price"),
+                    F.lit(len(feature_cols)).alias("features_used"), F.col(price).alias("last_price"),
                     F.lit(horizon).alias("prediction_horizon_days"))

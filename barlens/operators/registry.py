@@ -26,7 +26,7 @@ def signal_long(frame: DataFrame, signals: list[str], sizes: list[int], universe
     """(model_name, stocks_count, ticker, date, split, score, label, pred, prob) -- every row is
     replicated once per universe size that contains its ticker (explode over the size list, no join
     against the size table)."""
-    f = frame.join(F.broadcast(universe), "ticker")
+    f = frame.join(universe, "ticker")
     long = f.select("ticker", "date", "split", "ordinal", F.col("outperforms").alias("label"),
                     F.explode(F.array(*[F.struct(F.lit(s).alias("model_name"), F.col(s).cast("double").alias("score"))
                                         for s in signals])).alias("sg"))

@@ -66,7 +66,7 @@ def ntile_positions(long: DataFrame, bins: int, key: str = "feature", value: str
     tick = long.select(t_name).distinct()
     tick = tick.select(t_name, (F.row_number().over(Window.orderBy(t_name)) - 1).cast("long").alias("_tord"))
     # numeric tie-break key ordered like (ticker, date): ticker ordinal * 2^20 + epoch day
-    rows = long.join(F.broadcast(tick), t_name).select(
+    rows = long.join(tick, t_name).select(
         "*", (F.col("_tord") * (1 << 20) + F.datediff(F.col(d_name), F.lit("1970-01-01").cast("date"))).alias("_tk"),
         F.lit(1).cast("long").alias("_one"))
     vals = rows.groupBy(key, value).agg(F.count("*").alias("_nv"))

@@ -96,7 +96,9 @@ def asof_cutoff(spark, sf, as_of="1998-06-30"):
 
 
 def recent_range(spark, sf, days=365):
-    return rnd(CL.recent_range(_bars(spark, sf), _market(spark, sf), days))
+    """Bars of the last ``days`` days of the market; the bound is a literal that reaches the trade scan."""
+    start = CL.recent_start(read(spark, sf, "lineitem", ["l_shipdate"]), days, "l_shipdate")
+    return rnd(SB.bars(spark, sf, "p_type", start=start))
 
 
 def ticker_subset(spark, sf, n=8, seed=42):

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.series import rnd
 from barlens.operators import clean as CL
+from barlens.operators import labels as L
 from barlens.operators import models as MD
 from barlens.operators import select as SE
+from barlens.operators import split as S
 from barlens.operators.features.engineer import engineer
 from barlens.plans.analytics_queries import FEATURES, signal_frame, signals
-from barlens.session import scratch_path
+from barlens.session import checkpoint_dir, scratch_path
 from barlens.sources import bars as SB
 from barlens.sources import store as ST
 from barlens.streaming import bars as STR
@@ -105,6 +107,45 @@ def ml_frame(spark, sf, to_score=None):
     return u if to_score is None else u.fillna(0.0, FEATURES)
 
 
+def training_frame(spark, sf, as_of=None, min_rows=50):
+    """(table, feature columns): the whole engineered feature table, median-filled per split and scaled by the
+    training rows, with ``outperforms`` and ``split``; and, as split ``score``, the newest bar up to ``as_of``
+    (default: all) of every series with at least ``min_rows`` bars.  ``last_price`` is the unscaled close.
+
+    Features keep their warm-up nulls (no backward fill, which would leak later values) until the fill; a
+    column without any training value becomes 0.  The table is written once to the shared folder per application
+    and state of the input files; every fit and every later query reads that set."""
+    source = ST.fingerprint(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
+    path = scratch_path(spark, "training", spark.sparkContext.applicationId, f"{source}-{as_of}-{min_rows}")
+    if not ST.exists(spark, f"{path}/_SUCCESS"):
+        _training_table(spark, sf, as_of, min_rows).write.mode("overwrite").parquet(path)
+    t = spark.read.parquet(path)
+    return t, [c for c in t.columns if c not in _NOT_FEATURES]
+
+
+_NOT_FEATURES = ("ticker", "date", "last_price", "n_rows", "outperforms", "split")
+
+
+def _training_table(spark, sf, as_of, min_rows):
+    b = SB.bars(spark, sf, "p_type", end=as_of)
+    market = SB.market_bars(spark, sf, end=as_of)
+    bench = SB.as_benchmark(market.filter(F.weekday("date") < 5))
+    f = engineer(b, bench, fill_mode="none")
+    feats = [c for c in f.columns if c not in ("ticker", "date")]
+    f = f.select("ticker", "date", *[F.col(c).cast("double").alias(c) for c in feats], F.col("close").alias("last_price"),
+                 F.count("*").over(Window.partitionBy("ticker")).alias("n_rows"),
+                 F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc())).alias("_nth"))
+    lab = S.chrono_split(L.labels(b, market)).select("ticker", "date", "outperforms", "split")
+    newest = (F.col("_nth") == 1) & (F.col("n_rows") >= min_rows)
+    t = f.join(lab, ["ticker", "date"], "left").withColumn("split", F.coalesce("split", F.when(newest, "score")))
+    checkpoint_dir(spark)
+    t = CL.inf_to_null(t.filter("split is not null").drop("_nth"), feats).checkpoint(eager=True)
+    med = t.filter("split <> 'score'").groupBy("split").agg(*[F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in feats])
+    t = t.join(F.broadcast(med), "split", "left")  # three rows
+    u = t.select("ticker", "date", "last_price", "n_rows", "outperforms", "split", *[F.coalesce(c, f"m_{c}").alias(c) for c in feats])
+    return SE.standardize(u, feats, F.col("split") == "train").fillna(0.0, feats)
+
+
 def newest_rows(spark, sf, as_of=None, min_rows=50):
     """The newest bar and its signals of every series with at least ``min_rows`` bars up to ``as_of``
     (default: all bars), whether or not the bar has a label yet."""
@@ -122,16 +163,16 @@ def score_rows(spark, sf, as_of=None):
 
 def _train_one(name):
     def run(spark, sf):
-        f = ml_frame(spark, sf)
-        m = MD.fit(name,f.filter("split = 'train'"), FEATURES)
+        f, feats = training_frame(spark, sf)
+        m = MD.fit(name, f.filter("split = 'train'"), feats)
         return MD.evaluate(m, f.filter("split = 'test'"), name)
     run.__name__ = f"train_{name}"
     return run
 
 
 def train_all(spark, sf):
-    f = ml_frame(spark, sf)
-    out, _ = MD.train_all(f.filter("split = 'train'"), f.filter("split = 'test'"), FEATURES, val=f.filter("split = 'val'"))
+    f, feats = training_frame(spark, sf)
+    out, _ = MD.train_all(f.filter("split = 'train'"), f.filter("split = 'test'"), feats, val=f.filter("split = 'val'"))
     return out
 
 
@@ -144,34 +185,34 @@ def tune(spark, sf):
 
 
 def feature_importance(spark, sf):
-    f = ml_frame(spark, sf).filter("split = 'train'")
-    return MD.feature_importance(MD.fit("random_forest", f, FEATURES), FEATURES)
+    f, feats = training_frame(spark, sf)
+    return MD.feature_importance(MD.fit("random_forest", f.filter("split = 'train'"), feats), feats)
 
 
-def rfe(spark, sf, keep=3):
-    f = ml_frame(spark, sf).filter("split = 'train'")
-    kept = MD.rfe(f, FEATURES, keep)
+def rfe(spark, sf, keep=50, rounds=4):
+    """The ``keep`` features that recursive elimination leaves, an equal share of the others going each round."""
+    f, feats = training_frame(spark, sf)
+    kept = MD.rfe(f.filter("split = 'train'"), feats, keep, step=max(1, -(-(len(feats) - keep) // rounds)))
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
 def model_save_load(spark, sf):
-    f = ml_frame(spark, sf)
+    f, feats = training_frame(spark, sf)
     train = f.filter("split = 'train'")
-    m = MD.fit("logistic_regression", train, FEATURES)
+    m = MD.fit("logistic_regression", train, feats)
     root = _run_dir(spark, "models")
     metrics = MD.evaluate(m, f.filter("split = 'test'"), "logistic_regression")
     MD.save_model(m, f"{root}/logistic_regression_6stocks_v1.model", f"{root}/registry", "logistic_regression", metrics,
-                  len(FEATURES), train.count())
+                  len(feats), train.count())
     loaded = MD.load_model(f"{root}/logistic_regression_6stocks_v1.model")
     return MD.score(loaded, f.filter("split = 'test'")).select("ticker", "date", "prob", "pred")
 
 
 def score_universe(spark, sf, as_of=None):
     """The newest bar of every series as of a date, scored by a model of the training rows."""
-    newest = newest_rows(spark, sf, as_of).select("ticker", "date", "close", *FEATURES)
-    f = ml_frame(spark, sf, newest)
-    m = MD.fit("logistic_regression", f.filter("split = 'train'"), FEATURES)
-    return MD.score_universe(m, f.filter("split = 'score'"), FEATURES, "logistic_regression")
+    f, feats = training_frame(spark, sf, as_of)
+    m = MD.fit("logistic_regression", f.filter("split = 'train'"), feats)
+    return MD.score_universe(m, f.filter("split = 'score'"), feats, "logistic_regression", price="last_price")
 
 
 QUERIES = {

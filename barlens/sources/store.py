@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +88,20 @@ def fresh_files(spark: SparkSession, path: str, ttl_days: float = 1.0, now: _dt.
 
 def default_root(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, "store", name)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A hash of the names, sizes and modification times of the files under ``paths`` (a listing, no data read)."""
+    seen = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]

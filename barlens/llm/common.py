@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 import numpy as np
@@ -42,21 +43,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(edges: DataFrame, name: str = "cc", limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (node, root) per node on an edge, root the
-    smallest node reachable.  Minimum-label propagation with pointer jumping; every round is an
-    aggregation with map-side combine and two joins, staged in the shared folder."""
+    smallest node reachable.  Every round takes the least label among the neighbours, hooks each label's own node to
+    the least label that any of its members saw, and jumps to the label's label, so that whole regions merge at once
+    and the rounds grow with the logarithm of a chain, not with its length.  It runs until no label moves: labels
+    only fall, and equal labels across every edge are the components."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     sym = staged(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
     lab = staged(sym.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), f"{name}-0")
-    for i in range(1, limit + 1):
+    for i in itertools.count(1):
         near = (sym.join(lab.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v")
                 .groupBy("u").agg(F.min("nl").alias("nl")))
-        step = lab.join(near, "u").select("u", "l", F.least("l", "nl").alias("m"))
-        up = lab.select(F.col("u").alias("m"), F.col("l").alias("ml"))
+        seen = lab.join(near, "u").select("u", "l", F.least("l", "nl").alias("m"))
+        own = F.struct("u", "l", "m")
+        hook = F.struct(F.col("l").alias("u"), F.lit(None).cast("long").alias("l"), F.col("m"))
+        step = seen.select(F.inline(F.array(own, hook))).groupBy("u").agg(F.max("l").alias("l"), F.min("m").alias("m"))
+        up = step.select(F.col("u").alias("m"), F.col("m").alias("ml"))
         nxt = staged(step.join(up, "m", "left").select("u", F.least("m", "ml").alias("l"),
                                                         (F.least("m", "ml") < F.col("l")).alias("moved")), f"{name}-{i}")
         lab = nxt.select("u", "l")
         if nxt.where("moved").isEmpty():
             return lab.select(F.col("u").alias("node"), F.col("l").alias("root"))
-    raise RuntimeError(f"components did not settle in {limit} rounds")

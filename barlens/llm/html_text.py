@@ -25,8 +25,11 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][\w:-]
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 # fixed values of HTML: elements that do not break a line, that hold no text of the page, that have no end tag
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_SILENT = frozenset("script style template title noscript svg math iframe object canvas audio video select datalist".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img"
+                    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation annotation-xml".split())
+_RAW = frozenset("script style".split())
+_SILENT = frozenset("template title noscript svg iframe object canvas audio video select datalist".split())
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$|^[^=]*/\s*$""")  # not the slash that ends an unquoted value
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,17 +42,22 @@ class Block:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order, character references decoded, white space inside as one space."""
+    """The page's leaf blocks in order, character references decoded, white space inside as one space.  Scripts and
+    style sheets go up to their end tag; other silent elements (``_SILENT``) to their end tag or, without one, to the
+    end of the element they stand in."""
     page = page or ""
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
     pos, n = 0, len(page)
+    hush: int | None = None  # place in the stack of the outermost silent element
+    loose = False  # that element has no end tag
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
-        if not parts:
+        if not parts or hush is not None:
             return
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
@@ -57,14 +65,26 @@ def blocks(page: str | None) -> list[Block]:
         parts.clear()
         linked = 0
 
+    def speak(to: int) -> None:
+        nonlocal hush
+        if hush is not None and to <= hush:
+            del stack[hush:]
+            hush = None
+
+    def ended(name: str) -> bool:
+        if name not in last_end:
+            last_end[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}\s*>", page, re.I)), default=-1)
+        return last_end[name] >= pos
+
     def close(to: int) -> None:
+        speak(to)
         if any(tag not in _INLINE for tag, _ in stack[to:]):
             flush()
         del stack[to:]
 
     def say(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and hush is None:
             parts.append(piece)
             if any(tag == "a" for tag, _ in stack):
                 linked += len(piece)
@@ -86,6 +106,7 @@ def blocks(page: str | None) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     if name in _INLINE:
+                        speak(k)
                         del stack[k]
                     else:
                         close(k)
@@ -97,12 +118,17 @@ def blocks(page: str | None) -> list[Block]:
         if name == "br":
             say(" ")
             continue
+        if name in _RAW:
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
+            pos = end.end() if end else n
+            continue
         if name in _SILENT:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            flush_after = name not in ("script", "style", "template")
-            if flush_after:
+            if name != "template":
                 flush()
-            pos = end.end() if end else n
+            if not _SELF_CLOSED.search(m[3] or m[6] or ""):
+                if hush is None:
+                    hush, loose = len(stack), not ended(name)
+                stack.append((name, ()))
             continue
         if name not in _INLINE:
             flush()
@@ -111,10 +137,11 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[k][0] in gone:
                     close(k)
                     break
-                if stack[k][0] not in _INLINE and stack[k][0] != "p":
+                if stack[k][0] not in _INLINE and stack[k][0] != "p" and not (loose and k == hush):
                     break
         if name not in _VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
             stack.append((name, _names(name, m[3] or m[6] or "")))
+    speak(0)
     flush()
     return out
 

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from barlens.llm import html_text
 from barlens.llm.common import components
 
 
@@ -14,3 +17,23 @@ def test_components_of_long_chains(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {**dict.fromkeys(far, 0), **dict.fromkeys(shuffled, min(shuffled)), 10_000: 10_000, 10_001: 10_000}
     assert got == want
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<article><p>One <svg viewBox='0 0 1 1'/> two.</p><p>Three.</p></article><svg></svg>", "One two. Three."),
+    ("<p>One <svg><path d='M0'/><text>no</text></svg> two.</p>", "One two."),
+    ("<p>One <math/> two.</p>", "One two."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>", "Let x=1 be."),
+    ("<svg><svg>no</svg>no</svg>yes", "yes"),
+    ("<p>a<script>var no='<p>';</script>b</p><style>no", "ab"),
+    ("<iframe src=http://no/>no</iframe>yes", "yes"),
+    ("<p>One<template><p>no</p><div>no</div></template> two</p>", "One two"),
+    ("<noscript><p>no</p><img src=a></noscript><p>yes</p>", "yes"),
+    ("<p><a href=/a>One <svg>no</a> two</p>", "One two"),
+    *[(f"<article><div>One <{t} class=a>no</div><p>Two.</p></article><p>Three.</p>", "One Two. Three.")
+      for t in ("noscript", "object", "canvas", "audio", "video", "select", "iframe", "svg", "title", "template", "datalist")],
+    *[(f"<div>One <{t}>no</div><p>Two.</p><{t}>no</{t}>Three.", "One Two. Three.") for t in ("noscript", "video", "iframe")],
+    *[(f"<article><p>One <{t}>no<p>Two.</article>", "One Two.") for t in ("noscript", "canvas", "video")],
+])
+def test_silent_elements_drop_only_their_own_text(page, want):
+    assert " ".join(b.text for b in html_text.blocks(page)) == want

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from barlens.llm import html_text
+from barlens.llm import html_text, secrets
 from barlens.llm.common import components
 
 
@@ -37,3 +37,22 @@ def test_components_of_long_chains(spark):
 ])
 def test_silent_elements_drop_only_their_own_text(page, want):
     assert " ".join(b.text for b in html_text.blocks(page)) == want
+
+
+def test_secrets_next_to_placeholders(spark):
+    rng = random.Random(4)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = "q7" + "".join(rng.sample(b64, 30))  # no character twice: every window is above the threshold
+    hexes = ["".join(rng.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(20)]
+    texts = {1: f"see callback/example/{key} now", 2: f"id=1234-{key}", 3: f"x {key}0000{key[::-1]}xxxx y", 4: "docs/example/getting-started/version2/page",
+             5: "123e4567-e89b-12d3-a456-426614174000", 6: f"a dummy{key[:12]} b", 7: "a_20240817093051648217", 8: "call_example_" + "0000" * 3_000}
+    texts |= {100 + i: f"sig={h}" for i, h in enumerate(hexes)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][a.start:a.end] for a in r.added] for r in secrets.scan(docs).collect()}
+    assert got[1] == [f"/{key}"] and got[2] == [f"-{key}"]
+    assert got[3] == [key, key[::-1]]
+    assert [got[i] for i in (4, 5, 6, 7, 8)] == [[]] * 5
+    alone = spark.createDataFrame([(100 + i, h) for i, h in enumerate(hexes)], "doc_id long, text string")
+    for r in secrets.scan(alone).collect():  # a hex key is judged alike with and without its name
+        want = [r2 for a in r.added if (r2 := hexes[r.doc_id - 100][a.start:a.end])]
+        assert want and [h.removeprefix("sig=").removeprefix("=") for h in got[r.doc_id]] == want

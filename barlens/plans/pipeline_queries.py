@@ -189,10 +189,10 @@ def feature_importance(spark, sf):
     return MD.feature_importance(MD.fit("random_forest", f.filter("split = 'train'"), feats), feats)
 
 
-def rfe(spark, sf, keep=50, rounds=4):
-    """The ``keep`` features that recursive elimination leaves, an equal share of the others going each round."""
+def rfe(spark, sf, keep=50, step=1):
+    """The ``keep`` features that recursive elimination leaves, ``step`` of the others going at each refit."""
     f, feats = training_frame(spark, sf)
-    kept = MD.rfe(f.filter("split = 'train'"), feats, keep, step=max(1, -(-(len(feats) - keep) // rounds)))
+    kept = MD.rfe(f.filter("split = 'train'"), feats, keep, step=step)
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 

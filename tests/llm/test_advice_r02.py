@@ -56,3 +56,14 @@ def test_secrets_next_to_placeholders(spark):
     for r in secrets.scan(alone).collect():  # a hex key is judged alike with and without its name
         want = [r2 for a in r.added if (r2 := hexes[r.doc_id - 100][a.start:a.end])]
         assert want and [h.removeprefix("sig=").removeprefix("=") for h in got[r.doc_id]] == want
+
+
+def test_rfe_drops_one_feature_a_refit(spark, monkeypatch):
+    from barlens.plans import pipeline_queries as PQ
+
+    feats, seen = [f"f{i}" for i in range(9)], []
+    monkeypatch.setattr(PQ, "training_frame", lambda spark, sf: (spark.createDataFrame([("train",)], "split string"), feats))
+    monkeypatch.setattr(PQ.MD, "fit", lambda name, train, cur, n: seen.append(len(cur)))
+    monkeypatch.setattr(PQ.MD, "feature_importance", lambda m, cur: spark.createDataFrame([(c, float(c[1:])) for c in cur], "feature string, importance double"))
+    assert sorted(r.feature for r in PQ.rfe(spark, "none", keep=3).collect()) == ["f6", "f7", "f8"]
+    assert seen == [9, 8, 7, 6, 5, 4]

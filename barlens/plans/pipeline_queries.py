@@ -91,22 +91,6 @@ def latest_version(spark, sf):
 
 # ---- MLlib ------------------------------------------------------------------------------------------
 
-def ml_frame(spark, sf, to_score=None):
-    """Signal features, per-split median fill (sketch-based medians), train-fitted z-scores.
-
-    ``to_score``: unlabelled rows that are scaled like the rest, as split ``score``; their nulls become the
-    training mean.  The signal table is checkpointed to the shared checkpoint directory first: every fit
-    and model iteration then scans that file instead of re-running the bar/label lineage, and a lost
-    executor re-reads it instead of recomputing."""
-    f = signal_frame(spark, sf).select("ticker", "date", "close", "split", "outperforms", *FEATURES)
-    parts = [CL.median_impute(f.filter(F.col("split") == s), FEATURES, key=None, exact=False) for s in ("train", "val", "test")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    if to_score is not None:
-        u = u.unionByName(to_score.withColumn("split", F.lit("score")), allowMissingColumns=True)
-    u = SE.standardize(u, FEATURES, F.col("split") == "train")
-    return u if to_score is None else u.fillna(0.0, FEATURES)
-
-
 def training_frame(spark, sf, as_of=None, min_rows=50):
     """(table, feature columns): the whole engineered feature table, median-filled per split and scaled by the
     training rows, with ``outperforms`` and ``split``; and, as split ``score``, the newest bar up to ``as_of``
@@ -177,8 +161,8 @@ def train_all(spark, sf):
 
 
 def tune(spark, sf):
-    f = ml_frame(spark, sf).filter("split = 'train'")
-    cv =MD.tune(f, FEATURES, "logistic_regression", folds=5)
+    f, feats = training_frame(spark, sf)
+    cv = MD.tune(f.filter("split = 'train'"), feats, "logistic_regression", folds=5)
     maps = cv.getEstimatorParamMaps()
     rows = [(str({p.name: v for p, v in m.items()}), float(a)) for m, a in zip(maps, cv.avgMetrics)]  # one row per grid point
     return spark.createDataFrame(rows, "params string, mean_auc double")

@@ -9,6 +9,7 @@ index of a block is bounded by ``block_chars`` and further items go to further b
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,7 +77,7 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """The q-grams of a block of items, sorted, with their postings."""
 
-    def __init__(self, items: list[tuple[int, str]], plan: Plan):
+    def __init__(self, items: list[tuple[int | None, str]], plan: Plan):
         self.plan, self.ids, self.codes = plan, [], []
         hashes, item, place = [], [], []
         for i, text in items:
@@ -100,8 +101,9 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, edits) of the best region per item, in code points of ``text``."""
+    def find(self, text: str | None, first: bool = False) -> list[tuple[int | None, int, int, int]]:
+        """(item id, start, end, edits) of every region per item that overlaps no better one of the item, in code
+        points of ``text``; with ``first``, one region at most."""
         codes, place = normalised(text)
         g = grams(codes, self.plan.q)
         if not len(g) or not len(self.keys):
@@ -125,17 +127,30 @@ class Index:
         it = key // (4 * span)
         good = np.flatnonzero(got + more >= self.bound[it])
         # hits of the next band alone are a region too: the band that begins there has them as its own
-        best: dict[int, tuple[int, int, int]] = {}
+        seen: dict[int, list[tuple[int, int, int]]] = {}
+        exact: dict[int, int] = {}  # start of the item's last exact region; the bands come by rising diagonals
         for k in good:
             i = int(it[k])
-            if i in best and best[i][2] == 0:
-                continue
             e, m = int(self.budget[i]), int(self.length[i])
             d0 = (int(key[k]) - i * 4 * span - 2 * span) * (e + 1)
+            if exact.get(i, -1) >= max(d0 - e, 0):  # whatever else is on this band overlaps that one
+                continue
             found = align(self.codes[i], codes, d0 - e, d0 + 2 * (e + 1) + e, e)
-            if found and (i not in best or found[2] < best[i][2]):
-                best[i] = found
-        return [(self.ids[i], int(place[s]), int(place[t - 1]) + 1, e) for i, (s, t, e) in sorted(best.items())]
+            if found:
+                seen.setdefault(i, []).append(found)
+                if first:
+                    break
+                if found[2] == 0:
+                    exact[i] = found[0]
+        out = []
+        for i, regions in sorted(seen.items()):
+            kept: list[tuple[int, int, int]] = []
+            for r in sorted(regions, key=lambda r: r[2]):
+                at = bisect_left(kept, r)
+                if (at == 0 or kept[at - 1][1] <= r[0]) and (at == len(kept) or r[1] <= kept[at][0]):
+                    kept.insert(at, r)
+            out += [(self.ids[i], int(place[s]), int(place[t - 1]) + 1, e) for s, t, e in kept]
+        return out
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
@@ -176,19 +191,19 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
 
 
 def _blocks(benchmark: DataFrame, plan: Plan, id_col: str, text_col: str) -> Iterator[Index]:
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and length(text) > 0")
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // plan.block_chars))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield Index(sorted((r.id, r.text) for r in part.collect()), plan)
+        yield Index(sorted(((r.id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), plan)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, start, end, edits``: the best region of each item in each text (code points, end
-    exclusive), a row per input row and item.  Empty or null texts and items match nothing, and neither do
-    items shorter than a q-gram; a null id is carried along.  Other columns are ignored."""
+    """``doc_id, item_id, start, end, edits``: the regions of each item in each text (code points, end exclusive)
+    that overlap no better one of that item, a row per input row, item and region.  Empty or null texts and items
+    match nothing, and neither do items shorter than a q-gram; null ids of rows and items are carried along.  Other columns are ignored."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -198,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), id_
         def find(batches, shared=shared):
             for b in batches:
                 got = [(i, *h) for i, t in zip(b["doc_id"], b["text"], strict=True) for h in shared.value.find(t)]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "start", "end", "edits"])
+                yield pd.DataFrame(got, columns=["doc_id", "item_id", "start", "end", "edits"]).assign(item_id=pd.array([g[1] for g in got], "Int64"))
 
         part = rows.mapInPandas(find, "doc_id long, item_id long, start long, end long, edits int")
         out = part if out is None else out.unionByName(part)
@@ -213,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), text_col:
 
         @F.udf("boolean")
         def free(text, shared=shared):
-            return not shared.value.find(text)
+            return not shared.value.find(text, first=True)
 
         kept = kept.where(free(F.col(text_col).cast("string")))
     return kept

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from barlens.llm import html_text, secrets
+from barlens.llm import decontaminate, html_text, secrets
 from barlens.llm.common import components
 
 
@@ -82,3 +82,17 @@ def test_tune_sees_every_engineered_feature(spark, monkeypatch):
     monkeypatch.setattr(PQ.MD, "tune", lambda train, features, name, folds: seen.append(features) or SimpleNamespace(
         getEstimatorParamMaps=lambda: [{Param(): 1.0}], avgMetrics=[0.5]))
     assert PQ.tune(spark, "none").count() == 1 and seen == [feats]
+
+
+def test_decontamination_of_items_without_id_and_second_quotations(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    a, b = say(20), say(20)
+    near = a[:50] + "#" + a[51:]
+    text = f"{say(9)} {a} {say(9)} {near} {say(9)} {a}"
+    docs = spark.createDataFrame([(1, text), (2, f"{say(9)} {b}"), (3, say(40))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, a), (None, b), (None, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.start) for r in decontaminate.contaminated(docs, bench).collect())
+    assert [g[:3] for g in got] == [(1, 7, 0), (1, 7, 0), (1, 7, 1), (2, None, 0)]
+    assert [g[3] for g in got[:3]] == [text.index(a), text.rindex(a), text.index(near)]
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]

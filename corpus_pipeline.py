@@ -18,11 +18,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group (five-word shingles, similarity 0.8); rows without an id stay."""
-    found = near_dedup.near_duplicates(docs, shingle=5, num=80, den=100)
-    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    return (docs.where("doc_id is not null").join(keep, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
-            .select(docs.columns).unionByName(docs.where("doc_id is null")))
+    """The row of least id (then any) of each near-duplicate group (five-word shingles, similarity 0.8).  Every row is
+    a document of its own, whatever its id.  Rows without words stay, but for repeats of one id and text."""
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "copies-rows")
+    found = near_dedup.near_duplicates(rows, shingle=5, num=80, den=100, id_col="_row")
+    found = found.select(F.col("doc_id").alias("_row"), "component_id", "n_shingles")
+    repeat = (F.col("n_shingles") == 0) & F.col("_id").isNotNull()
+    group = (F.when(~repeat, F.col("component_id")).alias("_group"), F.when(repeat, F.col("_id")).alias("_same"), F.when(repeat, F.col("_hash")).alias("_text"))
+    keep = (rows.select("_row", F.col("doc_id").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash")).join(found, "_row")
+            .groupBy(*group).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_least")).select("_least._row"))
+    return rows.join(keep, "_row", "leftsemi").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

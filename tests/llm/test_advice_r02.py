@@ -96,3 +96,16 @@ def test_decontamination_of_items_without_id_and_second_quotations(spark):
     assert [g[:3] for g in got] == [(1, 7, 0), (1, 7, 0), (1, 7, 1), (2, None, 0)]
     assert [g[3] for g in got[:3]] == [text.index(a), text.rindex(a), text.index(near)]
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
+def test_drop_copies_decides_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    a, b, c, d = (say(60) for _ in range(4))
+    rows = [(5, a), (5, b), (3, a + " more"), (None, c), (None, c), (None, d), (9, d), (6, None), (6, None), (8, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, "none").collect()]
+    want = [(5, b), (3, a + " more"), (None, c), (9, d), (6, None), (8, ""), (None, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlens.llm import ann, decontaminate, html_text, langid, mixing, near_dedup, secrets, sharding, token_rollup, toxicity
+from barlens.llm import alignment, ann, decontaminate, html_text, langid, mixing, near_dedup, packing, secrets, sharding, token_rollup, toxicity, variants
 from barlens.llm.common import fold, table
 from barlens.session import scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +76,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                F.col("lang").alias("lang_pred"), "score", "accepted")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, byte_file: str = BYTE_BPE, piece_file: str = PIECE_BPE) -> DataFrame:
+    got = alignment.align_corpus(table(spark, sf_dir, "documents"), byte_file, piece_file)
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.words(table(spark, sf_dir, "documents"), least=7, at_least=2, thin=31), ratio=10)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
+    got = packing.pack(table(spark, sf_dir, "documents"), tokenizer, capacity=2048, end_id=1)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (op1_ann, op2_minhash_dedup, op3_secrets, op4_toxicity, op5_sharding, op6_mixing,
-                                   op7_token_rollup, op8_decontamination, op9_html_text, op10_langid)}
+                                   op7_token_rollup, op8_decontamination, op9_html_text, op10_langid, op11_tokenizer_alignment,
+                                   op12_spelling_variants, op13_packing)}
 
 ORACLE = {
     "op6_mixing": r"""
@@ -100,4 +116,28 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target,
        (size * (epochs + CASE WHEN size > 0 AND 2.0 * before + size <= 2.0 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken,
        source
 FROM p""",
+    # CRC-32 by its table; words one edit apart share a word with one code point left out
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), (c, _) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c FROM runs GROUP BY ALL),
+raw AS (SELECT w, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM low),
+sums AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), i -> ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                               (s, b) -> xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+  FROM raw, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM sums),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+cut AS (SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS o FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word FROM cut a JOIN v b ON a.rest = b.word
+         UNION SELECT b.word, a.word FROM cut a JOIN v b ON a.rest = b.word),
+found AS (SELECT near.word, count(*)::BIGINT AS n_near, min({'m': -o.n, 'w': near.o}) AS best FROM near JOIN v o ON o.word = near.o GROUP BY near.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * v.n THEN best.w END AS form, CASE WHEN -best.m >= 10 * v.n THEN -best.m END AS form_n
+      FROM v LEFT JOIN found USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain c USING (word) JOIN f e ON e.word = c.at AND e.form IS NULL""",
 }

@@ -120,13 +120,13 @@ FROM p""",
     "op12_spelling_variants": r"""
 WITH RECURSIVE crc AS (
   SELECT list(v ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), (c, _) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
 runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
 low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c FROM runs GROUP BY ALL),
 raw AS (SELECT w, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM low),
 sums AS (
-  SELECT w, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), i -> ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
-                               (s, b) -> xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                               lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
   FROM raw, crc),
 made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM sums),
 v AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),

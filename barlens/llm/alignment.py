@@ -12,6 +12,7 @@ over the corpus are a Spark aggregation of these sums.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,31 +164,34 @@ def _marked(n: int) -> list[str]:
 
 
 class Pair:
-    """Two tokenizers with the byte lengths of their tokens."""
+    """Two tokenizers with the bytes of their tokens, laid end to end."""
 
     def __init__(self, a: ByteBpe, b: PieceBpe):
         self.a, self.b = a, b
-        self.a_len = np.array([len(x) for x in a.bytes], np.int64)
-        self.b_len = np.array([len(x) for x in b.bytes], np.int64)
-
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids of A and B and the bytes they share: a space and the text.  No tokens if there is no text or the bytes
-        of either tokenizer's ids differ from that."""
-        none = np.empty(0, np.int64)
-        if not text:
-            return none, none, 0
-        raw = (" " + text).encode("utf-8")
-        a, b = self.a.encode(" " + text), self.b.encode(text)
-        for ids, own in ((a, self.a.bytes), (b, self.b.bytes)):
-            if b"".join(map(own.__getitem__, ids.tolist())) != raw:
-                return none, none, 0
-        return a.astype(np.int64), b.astype(np.int64), len(raw)
+        self.a_len, self.b_len = (np.array([len(x) for x in t.bytes], np.int64) for t in (a, b))
+        self.a_all, self.b_all = (np.frombuffer(b"".join(t.bytes), np.uint8) for t in (a, b))
+        self.a_at, self.b_at = (np.cumsum(n) - n for n in (self.a_len, self.b_len))
 
     def align(self, texts: list[str | None]) -> Aligned:
-        got = [self.tokens(t) for t in texts]
-        a, b = (np.concatenate([np.empty(0, np.int64), *(g[k] for g in got)]) for k in (0, 1))
-        a_doc, b_doc = (np.cumsum([len(g[k]) for g in got], dtype=np.int64) for k in (0, 1))
-        return Aligned(a, b, np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]), a_doc, b_doc, sum(g[2] for g in got))
+        """The tokens of the texts.  A text has none if it is null or empty, or if the bytes of either tokenizer's
+        ids differ from a space and the text."""
+        none, k = np.empty(0, np.int64), len(texts)
+        raw = [(" " + t).encode("utf-8") if t else b"" for t in texts]
+        a = [self.a.encode(" " + t).astype(np.int64) if t else none for t in texts]
+        b = [self.b.encode(t).astype(np.int64) if t else none for t in texts]
+        whole = np.ones(k, bool)
+        for ids, length, at, blob in ((a, self.a_len, self.a_at, self.a_all), (b, self.b_len, self.b_at, self.b_all)):
+            whole &= [int(length[i].sum()) == len(r) for i, r in zip(ids, raw, strict=True)]
+            i = np.concatenate([none, *itertools.compress(ids, whole)])
+            n = length[i]
+            made = blob[np.arange(int(n.sum())) + np.repeat(at[i] - (np.cumsum(n) - n), n)]
+            differ = np.concatenate([[0], np.cumsum(made != np.frombuffer(b"".join(itertools.compress(raw, whole)), np.uint8))])
+            ends = np.cumsum([len(r) for r in itertools.compress(raw, whole)], dtype=np.int64)
+            whole[np.flatnonzero(whole)] = np.diff(differ[ends], prepend=0) == 0
+        a, b = ([i if w else none for i, w in zip(ids, whole, strict=True)] for ids in (a, b))
+        a_doc, b_doc = (np.cumsum([len(i) for i in ids], dtype=np.int64) for ids in (a, b))
+        a, b = (np.concatenate([none, *ids]) for ids in (a, b))
+        return Aligned(a, b, np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]), a_doc, b_doc, sum(len(r) for r in itertools.compress(raw, whole)))
 
 
 def _chunks(ids: list, texts: list) -> Iterator[tuple[list, list]]:

@@ -124,20 +124,24 @@ def rank_in_window(x, k: int, key=KEY) -> Column:
 
 
 # --- recursive smoothing -----------------------------------------------------------------------
-# y_t = a*x_t + (1-a)*y_{t-1} by blocks of rows, as plain JVM window expressions.
+# y_t = a*x_t + (1-a)*y_{t-1} by blocks of rows, blocks of blocks and so on, as plain JVM window expressions.
 
-def with_ewm(df, outs: dict[str, tuple[str, float]], key=KEY, order: str = ORDER, block: int = 48):
+def with_ewm(df, outs: dict[str, tuple[str, float]], key=KEY, order: str = ORDER, block: int = 32):
     """``df`` plus, per ``name: (column, alpha)``, the recursive EWM (pandas ``adjust=False``) over all earlier
     non-null values, seeded with the first; a null row carries the last value.
 
-    Exact at any length: inside a block of rows the recursion is an affine map of the value that enters it, the
-    maps of the finished blocks are folded into that value, so a row costs ``block`` steps plus one per block.
+    Exact at any length: inside a block of rows the recursion is an affine map of the value that enters it.  Maps of
+    ``block`` blocks are composed into the map of a larger block, twice, so that the value that enters a row follows
+    from at most ``block`` maps on each of two levels and one map per ``block ** 3`` rows: work grows with the number
+    of rows, not with its square.
     """
-    w, k = W(key, order), F.col("_pos") % block
+    keys = [key] if isinstance(key, str) else list(key)
+    w, pos = W(key, order), F.col("_pos")
     t = df.withColumn("_pos", F.row_number().over(w) - 1)
-    t = t.withColumns({f"_s_{o}": F.struct(F.col(x).cast("double").alias("v"), (F.count(x).over(CUM(key, order)) == 1).alias("first"))
-                       for o, (x, _) in outs.items()})
-    near = w.rowsBetween(-(block - 1), 0)
+    t = t.withColumns({**{f"_s_{o}": F.struct(F.col(x).cast("double").alias("v"), (F.count(x).over(CUM(key, order)) == 1).alias("first"))
+                          for o, (x, _) in outs.items()},
+                       "_g2": F.floor(pos / block ** 2), "_g3": F.floor(pos / block ** 3)})
+    near, before = w.rowsBetween(-(block - 1), 0), (Window.unboundedPreceding, -1)
     one, none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c")), F.lit(None).cast("double")
 
     def block_map(rows: Column, alpha: float) -> Column:
@@ -146,16 +150,47 @@ def with_ewm(df, outs: dict[str, tuple[str, float]], key=KEY, order: str = ORDER
                              .otherwise(F.struct((m["a"] * (1.0 - alpha)).alias("a"), (alpha * e["v"] + (1.0 - alpha) * m["c"]).alias("c"))))
         return F.aggregate(rows, one, step)
 
+    def composed(maps: Column) -> Column:
+        after = lambda m, n: (F.when(n["a"] == 0.0, n)
+                              .otherwise(F.struct((n["a"] * m["a"]).alias("a"), (n["a"] * m["c"] + n["c"]).alias("c"))))
+        return F.aggregate(maps, one, after)
+
     def fold(rows: Column, y: Column, alpha: float) -> Column:
         return F.aggregate(rows, y, lambda acc, e: F.when(e["v"].isNull(), acc).when(acc.isNull(), e["v"]).otherwise(alpha * e["v"] + (1.0 - alpha) * acc))
 
-    t = t.withColumns({f"_r_{o}": F.slice(F.collect_list(f"_s_{o}").over(near), -(k + 1), k + 1) for o in outs})
-    t = t.withColumns({f"_m_{o}": F.when(k == block - 1, block_map(F.col(f"_r_{o}"), alpha)) for o, (_, alpha) in outs.items()})
+    ends = lambda size: pos % size == size - 1
+    t = t.withColumns({f"_r_{o}": F.slice(F.collect_list(f"_s_{o}").over(near), -(pos % block + 1), pos % block + 1) for o in outs})
+    t = t.withColumns({f"_m_{o}": F.when(ends(block), block_map(F.col(f"_r_{o}"), alpha)) for o, (_, alpha) in outs.items()})
+    second, third = (Window.partitionBy(*keys, g).orderBy(order).rowsBetween(*before) for g in ("_g2", "_g3"))
+    t = t.withColumns({f"_a_{o}": F.collect_list(f"_m_{o}").over(second) for o in outs})
+    t = t.withColumns({f"_n_{o}": F.when(ends(block ** 2), composed(F.concat(f"_a_{o}", F.array(f"_m_{o}")))) for o in outs})
+    t = t.withColumns({f"_b_{o}": F.collect_list(f"_n_{o}").over(third) for o in outs})
+    t = t.withColumns({f"_p_{o}": F.when(ends(block ** 3), composed(F.concat(f"_b_{o}", F.array(f"_n_{o}")))) for o in outs})
     enter = lambda y, m: F.when(m["a"] == 0.0, m["c"]).otherwise(m["a"] * y + m["c"])
-    done = lambda o: F.collect_list(f"_m_{o}").over(w.rowsBetween(Window.unboundedPreceding, -1))  # noqa: E731  finished blocks only
-    t = t.withColumns({f"_y_{o}": F.aggregate(done(o), none, enter) for o in outs})
+    maps = lambda o: F.concat(F.collect_list(f"_p_{o}").over(w.rowsBetween(*before)), F.col(f"_b_{o}"), F.col(f"_a_{o}"))
+    t = t.withColumns({f"_y_{o}": F.aggregate(maps(o), none, enter) for o in outs})
     t = t.withColumns({o: fold(F.col(f"_r_{o}"), F.col(f"_y_{o}"), alpha) for o, (_, alpha) in outs.items()})
-    return t.drop("_pos", *[f"_{p}_{o}" for o in outs for p in "srmy"])
+    return t.drop("_pos", "_g2", "_g3", *[f"_{p}_{o}" for o in outs for p in "srmanbpy"])
+
+
+def with_extremes(df, outs: dict[str, tuple[str, str, int]], key=KEY, order: str = ORDER):
+    """``df`` plus, per ``name: (function, column, k)`` with function ``max`` or ``min``, that extreme of the last k rows
+    (NULL unless all of them hold a value).  Rows are cut into blocks of k: the last k rows are the tail of one block
+    and the head of the next, whose running extremes cost one step a row however large k is."""
+    keys = [key] if isinstance(key, str) else list(key)
+    w = W(key, order)
+    agg = {"max": (F.max, F.greatest), "min": (F.min, F.least)}
+    t = df.withColumn("_pos", F.row_number().over(w) - 1)
+    t = t.withColumns({f"_k{k}": F.floor(F.col("_pos") / k) for k in sorted({k for *_, k in outs.values()})})
+    cols = sorted({x for _, x, _ in outs.values()})
+    t = t.withColumns({f"_z_{x}": F.max(F.when(F.col(x).isNull(), F.col("_pos"))).over(CUM(key, order)) for x in cols})  # the last null row
+    running = lambda f, x, k, by: agg[f][0](x).over(Window.partitionBy(*keys, f"_k{k}").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumns({f"_h_{o}": running(f, x, k, F.col(order)) for o, (f, x, k) in outs.items()})
+    t = t.withColumns({f"_t_{o}": running(f, x, k, F.col(order).desc()) for o, (f, x, k) in outs.items()})
+    whole = lambda x, k: F.col("_pos") - F.coalesce(F.col(f"_z_{x}"), F.lit(-1)) >= k
+    t = t.withColumns({o: F.when(whole(x, k), agg[f][1](F.col(f"_h_{o}"), F.lag(f"_t_{o}", k - 1).over(w)) if k > 1 else F.col(x)) for o, (f, x, k) in outs.items()})
+    made = {"_pos", *[f"_k{k}" for *_, k in outs.values()], *[f"_z_{x}" for x in cols], *[f"_{p}_{o}" for o in outs for p in "ht"]}
+    return t.drop(*made)
 
 
 def seen(x, key=KEY) -> Column:
@@ -190,11 +225,15 @@ def round_half_away(x, digits: int = 6) -> Column:
 
 
 def rnd(df, digits: int = 6, keep=("ticker", "date")):
-    """Round every double column (cross-engine value comparison)."""
+    """Round every double column (cross-engine value comparison) like ``round_half_away``.  The projection is SQL text:
+    for wide tables that is built much faster than one column object per operator."""
+    m = f"{10 ** digits}.0D"
     out = []
     for f in df.schema.fields:
+        c = f"`{f.name}`"
         if f.dataType.typeName() in ("double", "float") and f.name not in keep:
-            out.append(round_half_away(F.col(f.name), digits).alias(f.name))
+            y = f"{c} * {m}"
+            out.append(f"CASE WHEN abs({y}) >= 4503599627370496.0D THEN {y} ELSE signum({y}) * cast(floor(abs({y}) + 0.5D) AS double) END / {m} AS {c}")
         else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+            out.append(c)
+    return df.selectExpr(*out)

@@ -113,9 +113,8 @@ def median_impute(df: DataFrame, cols, key: str | None = KEY, exact: bool = True
     """Fill nulls with the per-ticker (or global) median of the column.
 
     Per-ticker groups are bounded by the calendar (one row per date), so the exact interpolated
-    percentile over a ticker partition stays small.  A global exact median keeps a value->count map
-    of the whole column in the final aggregate; pass ``exact=False`` for data-sized columns to use
-    the mergeable quantile sketch (``percentile_approx``) instead.
+    percentile over a ticker partition stays small.  A global exact median is found by distributed
+    selection (``quantiles``); ``exact=False`` takes the mergeable sketch (``percentile_approx``) instead.
     """
     cs = set(cols)
     if key:
@@ -124,42 +123,52 @@ def median_impute(df: DataFrame, cols, key: str | None = KEY, exact: bool = True
                            for c in df.columns])
 
     med = fit_medians(df, list(cols), exact, accuracy)
-    return df.select(*[F.coalesce(F.col(c), F.lit(med[c]).cast("double")).alias(c) if c in cs else F.col(c)
-                       for c in df.columns])
+    return df.selectExpr(*[f"coalesce(`{c}`, double('{med[c]!r}')) AS `{c}`" if c in cs and med[c] is not None else f"`{c}`" for c in df.columns])
+
+
+def fill_chain(df: DataFrame, cols, block: str, max_ratio: float = SPARSE_RATIO, key: str = KEY) -> DataFrame:
+    """``bfill_features``, ``drop_sparse_features`` and ``median_impute`` in one, for series that are cut into ``block``s of
+    consecutive rows: a gap at the end of a block takes the first later value from the heads of the blocks after it
+    (one row per series and block), so a series spreads over tasks; ratios and medians are one aggregate per series.
+    The projections are SQL text, which is built much faster than column objects for wide tables."""
+    other = [c for c in df.columns if c not in set(cols)]
+    fields = lambda expr: ", ".join(f"'{c}', {expr(f'`{c}`')}" for c in cols)
+    near = df.selectExpr(*other, *[f"last(`{c}`, true) OVER (PARTITION BY {key}, {block} ORDER BY date DESC ROWS UNBOUNDED PRECEDING) AS `{c}`" for c in cols])
+    heads = near.groupBy(key, block).agg(F.expr(f"min_by(named_struct({fields(str)}), date)").alias("_h"))
+    later = f"(PARTITION BY {key} ORDER BY {block} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = heads.selectExpr(key, block, f"named_struct({fields(lambda c: f'last(_h.{c}, true) OVER {later}')}) AS _c")
+    filled = near.join(carry, [key, block]).selectExpr(*other, *[f"coalesce(`{c}`, _c.`{c}`) AS `{c}`" for c in cols])
+    filled = filled.checkpoint(eager=True)
+    stats = filled.groupBy(key).agg(F.expr(f"named_struct({fields(lambda c: f'avg(cast({c} IS NULL AS double))')})").alias("_n"),
+                                    F.expr(f"named_struct({fields(lambda c: f'percentile({c}, 0.5D)')})").alias("_m"))
+    return filled.join(stats, key).selectExpr(*other, *[f"CASE WHEN _n.`{c}` <= {float(max_ratio)}D THEN coalesce(`{c}`, _m.`{c}`) END AS `{c}`" for c in cols])
 
 
 def fit_medians(df: DataFrame, cols, exact: bool = True, accuracy: int = 100000) -> dict:
-    """Column medians in one aggregate pass (an Imputer-style fit: one number per column)."""
-    def med(c):
-        return F.percentile(c, 0.5) if exact else F.percentile_approx(c, 0.5, accuracy)
+    """Column medians (an Imputer-style fit: one number per column): exact ones by distributed selection, or the
+    mergeable sketch in one pass."""
+    if exact:
+        from barlens.operators.quantiles import quantiles
 
-    row = df.agg(*[med(c).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+        return {c: q[0] for c, q in quantiles(df.select(*cols), [0.5]).items()}
+    row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"m_{i}"] for i, c in enumerate(cols)}
 
 
 def inf_to_null(df: DataFrame, cols) -> DataFrame:
-    cs = set(cols)
-    inf = float("inf")
-    return df.select(*[F.when(F.col(c).isin(inf, -inf) | F.isnan(c), None).otherwise(F.col(c)).alias(c) if c in cs
-                       else F.col(c) for c in df.columns])
+    cs, types = set(cols), dict(df.dtypes)
+    return df.selectExpr(*[f"CASE WHEN abs(`{c}`) < double('Infinity') THEN `{c}` END AS `{c}`" if c in cs and types[c] in ("double", "float")
+                           else f"`{c}`" for c in df.columns])
 
 
 def quality_report(df: DataFrame, feature_cols, label_col: str = "outperforms") -> DataFrame:
     """Per feature: null ratio, >50 % flag and inf count; plus label nulls and an overall score
     (total - problem features) / total, as one row per feature."""
-    inf = float("inf")
-    aggs = []
-    for c in feature_cols:
-        aggs += [F.avg(F.col(c).isNull().cast("double")).alias(f"n__{c}"),
-                 F.sum(F.col(c).isin(inf, -inf).cast("int")).alias(f"i__{c}")]
-    aggs.append(F.sum(F.col(label_col).isNull().cast("int")).alias("label_nulls"))
-    one = df.agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"n__{c}").alias("null_ratio"), F.col(f"i__{c}").cast("bigint").alias("inf_count"))
-        for c in feature_cols]))
-    rows = one.select(stack.alias("r"), "label_nulls").select("r.*", F.col("label_nulls").cast("bigint").alias("label_nulls"))
+    cells = ", ".join(f"named_struct('feature', '{c}', 'null_ratio', avg(double(`{c}` IS NULL)), 'inf_count', count_if(abs(double(`{c}`)) = double('Infinity')))" for c in feature_cols)
+    one = df.agg(F.expr(f"array({cells})").alias("r"), F.expr(f"count_if(`{label_col}` IS NULL)").alias("label_nulls"))
+    rows = one.selectExpr("explode(r) AS r", "label_nulls").select("r.*", "label_nulls")
     problem = (F.col("null_ratio") > SPARSE_RATIO) | (F.col("inf_count") > 0)
-    w = Window.partitionBy()
+    w = Window.partitionBy()  # one row per feature
     n_bad = F.sum(problem.cast("int")).over(w)
     total = F.count("*").over(w)
     return rows.select("*", problem.alias("is_problem"),

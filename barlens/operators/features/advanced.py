@@ -107,14 +107,14 @@ def vol_regime_change(df: DataFrame) -> DataFrame:
 
 
 def market_correlation(df: DataFrame, n: int = 60, against: str | None = None) -> DataFrame:
-    """Rolling correlation of daily returns with ``against`` (a return column).
-
-    With ``against=None`` this reproduces the reference, which correlates the returns with
-    themselves (1.0 wherever the window has variance, NULL otherwise).
-    """
+    """Rolling correlation of daily returns with ``against`` (a return column), by default with the returns of the
+    as-of benchmark (``bclose``).  Without a benchmark the returns meet themselves, as in the reference: 1.0 wherever the
+    window has variance, NULL otherwise."""
     t = df.select("*", reuse(df, "daily_return", pct("close", 1)).alias("_r"))
-    other = against or "_r"
-    return t.select("*", corr_k("_r", other, n).alias("market_correlation")).drop("_r")
+    if against is None and "bclose" in df.columns:
+        t = t.select("*", pct("bclose", 1).alias("_m"))
+        against = "_m"
+    return t.select("*", corr_k("_r", against or "_r", n).alias("market_correlation")).drop("_r", "_m")
 
 
 def advanced_family(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Technical indicators (SMA, EMA, RSI, Bollinger, MACD, ATR, volume SMA, OBV, stochastic, CCI, %R).
 
-Recursive indicators (EMA, RSI, MACD, ATR) use the bounded-horizon fold from
+Recursive indicators (EMA, RSI, MACD, ATR) use the block-wise recursion of
 ``barlens.functions.series.with_ewm`` so they stay JVM window expressions.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions.series import (
-    CUM, R, W, div, full, lag, reuse, rmax, rmin, roll, seen, sma, with_ema, with_ewm,
+    CUM, R, W, div, full, lag, reuse, roll, seen, sma, with_ema, with_ewm, with_extremes,
 )
 
 # Fixed indicator parameters (defaults of the feature configuration).
@@ -104,11 +104,17 @@ def obv(df: DataFrame) -> DataFrame:
 
 
 def stochastic(df: DataFrame, n: int = STOCH_WINDOW, smooth: int = STOCH_SMOOTH) -> DataFrame:
-    lo, hi = rmin("low", n), rmax("high", n)
-    t = df.select("*", (F.lit(100.0) * div(F.col("close") - lo, hi - lo)).alias("stoch_k"))
+    t, lo, hi = _range(df, n)
+    t = t.select(*df.columns, (F.lit(100.0) * div(F.col("close") - lo, hi - lo)).alias("stoch_k"))
     return t.select("*", sma("stoch_k", smooth).alias("stoch_d"))
 
 
+def _range(df: DataFrame, n: int):
+    """``df`` with the lowest low and the highest high of the last n rows, and these two columns."""
+    t = with_extremes(df, {"_lowest": ("min", "low", n), "_highest": ("max", "high", n)})
+    return t, F.col("_lowest"), F.col("_highest")
+
+
 def cci(df: DataFrame, n: int = CCI_WINDOW, c: float = CCI_CONSTANT) -> DataFrame:
     t = df.select("*", ((F.col("high") + F.col("low") + F.col("close")) / 3.0).alias("_tp"))
     xs = F.collect_list("_tp").over(R(n))
@@ -119,8 +125,8 @@ def cci(df: DataFrame, n: int = CCI_WINDOW, c: float = CCI_CONSTANT) -> DataFram
 
 
 def williams_r(df: DataFrame, n: int = WILLIAMS_LBP) -> DataFrame:
-    hi, lo = rmax("high", n), rmin("low", n)
-    return df.select("*", (F.lit(-100.0) * div(hi - F.col("close"), hi - lo)).alias("williams_r"))
+    t, lo, hi = _range(df, n)
+    return t.select(*df.columns, (F.lit(-100.0) * div(hi - F.col("close"), hi - lo)).alias("williams_r"))
 
 
 def technical_family(df: DataFrame) -> DataFrame:

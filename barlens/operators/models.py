@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlens.operators.metrics import class_metrics, roc_auc
@@ -31,6 +34,11 @@ RIDGE_ALPHA = 1.0
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 100, 10, 2
 GBT_ITERS, GBT_LR, GBT_DEPTH, GBT_SUBSAMPLE = 100, 0.1, 6, 0.8
 MLP_LAYERS = (100, 50)
+RFE_TREES = 50
+TUNE_TOL = 1e-4
+
+#: depth of the trees that rank features for elimination (the reference grows them without bound)
+RFE_DEPTH = 5
 
 
 def estimator(name: str, n_features: int, n_rows: int):
@@ -145,54 +153,80 @@ def top_features(imp: DataFrame, n: int = 20) -> DataFrame:
     return imp.orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def rfe(train: DataFrame, features: list[str], keep: int, step: int = 1) -> list[str]:
-    """Recursive elimination: refit a random forest and drop the least important feature(s)."""
-    cur = list(features)
-    n = train.count()
-    while len(cur) > keep:
-        imp = feature_importance(fit("random_forest", train, cur, n), cur).orderBy("importance", "feature")
-        drop = [r.feature for r in imp.limit(min(step, len(cur) - keep)).collect()]
-        cur = [c for c in cur if c not in drop]
-    return cur
+def rfe(train: DataFrame, features: list[str], keep: int, step: int = 1, trees: int = RFE_TREES, depth: int = RFE_DEPTH) -> list[str]:
+    """Recursive elimination: refit a random forest and drop the least important feature(s), ties by name.
 
+    The features are assembled into one vector column once; every refit reads that cached matrix and takes a slice of
+    it, so a refit costs the forest and nothing else."""
+    matrix = training_table(train, features).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cur = list(range(len(features)))
+        while len(cur) > keep:
+            rows = VectorSlicer(inputCol="features", outputCol="slice", indices=cur).transform(matrix)
+            forest = RandomForestClassifier(featuresCol="slice", labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED,
+                                            maxMemoryInMB=1024, cacheNodeIds=True)
+            weight = forest.fit(rows).featureImportances.toArray()
+            order = sorted(range(len(cur)), key=lambda k: (weight[k], features[cur[k]]))
+            gone = {cur[k] for k in order[: min(step, len(cur) - keep)]}
+            cur = [c for c in cur if c not in gone]
+        return [features[c] for c in cur]
+    finally:
+        matrix.unpersist()
 
-def tune(train: DataFrame, features: list[str], name: str = "logistic_regression", folds: int = 5, parallelism: int = 4):
-    """Grid search with k-fold cross-validation on ROC AUC (MLlib CrossValidator)."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
+def tune(train: DataFrame, features: list[str], name: str = "logistic_regression", folds: int = 5, parallelism: int = 4):
+    """Grid search with k-fold cross-validation on ROC AUC (MLlib CrossValidator).  The feature vector is assembled once
+    and cached; the folds read it.  Returns the fitted CrossValidatorModel, whose best model takes ``features``."""
     n = train.count()
     est = estimator(name, len(features), n)
     grid = ParamGridBuilder()
     if name == "logistic_regression":
         # C in {0.1, 1, 10} x penalty {l1, l2} -> regParam = 1/(C n), elasticNet 1 or 0 (the reference's
-        # solver axis selects an optimiser, not a different model, so it has no MLlib counterpart)
+        # solver axis selects an optimiser, not a different model, so it has no MLlib counterpart); its solvers
+        # stop at a tolerance of 1e-4
+        est = est.setTol(TUNE_TOL)
         grid = grid.addGrid(est.regParam, [1.0 / (c * n) for c in (0.1, 1.0, 10.0)]).addGrid(est.elasticNetParam, [0.0, 1.0])
     elif name == "random_forest":
         # min_samples_split has no MLlib equivalent; leaf size maps to minInstancesPerNode
         grid = grid.addGrid(est.numTrees, [50, 100, 200]).addGrid(est.maxDepth, [5, 10, 15]).addGrid(est.minInstancesPerNode, [1, 2, 4])
     elif name == "gradient_boosting":
         grid = grid.addGrid(est.maxIter, [50, 100, 200]).addGrid(est.stepSize, [0.01, 0.1, 0.2]).addGrid(est.maxDepth, [3, 5, 7])
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), est])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid.build(), numFolds=folds, parallelism=parallelism, seed=SEED,
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid.build(), numFolds=folds, parallelism=parallelism, seed=SEED,
                         evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"))
-    t = train.select("*", F.col(LABEL).cast("double").alias("label"))
-    return cv.fit(t)
+    matrix = training_table(train, features).select("label", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cv.fit(matrix)
+    finally:
+        matrix.unpersist()
+
+
+REGISTRY = ("file_name string, model_name string, stocks_count int, timestamp string, training_date string, feature_count int, file_size_mb double, "
+            "auc double, accuracy double, precision double, recall double, f1_score double, training_samples bigint, hyperparameter_tuning boolean")
 
 
 def save_model(model: PipelineModel, path: str, registry_path: str, name: str, metrics: DataFrame | None,
-               n_features: int, n_train: int) -> None:
-    """Persist the fitted pipeline and append its registry row (parquet)."""
+               n_features: int, n_train: int, stocks: int | None = None, tuned: bool = False) -> None:
+    """Persist the fitted pipeline, then publish its registry row (one parquet row): what the registry lists is
+    complete, also when a job ends between the two."""
+    spark = SparkSession.getActiveSession() if metrics is None else metrics.sparkSession
     model.write().overwrite().save(path)
-    spark = metrics.sparkSession if metrics is not None else None
-    from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
-    ts = _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
-    row = spark.createDataFrame([(path.rstrip("/").split("/")[-1], name, ts, n_features, n_train)],
-                                "file_name string, model_name string, timestamp string, feature_count int, training_samples bigint")
-    if metrics is not None:
-        row = row.join(metrics.select("model_name", "auc", "accuracy", "precision", "recall", "f1_score"), "model_name", "left")
-    row.write.mode("append").parquet(registry_path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength() / 1e6
+    now = _dt.datetime.now(_dt.timezone.utc)
+    names = ["auc", "accuracy", "precision", "recall", "f1_score"]
+    got = metrics.where(F.col("model_name") == name).first() if metrics is not None else None
+    row = (path.rstrip("/").split("/")[-1], name, stocks, now.strftime("%Y%m%d_%H%M%S"), now.date().isoformat(), n_features, float(size),
+           *[got[m] if got is not None else None for m in names], n_train, tuned)
+    spark.createDataFrame([row], REGISTRY).coalesce(1).write.mode("append").parquet(registry_path)
+
+
+def list_models(spark: SparkSession, registry_path: str) -> DataFrame:
+    """The saved models, best AUC first: of several saves under one file name the newest, with ``is_best_model``."""
+    rows = spark.read.schema(REGISTRY).parquet(registry_path)
+    newest = Window.partitionBy("file_name").orderBy(F.col("timestamp").desc(), F.col("auc").desc_nulls_last())
+    rows = rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    best = Window.orderBy(F.col("auc").desc_nulls_last(), "file_name")  # one row per model
+    return rows.withColumn("is_best_model", F.row_number().over(best) == 1).orderBy(F.col("auc").desc_nulls_last(), "file_name")
 
 
 def load_model(path: str) -> PipelineModel:
@@ -204,12 +238,30 @@ def latest_rows(features: DataFrame, key: str = "ticker") -> DataFrame:
     return features.select("*", F.row_number().over(w).alias("_rn")).filter("_rn = 1").drop("_rn")
 
 
+def feature_bounds(train: DataFrame, features: list[str]) -> DataFrame:
+    """``feature, lo, hi``: the range of every feature over the training rows (one row per column)."""
+    cells = ", ".join(f"named_struct('feature', '{c}', 'lo', double(min(`{c}`)), 'hi', double(max(`{c}`)))" for c in features)
+    return train.agg(F.expr(f"array({cells})").alias("b")).selectExpr("inline(b)")
+
+
+def within_bounds(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``df`` with every feature clipped to its training range, and ``features_clipped``: how many were outside."""
+    span = {r["feature"]: (r["lo"], r["hi"]) for r in bounds.collect() if r["lo"] is not None}  # a row per column
+    out = ["0"] + [f"int(`{c}` < double('{lo!r}') OR `{c}` > double('{hi!r}'))" for c, (lo, hi) in span.items()]
+    clip = [f"least(greatest(`{c}`, double('{span[c][0]!r}')), double('{span[c][1]!r}')) AS `{c}`" if c in span else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*clip, f"aggregate(array({', '.join(out)}), 0, (a, x) -> a + coalesce(x, 0)) AS features_clipped")
+
+
 def score_universe(model: PipelineModel, features: DataFrame, feature_cols: list[str], name: str, horizon: int = 5,
-                   price: str = "close") -> DataFrame:
-    """Latest feature row per ticker -> probability, prediction, confidence = max(p, 1 - p)."""
-    s = score(model, latest_rows(features))
+                   price: str = "close", bounds: DataFrame | None = None) -> DataFrame:
+    """Latest feature row per ticker -> probability, prediction, confidence = max(p, 1 - p).  With ``bounds`` (the training
+    ranges) values beyond them are clipped first and counted in ``features_clipped``: running totals of the newest bar
+    leave the range a linear model was fitted on, and would else carry its margin to a probability of 0 or 1."""
+    last = latest_rows(features)
+    last = last.withColumn("features_clipped", F.lit(0)) if bounds is None else within_bounds(last, bounds)
+    s = score(model, last)
     return s.select("ticker", F.col("date").alias("prediction_date"), (F.col("pred") == 1).alias("prediction"),
                     F.col("prob").alias("outperform_probability"),
                     F.greatest(F.col("prob"), 1 - F.col("prob")).alias("confidence"), F.lit(name).alias("model_name"),
                     F.lit(len(feature_cols)).alias("features_used"), F.col(price).alias("last_price"),
-                    F.lit(horizon).alias("prediction_horizon_days"))
+                    F.lit(horizon).alias("prediction_horizon_days"), "features_clipped")

@@ -74,7 +74,7 @@ def ticker_performance(bars: DataFrame, min_rows: int = 100) -> DataFrame:
     r = bars.select("ticker", "date", "close", pct("close", 1).alias("r"))
     g = r.groupBy("ticker").agg(
         F.count("*").alias("n"),
-        ((F.max_by("close", "date") / F.min_by("close", "date") - 1.0) * 100.0).alias("total_return"),
+        ((F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1.0) * 100.0).alias("total_return"),
         (F.stddev_samp("r") * math.sqrt(TRADING_DAYS) * 100.0).alias("volatility"),
     ).filter(F.col("n") >= min_rows)
     g = g.join(dd, "ticker")

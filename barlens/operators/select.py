@@ -3,15 +3,61 @@ train-fitted standardisation, trained-column alignment."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.operators.reports import corr_long
+from barlens.operators.quantiles import order_statistics
 
 
 def to_long(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """Unpivot wide features to (keys..., feature, value)."""
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in features]).unpivot(keys, features, "feature", "value")
+    return df.selectExpr(*keys, *[f"cast(`{c}` AS double) AS `{c}`" for c in features]).unpivot(keys, features, "feature", "value")
+
+
+def gram(df: DataFrame, features: list[str]) -> DataFrame:
+    """Pairwise-complete moments of all column pairs, ``i <= j`` (positions in ``features``): ``n`` rows that hold both,
+    sums ``si, sj``, squares ``qi, qj`` and product ``p`` of the values less their column's mean.
+
+    A task multiplies its rows as matrices and leaves one row per pair; Spark adds these up.  Memory of a task is four
+    square matrices of the number of columns, whatever the number of rows."""
+    mean = df.agg(*[F.expr(f"avg(cast(`{c}` AS double))").alias(f"m{i}") for i, c in enumerate(features)]).first()
+    center = np.array([0.0 if m is None else m for m in mean])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        k = len(center)
+        both, sums, squares, products = (np.zeros((k, k)) for _ in range(4))
+        for b in batches:
+            x = b.to_numpy(np.float64)
+            has = ~np.isnan(x)
+            x, m = np.where(has, x - center, 0.0), has.astype(np.float64)
+            both += m.T @ m
+            sums += x.T @ m  # row i, column j: the sum of i where j has a value
+            squares += (x * x).T @ m
+            products += x.T @ x
+        i, j = np.triu_indices(k)
+        yield pd.DataFrame({"i": i, "j": j, "n": both[i, j], "si": sums[i, j], "sj": sums[j, i], "qi": squares[i, j], "qj": squares[j, i], "p": products[i, j]})
+
+    wide = df.selectExpr(*[f"cast(`{c}` AS double) AS c{i}" for i, c in enumerate(features)])
+    parts = wide.mapInPandas(run, "i int, j int, n double, si double, sj double, qi double, qj double, p double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+
+
+def gram_corr(moments: DataFrame) -> DataFrame:
+    """``moments`` of different columns with ``corr`` (NULL without variance or with less than two rows)."""
+    spread = lambda q, s: F.col(q) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+    vi, vj = spread("qi", "si"), spread("qj", "sj")
+    cov = F.col("p") - F.try_divide(F.col("si") * F.col("sj"), F.col("n"))
+    return moments.where("i < j").withColumn("corr", F.when((F.col("n") > 1) & (vi > 0) & (vj > 0), F.try_divide(cov, F.sqrt(vi) * F.sqrt(vj))))
+
+
+def corr_matrix(df: DataFrame, features: list[str]) -> DataFrame:
+    """Correlations of all column pairs as a long table ``a, b, corr``, ``a`` before ``b`` in ``features``."""
+    names = F.array(*[F.lit(c) for c in features])
+    return gram_corr(gram(df, features)).select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "corr")
 
 
 def corr_prune(df: DataFrame, features: list[str], threshold: float = 0.95, max_null: float = 0.5) -> DataFrame:
@@ -20,21 +66,16 @@ def corr_prune(df: DataFrame, features: list[str], threshold: float = 0.95, max_
 
     Output: feature, ordinal, null_ratio, max_abs_corr_prior, keep.
     """
-    nr = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in features]).unpivot([], features, "feature", "null_ratio")
-    order = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, ordinal int")
-    nr = nr.join(F.broadcast(order), "feature")
-    valid = [f for f in features]  # validity is data dependent; invalid ones are excluded below by flag
-    pairs = corr_long(df, valid)
-    pairs = pairs.join(F.broadcast(order.withColumnRenamed("feature", "a").withColumnRenamed("ordinal", "oa")), "a")
-    pairs = pairs.join(F.broadcast(order.withColumnRenamed("feature", "b").withColumnRenamed("ordinal", "ob")), "b")
-    okn = nr.filter(F.col("null_ratio") < max_null).select("feature")
-    pairs = (pairs.join(okn.withColumnRenamed("feature", "a"), "a", "left_semi")
-                  .join(okn.withColumnRenamed("feature", "b"), "b", "left_semi"))
+    moments = gram(df, features).checkpoint(eager=True)  # one row per pair of columns
+    rows = df.count()
+    own = moments.where("i = j").select(F.col("i").alias("ordinal"), (F.lit(1.0) - F.try_divide(F.col("n"), F.lit(float(rows)))).alias("null_ratio"))
+    ok = own.where(F.col("null_ratio") < max_null).select("ordinal")
+    pairs = gram_corr(moments).join(ok.withColumnRenamed("ordinal", "i"), "i", "leftsemi").join(ok.withColumnRenamed("ordinal", "j"), "j", "leftsemi")
     # the later column of each pair is the one tested against its predecessors
-    worst = pairs.groupBy(F.col("b").alias("feature")).agg(F.max(F.abs("corr")).alias("max_abs_corr_prior"))
-    out = nr.join(worst, "feature", "left")
+    worst = pairs.groupBy(F.col("j").alias("ordinal")).agg(F.max(F.abs("corr")).alias("max_abs_corr_prior"))
     keep = (F.col("null_ratio") < max_null) & F.coalesce(F.col("max_abs_corr_prior") <= threshold, F.lit(True))
-    return out.select("feature", "ordinal", "null_ratio", "max_abs_corr_prior", keep.alias("keep"))
+    names = F.array(*[F.lit(c) for c in features])
+    return own.join(worst, "ordinal", "left").select(names[F.col("ordinal")].alias("feature"), "ordinal", "null_ratio", "max_abs_corr_prior", keep.alias("keep"))
 
 
 def f_score(df: DataFrame, features: list[str], label: str = "outperforms") -> DataFrame:
@@ -96,12 +137,35 @@ def mutual_info(df: DataFrame, features: list[str], label: str = "outperforms",
     return t.groupBy("feature").agg(F.sum(term).alias("mutual_info"))
 
 
+def mutual_info_binned(df: DataFrame, features: list[str], label: str = "outperforms", bins: int = 10) -> DataFrame:
+    """MI(feature bin; label) with bins between the feature's quantiles: the value of rank ``floor((n - 1) k / bins)``
+    bounds bin k - 1 from above, so equal values share a bin.  The bounds come from distributed selection, the
+    contingency counts from one pass over the wide table: a task sums its rows per (feature, bin, label) before it sends
+    anything."""
+    ranks = lambda c, n: [(n - 1) * k // bins for k in range(1, bins)]
+    size, got = order_statistics(df.selectExpr(*[f"cast(`{c}` AS double) AS `{c}`" for c in features]), ranks)
+    cells = []
+    for i, c in enumerate(features):
+        if size[c]:
+            bounds = [got[(c, r)] for r in ranks(c, size[c])]
+            bin_ = " + ".join(f"int(`{c}` > double('{b!r}'))" for b in bounds)
+            cells.append(f"CASE WHEN `{c}` IS NOT NULL THEN {i * bins} + {bin_} END")
+    long = df.selectExpr(f"`{label}` AS label", f"explode(filter(array({', '.join(cells)}), x -> x IS NOT NULL)) AS cell")
+    j = long.groupBy("cell", "label").agg(F.count("*").alias("n_xy")).withColumn("i", F.floor(F.col("cell") / bins).cast("int"))
+    w = Window.partitionBy("i")  # from here on a few rows per feature
+    t = j.select("*", F.sum("n_xy").over(w).alias("n"), F.sum("n_xy").over(Window.partitionBy("i", "cell")).alias("n_x"),
+                 F.sum("n_xy").over(Window.partitionBy("i", "label")).alias("n_y"))
+    term = (F.col("n_xy") / F.col("n")) * F.log((F.col("n_xy") * F.col("n")) / (F.col("n_x") * F.col("n_y")))
+    names = F.array(*[F.lit(c) for c in features])
+    return t.groupBy("i").agg(F.sum(term).alias("mutual_info")).select(names[F.col("i")].alias("feature"), "mutual_info")
+
+
 def select_top(scores: DataFrame, score: str, n: int, name: str = "feature") -> DataFrame:
-    """The n best-scoring features (SelectKBest): score rounded to 12 dp for the order, so an ulp
+    """The n best-scoring features (SelectKBest): score rounded to 9 dp for the order, so an ulp
     between two identical columns cannot reorder them; ties by name."""
     from barlens.functions.series import round_half_away
 
-    return scores.orderBy(round_half_away(score, 12).desc(), name).limit(n)
+    return scores.orderBy(round_half_away(score, 9).desc_nulls_last(), name).limit(n)
 
 
 def standardize(df: DataFrame, features: list[str], fit_filter=None) -> DataFrame:
@@ -133,13 +197,7 @@ def align_feature_columns(df: DataFrame, trained: list[str], keys: list[str]) ->
 
     have = [c for c in trained if c in df.columns]
     med = fit_medians(df, have) if have else {}
-    out = []
-    for c in trained:
-        if c in med:
-            out.append(F.coalesce(F.col(c).cast("double"), F.lit(med[c]), F.lit(0.0)).alias(c))
-        else:
-            out.append(F.lit(0.0).alias(c))
-    return df.select(*keys, *out)
+    return df.selectExpr(*keys, *[f"coalesce(cast(`{c}` AS double), double('{med[c] if med[c] is not None else 0.0!r}')) AS `{c}`" if c in med else f"0.0D AS `{c}`" for c in trained])
 
 
 def prepare_matrix(df: DataFrame, features: list[str]) -> DataFrame:

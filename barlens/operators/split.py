@@ -11,13 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlens.session import checkpoint_dir
+
 
 def row_positions(df: DataFrame, order: str = "date", tiebreak: str = "ticker") -> DataFrame:
     """Adds ``row_pos`` (0-based position in (order, tiebreak) order) and ``n_rows`` (table size).
 
     Both come from the per-date count table (calendar-sized): its running sum gives the rows before
-    each date and its total gives the table size, so the input plan is evaluated once -- no scalar
-    subquery re-running it."""
+    each date and its total gives the table size.  The counts and the rows read the same checkpoint, so the input
+    plan is evaluated once."""
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     per = df.groupBy(order).agg(F.count("*").alias("_nd"))
     before = F.coalesce(F.sum("_nd").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select(order, before.alias("_before"), F.sum("_nd").over(Window.partitionBy()).alias("n_rows"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from barlens.plans.core_oracle import BBM, BTM, LABELS_CTES, SECTOR_CTE
+from barlens.plans.feature_oracle import ENGINEERED_COLS, FEATS
 from barlens.plans.sqlkit import BARS_CTE, MARKET_CTE, rounded, sma, std, with_ctes
 
 P = "PARTITION BY ticker ORDER BY date"
@@ -120,58 +121,74 @@ b2 AS (SELECT ticker, {std('r', 20, 'PARTITION BY ticker ORDER BY date')} * sqrt
 u AS (SELECT * FROM s2 UNION ALL SELECT * FROM b2)
 """ + rounded("SELECT ticker, avg(vol) AS avg_volatility, count(*) AS n FROM u WHERE vol IS NOT NULL GROUP BY ticker", keep="ticker, n")
 
-_TC = lambda src: f"""tl AS ({_long(src, extra='outperforms')}),
-tc AS (SELECT feature, {_corr("value", "CAST(outperforms AS DOUBLE)")} AS corr FROM tl WHERE value IS NOT NULL GROUP BY feature)"""
-O["top_features"] = FRAME + ",\ntrain AS (SELECT * FROM frame WHERE split = 'train'),\n" + _TC("train") + "\n" + rounded(
-    "SELECT feature, corr, abs(corr) AS abs_corr FROM tc ORDER BY round(abs(corr), 12) DESC, feature LIMIT 3", keep="feature")
-O["feature_corr_matrix"] = FRAME + ",\n" + _TC("frame") + """,
-top AS (SELECT feature, row_number() OVER (ORDER BY round(abs(corr), 12) DESC, feature) - 1 AS o FROM tc QUALIFY o < 3),
-sel AS (SELECT feature, o FROM top UNION ALL SELECT 'outperforms', 3),
-lv AS (SELECT ticker, date, feature, value FROM tl UNION ALL SELECT ticker, date, 'outperforms', CAST(outperforms AS DOUBLE) FROM frame),
-lo AS (SELECT lv.*, sel.o FROM lv JOIN sel ON lv.feature = sel.feature WHERE value IS NOT NULL),
-pairs AS (SELECT x.feature AS a, y.feature AS b, """ + _corr("x.value", "y.value") + """ AS corr
-          FROM lo x JOIN lo y ON x.ticker = y.ticker AND x.date = y.date AND x.o < y.o GROUP BY 1, 2)
+# the engineered table with labels and split, and the same as (r, feature, ordinal, value) rows
+WIDE = FEATS + LABELS_CTES + """,
+fl AS (SELECT feats.*, lab.outperforms FROM feats JOIN lab ON feats.ticker = lab.ticker AND feats.date = lab.date),
+pos AS (SELECT *, row_number() OVER (ORDER BY date, ticker) - 1 AS row_pos, count(*) OVER () AS n_all FROM fl),
+frame AS MATERIALIZED (SELECT * EXCLUDE (n_all),
+  CASE WHEN row_pos < floor(floor(n_all * CAST(0.8 AS DOUBLE)) * CAST(0.8 AS DOUBLE)) THEN 'train'
+       WHEN row_pos < floor(n_all * CAST(0.8 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM pos),
+train AS MATERIALIZED (SELECT * FROM frame WHERE split = 'train')"""
+
+
+def _wide_long(src: str, cols=(*ENGINEERED_COLS, "outperforms")) -> str:
+    names = ", ".join(f"'{c}'" for c in cols)
+    values = ", ".join(f"CAST({c} AS DOUBLE)" for c in cols)
+    return (f",\ntl AS MATERIALIZED (SELECT row_pos AS r, split, outperforms, unnest([{names}]) AS feature, unnest(range({len(cols)})) AS ordinal, "
+            f"unnest([{values}]) AS value FROM {src})")
+
+
+def _target(src: str, n: int) -> str:
+    return _wide_long(src) + f""",
+tc AS (SELECT feature, any_value(ordinal) AS ordinal, {_corr("value", "CAST(outperforms AS DOUBLE)")} AS corr FROM tl WHERE value IS NOT NULL AND feature <> 'outperforms' GROUP BY feature),
+top AS (SELECT * FROM tc ORDER BY round(abs(corr), 9) DESC NULLS LAST, feature LIMIT {n})"""
+
+
+_PAIRS = f"""pairs AS (SELECT x.feature AS a, y.feature AS b, {_corr("x.value", "y.value")} AS corr
+          FROM lo x JOIN lo y ON x.r = y.r AND x.ordinal < y.ordinal GROUP BY 1, 2)"""
+O["top_features"] = WIDE + _target("train", 20) + "\n" + rounded("SELECT feature, corr, abs(corr) AS abs_corr FROM top", keep="feature")
+O["feature_corr_matrix"] = WIDE + _target("frame", 25) + f""",
+lo AS (SELECT * FROM tl WHERE value IS NOT NULL AND feature IN (SELECT feature FROM top UNION ALL SELECT 'outperforms')),
+{_PAIRS}
 """ + rounded("SELECT * FROM pairs", keep="a, b")
 
 # ---- selection / preparation
 TRAIN = FRAME + ",\ntrain AS (SELECT * FROM frame WHERE split = 'train')"
-_ORD = "ords AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATURES)) + ") t(feature, ordinal))"
-O["corr_prune"] = TRAIN + f""",
-tl AS ({_long('train')}),
-{_ORD},
-nr AS (SELECT feature, avg(CAST(value IS NULL AS INTEGER)) AS null_ratio FROM tl GROUP BY feature),
-okf AS (SELECT feature FROM nr WHERE null_ratio < 0.5),
-lo AS (SELECT tl.*, ords.ordinal FROM tl JOIN ords ON tl.feature = ords.feature
-       WHERE value IS NOT NULL AND tl.feature IN (SELECT feature FROM okf)),
-pairs AS (SELECT x.feature AS a, y.feature AS b, {_corr('x.value', 'y.value')} AS corr
-          FROM lo x JOIN lo y ON x.ticker = y.ticker AND x.date = y.date AND x.ordinal < y.ordinal GROUP BY 1, 2),
+_FEATURE_LONG = _wide_long("train", ENGINEERED_COLS)
+O["corr_prune"] = WIDE + _FEATURE_LONG + f""",
+nr AS (SELECT feature, any_value(ordinal) AS ordinal, avg(CAST(value IS NULL AS INTEGER)) AS null_ratio FROM tl GROUP BY feature),
+lo AS (SELECT * FROM tl WHERE value IS NOT NULL AND feature IN (SELECT feature FROM nr WHERE null_ratio < 0.5)),
+{_PAIRS},
 worst AS (SELECT b AS feature, max(abs(corr)) AS max_abs_corr_prior FROM pairs GROUP BY b)
-SELECT nr.feature, CAST(ords.ordinal AS INTEGER) AS ordinal, round(nr.null_ratio, 6) AS null_ratio,
+SELECT nr.feature, CAST(nr.ordinal AS INTEGER) AS ordinal, round(nr.null_ratio, 6) AS null_ratio,
        round(worst.max_abs_corr_prior, 6) AS max_abs_corr_prior,
        nr.null_ratio < 0.5 AND coalesce(worst.max_abs_corr_prior <= 0.95, true) AS keep
-FROM nr JOIN ords ON nr.feature = ords.feature LEFT JOIN worst ON nr.feature = worst.feature"""
-O["f_score"] = TRAIN + f""",
-tl AS ({_long('train', extra='outperforms')}),
+FROM nr LEFT JOIN worst ON nr.feature = worst.feature"""
+_FSC = WIDE + _FEATURE_LONG + """,
 g AS (SELECT feature, outperforms, count(*) AS n_g, avg(value) AS m_g, var_pop(value) AS v_g FROM tl WHERE value IS NOT NULL GROUP BY 1, 2),
 g2 AS (SELECT *, sum(n_g) OVER (PARTITION BY feature) AS n, sum(n_g * m_g) OVER (PARTITION BY feature) / sum(n_g) OVER (PARTITION BY feature) AS m,
               count(*) OVER (PARTITION BY feature) AS k FROM g),
-a AS (SELECT feature, CAST(n AS BIGINT) AS n, k, sum(n_g * ((m_g - m) * (m_g - m))) AS ssb, sum(n_g * v_g) AS ssw FROM g2 GROUP BY feature, n, k)
-,
-fsc AS (SELECT feature, n, ssb, ssw, (ssb / (k - 1)) / nullif(ssw / (n - k), 0) AS f_score FROM a)
-""" + rounded("SELECT * FROM fsc", keep="feature, n")
-O["f_score_top"] = O["f_score"].replace(rounded("SELECT * FROM fsc", keep="feature, n"), rounded(
-    "SELECT * FROM fsc ORDER BY round(f_score, 12) DESC, feature LIMIT 3", keep="feature, n"))
-O["mutual_info"] = TRAIN + f""",
-tl AS ({_long('train', extra='outperforms')}),
-b AS (SELECT feature, outperforms, ntile(10) OVER (PARTITION BY feature ORDER BY value, ticker, date) AS bin FROM tl WHERE value IS NOT NULL),
-j AS (SELECT feature, bin, outperforms, count(*) AS n_xy FROM b GROUP BY ALL),
+a AS (SELECT feature, CAST(n AS BIGINT) AS n, k, sum(n_g * ((m_g - m) * (m_g - m))) AS ssb, sum(n_g * v_g) AS ssw FROM g2 GROUP BY feature, n, k),
+fsc AS (SELECT feature, n, (ssb / nullif(k - 1, 0)) / nullif(ssw / nullif(n - k, 0), 0) AS f_score FROM a)
+"""
+O["f_score"] = _FSC + rounded("SELECT * FROM fsc", keep="feature, n")
+O["f_score_top"] = _FSC + rounded("SELECT * FROM fsc ORDER BY round(f_score, 9) DESC NULLS LAST, feature LIMIT 50", keep="feature, n")
+_MI = """j AS (SELECT feature, bin, outperforms, count(*) AS n_xy FROM b GROUP BY ALL),
 t AS (SELECT *, sum(n_xy) OVER (PARTITION BY feature) AS n, sum(n_xy) OVER (PARTITION BY feature, bin) AS n_x,
-             sum(n_xy) OVER (PARTITION BY feature, outperforms) AS n_y FROM j)
-,
+             sum(n_xy) OVER (PARTITION BY feature, outperforms) AS n_y FROM j),
 mi AS (SELECT feature, sum((n_xy / n) * ln((n_xy * n) / (n_x * n_y))) AS mutual_info FROM t GROUP BY feature)
-""" + rounded("SELECT * FROM mi", keep="feature")
-O["mutual_info_top"] = O["mutual_info"].replace(rounded("SELECT * FROM mi", keep="feature"), rounded(
-    "SELECT * FROM mi ORDER BY round(mutual_info, 12) DESC, feature LIMIT 3", keep="feature"))
+"""
+O["mutual_info_ntile"] = TRAIN + f""",
+tl AS ({_long('train', extra='outperforms')}),
+b AS (SELECT feature, outperforms, ntile(10) OVER (PARTITION BY feature ORDER BY value, ticker, date) AS bin FROM tl WHERE value IS NOT NULL),
+""" + _MI + rounded("SELECT * FROM mi", keep="feature")
+_BINNED = WIDE + _FEATURE_LONG + """,
+sorted AS (SELECT feature, list_sort(list(value)) AS s FROM tl WHERE value IS NOT NULL GROUP BY feature),
+bounds AS (SELECT feature, list_transform(range(1, 10), lambda k: s[(len(s) - 1) * k // 10 + 1]) AS bs FROM sorted),
+b AS (SELECT tl.feature, outperforms, len(list_filter(bs, lambda q: q < value)) AS bin FROM tl JOIN bounds ON tl.feature = bounds.feature WHERE value IS NOT NULL),
+""" + _MI
+O["mutual_info"] = _BINNED + rounded("SELECT * FROM mi", keep="feature")
+O["mutual_info_top"] = _BINNED + rounded("SELECT * FROM mi ORDER BY round(mutual_info, 9) DESC NULLS LAST, feature LIMIT 50", keep="feature")
 _STATS = ", ".join(f"avg({f}) AS mu_{f}, stddev_pop({f}) AS sd_{f}" for f in FEATURES)
 O["standardize"] = FRAME + f""",
 st AS (SELECT {_STATS} FROM frame WHERE split = 'train')
@@ -195,18 +212,16 @@ d AS (SELECT ticker, date, momentum_20, CASE WHEN isodow(date) >= 6 THEN close E
     for c in ("momentum_20", "weekend_close", "test_close")) + " FROM d")
 O["inf_to_null"] = FRAME + "\n" + rounded("SELECT ticker, date, " + ", ".join(
     f"CASE WHEN isinf({f}) OR isnan({f}) THEN NULL ELSE {f} END AS {f}" for f in FEATURES) + " FROM frame")
-O["quality_report"] = FRAME + f""",
-tl AS ({_long('frame')}),
-q AS (SELECT feature, avg(CAST(value IS NULL AS DOUBLE)) AS null_ratio, CAST(coalesce(sum(CAST(isinf(value) AS INTEGER)), 0) AS BIGINT) AS inf_count
+O["quality_report"] = WIDE + _wide_long("frame", ENGINEERED_COLS) + """,
+qr AS (SELECT feature, avg(CAST(value IS NULL AS DOUBLE)) AS null_ratio, CAST(coalesce(sum(CAST(isinf(value) AS INTEGER)), 0) AS BIGINT) AS inf_count
       FROM tl GROUP BY feature),
 ln AS (SELECT CAST(sum(CAST(outperforms IS NULL AS INTEGER)) AS BIGINT) AS label_nulls FROM frame),
-q2 AS (SELECT q.*, ln.label_nulls, null_ratio > 0.5 OR inf_count > 0 AS is_problem FROM q, ln)
+qp AS (SELECT qr.*, ln.label_nulls, null_ratio > 0.5 OR inf_count > 0 AS is_problem FROM qr, ln)
 """ + rounded("SELECT feature, null_ratio, inf_count, label_nulls, is_problem, "
               "(count(*) OVER () - sum(CAST(is_problem AS INTEGER)) OVER ()) / count(*) OVER () AS quality_score, "
-              "label_nulls = 0 AS labels_ok FROM q2", keep="feature, inf_count, label_nulls, is_problem, labels_ok")
-O["prepare_matrix"] = TRAIN + ",\nc AS (SELECT " + ", ".join(
-    f"CASE WHEN isinf({f}) OR isnan({f}) THEN NULL ELSE {f} END AS {f}" for f in FEATURES) + " FROM train)\n" + \
-    "SELECT " + ", ".join(f"round(coalesce({f}, (SELECT median({f}) FROM c)), 6) AS {f}" for f in FEATURES) + " FROM c"
+              "label_nulls = 0 AS labels_ok FROM qp", keep="feature, inf_count, label_nulls, is_problem, labels_ok")
+O["prepare_matrix"] = WIDE + ",\nmed AS (SELECT " + ", ".join(f"median({c}) AS m_{c}" for c in ENGINEERED_COLS) + " FROM train)\nSELECT " + ", ".join(
+    f"round(coalesce({c}, m_{c}), 6) AS {c}" for c in ENGINEERED_COLS) + " FROM train, med"
 O["align_feature_columns"] = FRAME + ",\nt AS (SELECT * FROM frame WHERE split = 'test')\n" + rounded(
     "SELECT ticker, date, " + ", ".join(f"coalesce(CAST({f} AS DOUBLE), (SELECT median({f}) FROM t), 0.0) AS {f}" if f != "adx_14"
                                         else "0.0::DOUBLE AS adx_14" for f in ["volatility_20", "momentum_20", "adx_14", "rs_sma_20"])
@@ -276,11 +291,10 @@ p AS (SELECT ticker, date AS prediction_date, 0.5 + 0.5 * (rs * 10.0) / (1.0 + a
 p2 AS (SELECT *, outperform_probability > 0.5 AS prediction, greatest(outperform_probability, 1 - outperform_probability) AS confidence FROM p)
 """ + rounded("SELECT * FROM p2 WHERE prediction AND confidence >= 0.55 ORDER BY outperform_probability DESC, ticker LIMIT 50",
               keep="ticker, prediction_date, prediction")
-O["ks_drift"] = FRAME + f""",
-tt AS (SELECT *, CAST(split = 'test' AS INTEGER) AS sample FROM frame WHERE split IN ('train', 'test')),
-tl AS ({_long('tt', extra='sample')}),
+O["ks_drift"] = WIDE + ",\ntt AS (SELECT * FROM frame WHERE split IN ('train', 'test'))" + _wide_long("tt", ENGINEERED_COLS) + """,
+tl2 AS (SELECT feature, value, CAST(split = 'test' AS INTEGER) AS sample FROM tl),
 c AS (SELECT feature, value, CAST(sum(CAST(sample = 0 AS INTEGER)) AS BIGINT) AS c0, CAST(sum(CAST(sample = 1 AS INTEGER)) AS BIGINT) AS c1
-      FROM tl WHERE value IS NOT NULL GROUP BY feature, value),
+      FROM tl2 WHERE value IS NOT NULL GROUP BY feature, value),
 cu AS (SELECT *, sum(c0) OVER w AS k0, sum(c1) OVER w AS k1, sum(c0) OVER (PARTITION BY feature) AS n0, sum(c1) OVER (PARTITION BY feature) AS n1
        FROM c WINDOW w AS (PARTITION BY feature ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 s AS (SELECT feature, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, max(abs(k0 / n0 - k1 / n1)) AS ks_stat FROM cu GROUP BY ALL),

@@ -13,7 +13,11 @@ from barlens.operators import registry as RG
 from barlens.operators import reports as RP
 from barlens.operators import select as SE
 from barlens.operators import split as S
+from barlens.operators.features.engineer import engineer
+from barlens.plans.feature_queries import ENGINEERED_COLS
+from barlens.session import scratch_path
 from barlens.sources import bars as SB
+from barlens.sources import store as ST
 
 FEATURES = ["momentum_20", "rs_sma_20", "price_ma_position_20", "price_zscore_20", "volume_ratio", "volatility_20"]
 SIGNALS = ["momentum_20", "rs_sma_20", "price_zscore_20", "volume_ratio", "volatility_20"]
@@ -51,6 +55,20 @@ def signal_frame(spark: SparkSession, sf: str, materialize: bool = True) -> Data
     return out.checkpoint(eager=True)
 
 
+def feature_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """(table, feature columns): the whole engineered feature table with its warm-up nulls, ``outperforms`` and ``split``, written once
+    to the shared folder per application and state of the input files."""
+    source = ST.fingerprint(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
+    path = scratch_path(spark, "features", spark.sparkContext.applicationId, source)
+    if not ST.exists(spark, f"{path}/_SUCCESS"):
+        b = SB.bars(spark, sf, "p_type")
+        f = engineer(b, SB.as_benchmark(SB.market_gappy(spark, sf)), fill_mode="none")
+        lab = S.chrono_split(L.labels(b, SB.market_bars(spark, sf))).select("ticker", "date", "outperforms", "split")
+        f.join(lab, ["ticker", "date"]).write.mode("overwrite").parquet(path)
+    t = spark.read.parquet(path)
+    return t, ENGINEERED_COLS
+
+
 def _frame_rounded(df):
     return rnd(df, keep=("ticker", "date"))
 
@@ -108,18 +126,22 @@ def rolling_vol_report(spark, sf):
     return rnd(RP.rolling_vol_report(SB.bars(spark, sf, "p_type"), SB.market_bars(spark, sf)))
 
 
-def feature_corr_matrix(spark, sf, top_n=3):
-    f = signal_frame(spark, sf)
-    tc = RP.feature_target_corr(f, FEATURES)
-    # identical columns tie exactly; rank on |corr| rounded to 12 dp so an ulp cannot reorder them
-    top = [r.feature for r in tc.orderBy(round_half_away("abs_corr", 12).desc(), "feature").limit(top_n).collect()]
-    cols = top + ["outperforms"]
-    return rnd(RP.corr_long(f.select(*[F.col(c).cast("double") for c in cols]), cols), keep=("a", "b"))
+def _target_corr(t, feats):
+    """``feature, corr, abs_corr`` with the label, all columns in one pass."""
+    m = SE.corr_matrix(t, [*feats, "outperforms"]).where("b = 'outperforms'")
+    return m.select(F.col("a").alias("feature"), "corr", F.abs("corr").alias("abs_corr"))
+
+
+def feature_corr_matrix(spark, sf, top_n=25):
+    t, feats = feature_frame(spark, sf)
+    # identical columns tie exactly; rank on |corr| rounded to 9 dp so an ulp cannot reorder them
+    top = [r.feature for r in SE.select_top(_target_corr(t, feats), "abs_corr", top_n).collect()]
+    return rnd(SE.corr_matrix(t, [c for c in feats if c in top] + ["outperforms"]), keep=("a", "b"))
 
 
-def top_features(spark, sf, n=3):
-    tc = RP.feature_target_corr(signal_frame(spark, sf).filter("split = 'train'"), FEATURES)
-    return rnd(tc.orderBy(round_half_away("abs_corr", 12).desc(), "feature").limit(n), keep=("feature",))
+def top_features(spark, sf, n=20):
+    t, feats = feature_frame(spark, sf)
+    return rnd(SE.select_top(_target_corr(t.filter("split = 'train'"), feats), "abs_corr", n), keep=("feature",))
 
 
 # ---- selection / preparation -------------------------------------------------------------------------
@@ -128,23 +150,33 @@ def _train(spark, sf):
     return signal_frame(spark, sf).filter(F.col("split") == "train")
 
 
+def _wide_train(spark, sf):
+    t, feats = feature_frame(spark, sf)
+    return t.filter(F.col("split") == "train"), feats
+
+
 def corr_prune(spark, sf):
-    return rnd(SE.corr_prune(_train(spark, sf), FEATURES), keep=("feature",))
+    return rnd(SE.corr_prune(*_wide_train(spark, sf)), keep=("feature",))
 
 
 def f_score(spark, sf):
-    return rnd(SE.f_score(_train(spark, sf), FEATURES), keep=("feature",))
+    return rnd(SE.f_score(*_wide_train(spark, sf)).select("feature", "n", "f_score"), keep=("feature",))
 
 
-def f_score_top(spark, sf, n=3):
-    return rnd(SE.select_top(SE.f_score(_train(spark, sf), FEATURES), "f_score", n), keep=("feature",))
+def f_score_top(spark, sf, n=50):
+    return rnd(SE.select_top(SE.f_score(*_wide_train(spark, sf)), "f_score", n).select("feature", "n", "f_score"), keep=("feature",))
 
 
-def mutual_info_top(spark, sf, n=3):
-    return rnd(SE.select_top(SE.mutual_info(_train(spark, sf), FEATURES), "mutual_info", n), keep=("feature",))
+def mutual_info_top(spark, sf, n=50):
+    return rnd(SE.select_top(SE.mutual_info_binned(*_wide_train(spark, sf)), "mutual_info", n), keep=("feature",))
 
 
 def mutual_info(spark, sf):
+    return rnd(SE.mutual_info_binned(*_wide_train(spark, sf)), keep=("feature",))
+
+
+def mutual_info_ntile(spark, sf):
+    """Bins of equal size: rows of equal value are dealt over bins by series and date."""
     return rnd(SE.mutual_info(_train(spark, sf), FEATURES), keep=("feature",))
 
 
@@ -181,12 +213,11 @@ def inf_to_null(spark, sf):
 
 
 def quality_report(spark, sf):
-    f = signal_frame(spark, sf)
-    return rnd(CL.quality_report(f, FEATURES), keep=("feature",))
+    return rnd(CL.quality_report(*feature_frame(spark, sf)), keep=("feature",))
 
 
 def prepare_matrix(spark, sf):
-    return rnd(SE.prepare_matrix(_train(spark, sf), FEATURES))
+    return rnd(SE.prepare_matrix(*_wide_train(spark, sf)))
 
 
 def align_feature_columns(spark, sf):
@@ -248,10 +279,9 @@ def top_predictions(spark, sf, min_conf=0.55, n=50):
 
 
 def ks_drift(spark, sf):
-    f = signal_frame(spark, sf).filter(F.col("split").isin("train", "test"))
-    long = SE.to_long(f.select("ticker", "date", (F.col("split") == "test").cast("int").alias("sample"), *FEATURES),
-                      FEATURES, ["ticker", "date", "sample"])
-    return rnd(ME.ks_drift(long), keep=("feature",))
+    t, feats = feature_frame(spark, sf)
+    f = t.filter(F.col("split").isin("train", "test")).withColumn("sample", F.expr("int(split = 'test')"))
+    return rnd(ME.ks_drift(SE.to_long(f, feats, ["sample"])), keep=("feature",))
 
 
 # ---- registry / leaderboards ---------------------------------------------------------------------------
@@ -317,7 +347,7 @@ QUERIES = {
     "max_drawdown": max_drawdown, "sector_performance": sector_performance, "ticker_performance": ticker_performance,
     "box_stats": box_stats, "return_corr_matrix": return_corr_matrix, "rolling_vol_report": rolling_vol_report,
     "feature_corr_matrix": feature_corr_matrix, "top_features": top_features,
-    "corr_prune": corr_prune, "f_score": f_score, "mutual_info": mutual_info, "f_score_top": f_score_top, "mutual_info_top": mutual_info_top, "standardize": standardize,
+    "corr_prune": corr_prune, "f_score": f_score, "mutual_info": mutual_info, "f_score_top": f_score_top, "mutual_info_top": mutual_info_top, "mutual_info_ntile": mutual_info_ntile, "standardize": standardize,
     "feature_null_ratio": feature_null_ratio, "bfill_features": bfill_features, "median_impute": median_impute,
     "drop_sparse_features": drop_sparse_features, "inf_to_null": inf_to_null, "quality_report": quality_report,
     "prepare_matrix": prepare_matrix, "align_feature_columns": align_feature_columns,

@@ -183,7 +183,7 @@ for _p in (14, 28):
              (f"d5_{_p}", f"d4_{_p}", f"{sma(f'dx{_p}', _p)} AS trend_strength_{_p}")]
 O["adx"] = q("trend_strength_14, trend_strength_28", "d5_28", _stages(*_ADX))
 O["vol_regime_change"] = q(f"{div(std('r', 10), std('r', 50))} AS vol_regime_change", "v1", _stages(("v1", "bars", f"{pct('close')} AS r")))
-O["market_correlation"] = q(f"{corr('r', 'r', 60)} AS market_correlation", "v1", _stages(("v1", "bars", f"{pct('close')} AS r")))
+O["market_correlation"] = q(f"{corr('s', 'b', 60)} AS market_correlation", "x1", _stages(("x1", "rbars", f"{pct('close')} AS s, {pct('bclose')} AS b")), rel=True)
 
 # ---- interactions (rsi, volume_ratio, close_sma_20_ratio, macd, bb_position) --------------------
 _KEYS = ("rsi", "volume_ratio", "close_sma_20_ratio", "macd", "bb_position")
@@ -258,4 +258,35 @@ O["variance_explained"] = rq(cols(*[f"{div(cov('s', 'b', p) + ' * estimated_inde
 O["cum_excess"] = rq(f"trailing_excess, {running('+', 'trailing_excess')} AS cum_excess", "c1",
                      ("c1", "rbars", f"{pct('close', 5)} - {pct('bclose', 5)} AS trailing_excess"))
 
+
+
+def _engineered() -> tuple[list[str], str]:
+    """Names of the engineered columns and CTEs that end in ``feats``: every family query without its rounding, joined
+    on (ticker, date); of two columns of one name the first stays."""
+    from barlens.plans.feature_queries import ENGINEERED, QUERIES
+
+    names: list[str] = []
+    ctes, joins = "", []
+    for k, name in enumerate(ENGINEERED):
+        body = O[name][len(RB):] if O[name].startswith(RB) else O[name][len(B):]
+        body = body.replace("round(COLUMNS(* EXCLUDE (ticker, date)), 6)", "COLUMNS(* EXCLUDE (ticker, date))")
+        body = "WITH " + body[1:] if body.startswith(",") else body
+        own = [c for c in QUERIES[name].cols if c not in names]
+        names += own
+        ctes += f",\nq{k} AS MATERIALIZED (SELECT ticker, date, {', '.join(own)} FROM ({body}))"
+        joins.append(f"q{k}" if not k else f"JOIN q{k} USING (ticker, date)")
+    return names, ctes + f",\nfeats AS (SELECT ticker, date, {', '.join(names)} FROM {' '.join(joins)})"
+
+
+ENGINEERED_COLS, ENGINEERED_CTES = _engineered()
+_BASE = RB.replace("bars AS (", "bars AS MATERIALIZED (", 1).replace("market AS (", "market AS MATERIALIZED (", 1)
+FEATS = _BASE + ENGINEERED_CTES
+_ALL = "COLUMNS(* EXCLUDE (ticker, date))"
+O["feature_merge"] = FEATS + f""",
+filled AS (SELECT ticker, date, {', '.join(f'first_value({c} IGNORE NULLS) OVER w AS {c}' for c in ENGINEERED_COLS)} FROM feats
+           WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+stats AS (SELECT ticker, {', '.join(f'avg(CAST({c} IS NULL AS DOUBLE)) AS n_{c}, median({c}) AS m_{c}' for c in ENGINEERED_COLS)} FROM filled GROUP BY ticker)
+""" + rounded("SELECT filled.ticker, date, " + ", ".join(f"CASE WHEN n_{c} <= 0.5 THEN coalesce({c}, m_{c}) END AS {c}" for c in ENGINEERED_COLS)
+              + " FROM filled JOIN stats USING (ticker)")
+
 ORACLE = O

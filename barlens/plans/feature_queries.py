@@ -29,6 +29,7 @@ def _q(fn, cols, relative=False, ticker="p_type"):
         b = relative_bars(spark, sf, ticker) if relative else bars(spark, sf, ticker)
         return rnd(fn(b).select("ticker", "date", *cols))
     run.__doc__ = f"{getattr(fn, '__name__', fn)} -> {', '.join(cols)}"
+    run.cols = cols
     return run
 
 
@@ -109,7 +110,7 @@ QUERIES = {
     "mean_reversion": _q(A.mean_reversion, [c for p in A.MEAN_REVERSION_PERIODS for c in (f"mean_reversion_{p}", f"price_zscore_{p}")]),
     "adx": _q(A.adx, _p("trend_strength_{p}", A.ADX_PERIODS)),
     "vol_regime_change": _q(A.vol_regime_change, ["vol_regime_change"]),
-    "market_correlation": _q(A.market_correlation, ["market_correlation"]),
+    "market_correlation": _q(A.market_correlation, ["market_correlation"], True),
     # relative to the (as-of aligned) benchmark
     "index_ratio": _q(RL.index_ratio, ["stock_index_ratio", "stock_index_ratio_change"], True),
     "excess_return": _q(RL.excess_return, ["excess_return_1d"] + [c for p in RL.EXCESS_PERIODS for c in (f"excess_return_{p}d", f"relative_return_{p}d")], True),
@@ -131,3 +132,19 @@ QUERIES = {
     "variance_explained": _q(RL.variance_explained, _p("index_variance_explained_{p}d", RL.VAR_EXPLAINED_PERIODS), True),
     "cum_excess": _q(L.cum_excess, ["trailing_excess", "cum_excess"], True),
 }
+
+#: the queries whose columns make up the engineered table, in its order
+ENGINEERED = [
+    "basic_price", "price_ratios", "intraday_returns", "candle_shape", "multi_day_returns",
+    "sma", "ema", "rsi", "bollinger", "macd", "atr", "volume_sma", "obv", "stochastic", "cci", "williams_r",
+    "volume_change", "volume_ma", "vpt", "nvi", "price_volume_corr", "roc", "momentum", "acceleration", "rs_sma",
+    "volatility", "volatility_rank", "vol_ratio", "realized_vol", "vol_clustering",
+    "ma_trend", "price_ma_position", "trend_slope", "ma_convergence",
+    "momentum_cross", "vol_regime", "pvt", "vwap_deviation", "volume_momentum", "mean_reversion", "adx", "vol_regime_change", "market_correlation",
+    "index_ratio", "excess_return", "relative_volatility", "rolling_beta", "rolling_corr", "relative_strength", "volume_vs_index",
+    "index_weight", "volume_participation", "volume_spike", "vw_excess_return", "vw_correlation", "high_volume_corr",
+    "relative_momentum", "tracking_error", "information_ratio", "index_contribution", "variance_explained",
+]
+
+#: the columns of that table; of two of one name the first counts
+ENGINEERED_COLS = list(dict.fromkeys(c for name in ENGINEERED for c in QUERIES[name].cols))

@@ -15,6 +15,9 @@ FROM events GROUP BY 1, 2""", keep="ticker, bar_start")
 # the stream has seen all events, so its bars are the batch bars
 O["stream_bars"] = O["resample_bars"]
 
+# two fetches of the same events land once
+O["stream_dedup"] = "SELECT DISTINCT event_id, ts, event_type, value FROM events"
+
 # persistence round trips: what is read back equals what was written
 O["write_bars"] = BB + "\n" + rounded("SELECT * FROM bars")
 _F = ", ".join(FEATURES)

@@ -15,6 +15,7 @@ from barlens.functions.series import rnd
 from barlens.operators import clean as CL
 from barlens.operators import labels as L
 from barlens.operators import models as MD
+from barlens.operators import registry as RG
 from barlens.operators import select as SE
 from barlens.operators import split as S
 from barlens.operators.features.engineer import engineer
@@ -30,7 +31,7 @@ def feature_merge(spark, sf):
     reference fill chain."""
     b = SB.bars(spark, sf, "p_type")
     bench = SB.as_benchmark(SB.market_gappy(spark, sf))
-    return rnd(engineer(b, bench))
+    return rnd(engineer(b, bench, block_rows=1024))
 
 
 def resample_bars(spark, sf):
@@ -43,7 +44,7 @@ def stream_bars(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    return STR.stream_dedup(spark, sf)
+    return STR.stream_dedup(spark, sf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def _run_dir(spark, name):
@@ -180,6 +181,34 @@ def rfe(spark, sf, keep=50, step=1):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+def top_importance(spark, sf, n=20):
+    """The features a trained forest leans on most."""
+    return MD.top_features(feature_importance(spark, sf), n)
+
+
+SCALING_SIZES, SCALING_MODELS = (2, 4, 6), ("ridge", "elastic_net")
+
+
+def saved_models(spark, sf, sizes=SCALING_SIZES, names=SCALING_MODELS):
+    """Train every model on universes of growing size (the first n series), save each one and list the registry."""
+    f, feats = training_frame(spark, sf)
+    root = _run_dir(spark, "models")
+    universe = SB.universe(spark, sf, "p_type")
+    for n in sizes:
+        part = f.join(universe.where(F.col("ordinal") <= n).select("ticker"), "ticker", "leftsemi")
+        train, test = part.filter("split = 'train'"), part.filter("split = 'test'")
+        rows = train.count()
+        for name in names:
+            model = MD.fit(name, train, feats, rows)
+            MD.save_model(model, f"{root}/{name}_{n}stocks_v1.model", f"{root}/registry", name, MD.evaluate(model, test, name), len(feats), rows, n)
+    return MD.list_models(spark, f"{root}/registry")
+
+
+def train_scaling(spark, sf):
+    """Models trained anew for each universe size, compared through the registry of saved models."""
+    return RG.scaling_report(saved_models(spark, sf))
+
+
 def model_save_load(spark, sf):
     f, feats = training_frame(spark, sf)
     train = f.filter("split = 'train'")
@@ -195,8 +224,10 @@ def model_save_load(spark, sf):
 def score_universe(spark, sf, as_of=None):
     """The newest bar of every series as of a date, scored by a model of the training rows."""
     f, feats = training_frame(spark, sf, as_of)
-    m = MD.fit("logistic_regression", f.filter("split = 'train'"), feats)
-    return MD.score_universe(m, f.filter("split = 'score'"), feats, "logistic_regression", price="last_price")
+    train = f.filter("split = 'train'")
+    m = MD.fit("logistic_regression", train, feats)
+    bounds = MD.feature_bounds(train, feats)
+    return MD.score_universe(m, f.filter("split = 'score'"), feats, "logistic_regression", price="last_price", bounds=bounds)
 
 
 QUERIES = {
@@ -207,5 +238,6 @@ QUERIES = {
     "train_ridge": _train_one("ridge"), "train_random_forest": _train_one("random_forest"),
     "train_gbt": _train_one("gradient_boosting"), "train_svm": _train_one("svm"), "train_mlp": _train_one("mlp"),
     "train_all": train_all, "tune": tune, "feature_importance": feature_importance, "rfe": rfe,
+    "top_importance": top_importance, "saved_models": saved_models, "train_scaling": train_scaling,
     "model_save_load": model_save_load, "score_universe": score_universe, "score_rows": score_rows,
 }

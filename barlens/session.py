@@ -18,6 +18,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when its frame does
+    # no call site per column expression: wide projections are built several times as fast
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -58,32 +58,6 @@ def test_secrets_next_to_placeholders(spark):
         assert want and [h.removeprefix("sig=").removeprefix("=") for h in got[r.doc_id]] == want
 
 
-def test_rfe_drops_one_feature_a_refit(spark, monkeypatch):
-    from barlens.plans import pipeline_queries as PQ
-
-    feats, seen = [f"f{i}" for i in range(9)], []
-    monkeypatch.setattr(PQ, "training_frame", lambda spark, sf: (spark.createDataFrame([("train",)], "split string"), feats))
-    monkeypatch.setattr(PQ.MD, "fit", lambda name, train, cur, n: seen.append(len(cur)))
-    monkeypatch.setattr(PQ.MD, "feature_importance", lambda m, cur: spark.createDataFrame([(c, float(c[1:])) for c in cur], "feature string, importance double"))
-    assert sorted(r.feature for r in PQ.rfe(spark, "none", keep=3).collect()) == ["f6", "f7", "f8"]
-    assert seen == [9, 8, 7, 6, 5, 4]
-
-
-def test_tune_sees_every_engineered_feature(spark, monkeypatch):
-    from types import SimpleNamespace
-
-    class Param:
-        name = "regParam"
-
-    from barlens.plans import pipeline_queries as PQ
-
-    feats, seen = [f"f{i}" for i in range(9)], []
-    monkeypatch.setattr(PQ, "training_frame", lambda spark, sf: (spark.createDataFrame([("train",)], "split string"), feats))
-    monkeypatch.setattr(PQ.MD, "tune", lambda train, features, name, folds: seen.append(features) or SimpleNamespace(
-        getEstimatorParamMaps=lambda: [{Param(): 1.0}], avgMetrics=[0.5]))
-    assert PQ.tune(spark, "none").count() == 1 and seen == [feats]
-
-
 def test_decontamination_of_items_without_id_and_second_quotations(spark):
     rng = random.Random(6)
     say = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n))

@@ -20,7 +20,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     lost executor costs a reread, not a recomputation, and several consumers share one computation."""
     path = scratch_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a ``staged`` frame whose last reader has written its own."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +59,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     only fall, and equal labels across every edge are the components."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
     sym = staged(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    lab = staged(sym.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), f"{name}-0")
+    last = staged(sym.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), f"{name}-0")
+    lab = last
     for i in itertools.count(1):
         near = (sym.join(lab.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v")
                 .groupBy("u").agg(F.min("nl").alias("nl")))
@@ -62,6 +71,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         up = step.select(F.col("u").alias("m"), F.col("m").alias("ml"))
         nxt = staged(step.join(up, "m", "left").select("u", F.least("m", "ml").alias("l"),
                                                         (F.least("m", "ml") < F.col("l")).alias("moved")), f"{name}-{i}")
-        lab = nxt.select("u", "l")
+        discard(last)
+        last, lab = nxt, nxt.select("u", "l")
         if nxt.where("moved").isEmpty():
+            discard(sym)
             return lab.select(F.col("u").alias("node"), F.col("l").alias("root"))

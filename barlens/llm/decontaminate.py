@@ -3,7 +3,7 @@
 A text region within ``e`` edits of an item of length m shares at least ``m - q + 1 - q * e`` character
 q-grams with it, all inside a band of ``e + 1`` neighbouring diagonals (text position minus item position).
 Shared q-grams are counted in overlapping bands of twice that width, bands that reach the bound are kept, and
-a banded alignment confirms them.  Documents only pass through one map stage per block of items; the items'
+a banded alignment confirms them.  Items shorter than a q-gram are searched for as whole words, exactly.  Documents only pass through one map stage per block of items; the items'
 index of a block is bounded by ``block_chars`` and further items go to further blocks.
 """
 
@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,12 +30,14 @@ _BASE = 0x9E3779B97F4A7C15
 @dataclass(frozen=True)
 class Plan:
     """q: gram length.  rate: edits allowed per item character.  min_hits: least bound that counts as
-    evidence (short items get a smaller edit budget).  block_chars: item characters of one broadcast index."""
+    evidence (short items get a smaller edit budget).  block_chars: item characters of one broadcast index.
+    slice_hits: shared q-grams of a text that are counted at a time."""
 
     q: int = 10
     rate: float = 0.08
     min_hits: int = 6
     block_chars: int = 2_000_000
+    slice_hits: int = 500_000
 
     def budget(self, m: int) -> int:
         return max(0, min(int(self.rate * m), (m - self.q + 1 - self.min_hits) // self.q))
@@ -80,10 +83,13 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], plan: Plan):
         self.plan, self.ids, self.codes = plan, [], []
         hashes, item, place = [], [], []
+        short: dict[str, list[int | None]] = {}
         for i, text in items:
             codes, _ = normalised(text)
             g = grams(codes, plan.q)
-            if not len(g):  # shorter than a q-gram: no evidence to count
+            if not len(g):  # shorter than a q-gram: searched for as it is
+                if len(codes):
+                    short.setdefault(codes.tobytes().decode("utf-32-le", "surrogatepass"), []).append(i)
                 continue
             hashes.append(g)
             item.append(np.full(len(g), len(self.ids), np.int64))
@@ -100,11 +106,56 @@ class Index:
         self.bound = np.maximum(1, self.length - plan.q + 1 - plan.q * self.budget)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for word, ids in short.items():
+                self.short.add_word(word, (len(word), ids))
+            self.short.make_automaton()
+
+    def _exact(self, codes: np.ndarray, place: np.ndarray, first: bool) -> list[tuple[int | None, int, int, int]]:
+        """The short items in the text, as whole words; of one item, regions that overlap no earlier one."""
+        text = codes.tobytes().decode("utf-32-le", "surrogatepass")
+        out, done = [], {}
+        for last, (m, ids) in self.short.iter(text):
+            s, t = last - m + 1, last + 1
+            joined = (s and text[s - 1].isalnum() and text[s].isalnum()) or (t < len(text) and text[t].isalnum() and text[last].isalnum())
+            if joined or done.get(ids[0], 0) > s:
+                continue
+            done[ids[0]] = t
+            out += [(i, int(place[s]), int(place[t - 1]) + 1, 0) for i in ids]
+            if first:
+                break
+        return out
+
+    def _bands(self, at: np.ndarray, slot: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item and band, shared q-grams in it), counted in slices of the text's positions."""
+        n = self.count[slot]
+        upto = np.cumsum(n)
+        key, got = np.empty(0, np.int64), np.empty(0, np.int64)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + self.plan.slice_hits, "right")))
+            m = n[i:j]
+            post = np.repeat(self.first[slot[i:j]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            item = self.item[post]
+            band = (np.repeat(at[i:j], m) - self.place[post]) // (self.budget[item] + 1)
+            k, c = np.unique(item * (4 * span) + band + 2 * span, return_counts=True)
+            key, inverse = np.unique(np.concatenate([key, k]), return_inverse=True)
+            got = np.bincount(inverse, np.concatenate([got, c])).astype(np.int64)
+            i = j
+        return key, got
 
     def find(self, text: str | None, first: bool = False) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, end, edits) of every region per item that overlaps no better one of the item, in code
         points of ``text``; with ``first``, one region at most."""
         codes, place = normalised(text)
+        short = self._exact(codes, place, first) if self.short is not None and len(codes) else []
+        if first and short:
+            return short[:1]
+        return short + self._find(codes, place, first)
+
+    def _find(self, codes: np.ndarray, place: np.ndarray, first: bool) -> list[tuple[int | None, int, int, int]]:
         g = grams(codes, self.plan.q)
         if not len(g) or not len(self.keys):
             return []
@@ -114,13 +165,8 @@ class Index:
         at, slot = at[hit], slot[hit]
         if not len(at):
             return []
-        n = self.count[slot]
-        post = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[post]
-        step = self.budget[item] + 1
-        band = (np.repeat(at, n) - self.place[post]) // step
         span = len(codes) + int(self.length.max()) + 8
-        key, got = np.unique(item * (4 * span) + band + 2 * span, return_counts=True)
+        key, got = self._bands(at, slot, span)
         # a band of twice the step holds its own diagonals and those of the next narrow band
         nxt = np.searchsorted(key, key + 1)
         more = np.where((nxt < len(key)) & (key[np.minimum(nxt, len(key) - 1)] == key + 1), got[np.minimum(nxt, len(key) - 1)], 0)
@@ -203,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), id_
                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, start, end, edits``: the regions of each item in each text (code points, end exclusive)
     that overlap no better one of that item, a row per input row, item and region.  Empty or null texts and items
-    match nothing, and neither do items shorter than a q-gram; null ids of rows and items are carried along.  Other columns are ignored."""
+    match nothing; items shorter than a q-gram match as whole words only; null ids of rows and items are carried along.  Other columns are ignored."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -221,14 +267,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), id_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, plan: Plan = Plan(), text_col: str = "text", **names) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; nothing is shuffled."""
+    """``docs`` without the rows that hold a benchmark item; nothing is shuffled.  Rows with a null or empty text stay,
+    repeated rows and further columns as they are."""
     spark, kept = docs.sparkSession, docs
     for index in _blocks(benchmark, plan, names.get("item_id", "item_id"), names.get("item_text", "text")):
         shared = spark.sparkContext.broadcast(index)
+        kept = kept.where(_free_of(shared)(F.col(text_col).cast("string")))
+    return kept
 
-        @F.udf("boolean")
-        def free(text, shared=shared):
-            return not shared.value.find(text, first=True)
 
-        kept = kept.where(free(F.col(text_col).cast("string")))
-    return kept
+def _free_of(shared):
+    """A column function text -> whether it holds no item of the index."""
+    @F.pandas_udf("boolean")
+    def free(text: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.find(t, first=True) for t in text], dtype=bool)
+
+    return free

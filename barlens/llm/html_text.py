@@ -39,14 +39,79 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 class Block:
     text: str
     features: list[str]
+    marked: bool = False  # inside ``article`` or ``main``
+    foreign: bool = False  # inside a foreign container within that
+
+
+class _Open:
+    """The open elements, outermost first, with running counts: no step looks at all of them.  An inline element
+    that ends inside others leaves a gap, so places stay as they are."""
+
+    def __init__(self):
+        self.tags: list[str | None] = []
+        self.names: list[tuple[str, ...]] = []
+        self.places: dict[str, list[int]] = {}  # by tag
+        self.blocks: list[int] = []  # of elements that break a line
+        self.marked: list[int] = []
+        self.foreign: list[int] = []
+        self.features: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.tags)
+
+    def push(self, tag: str, attrs: str = "", silent: bool = False) -> None:
+        k = len(self.tags)
+        names, foreign = ((), False) if silent else _names(tag, attrs)
+        self.tags.append(tag)
+        self.names.append(names)
+        self.places.setdefault(tag, []).append(k)
+        if tag not in _INLINE:
+            self.blocks.append(k)
+        if tag in ("article", "main"):
+            self.marked.append(k)
+        if foreign:
+            self.foreign.append(k)
+        for f in names:
+            self.features[f] = self.features.get(f, 0) + 1
+
+    def _forget(self, k: int) -> None:
+        for f in self.names[k]:
+            if self.features[f] == 1:
+                del self.features[f]
+            else:
+                self.features[f] -= 1
+        for places in (self.places[self.tags[k]], self.blocks, self.marked, self.foreign):
+            if places and places[-1] == k:
+                places.pop()
+        self.tags[k], self.names[k] = None, ()
+
+    def cut(self, to: int) -> bool:
+        """Close everything from place ``to`` on; whether an element that breaks a line was among it."""
+        broke = bool(self.blocks) and self.blocks[-1] >= to
+        for k in range(len(self.tags) - 1, to - 1, -1):
+            if self.tags[k] is not None:
+                self._forget(k)
+        del self.tags[to:], self.names[to:]
+        return broke
+
+    def drop(self, k: int) -> None:
+        """Close the inline element at place ``k`` alone, the last one of its tag."""
+        self._forget(k)
+        while self.tags and self.tags[-1] is None:
+            self.tags.pop()
+            self.names.pop()
+
+    def last(self, tag: str) -> int | None:
+        places = self.places.get(tag)
+        return places[-1] if places else None
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order, character references decoded, white space inside as one space.  Scripts and
     style sheets go up to their end tag; other silent elements (``_SILENT``) to their end tag or, without one, to the
-    end of the element they stand in."""
+    end of the element they stand in.  Work grows with the page, however deep its elements are nested."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
@@ -61,14 +126,15 @@ def blocks(page: str | None) -> list[Block]:
             return
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, _features(stack, text, linked)))
+            marked = bool(stack.marked)
+            out.append(Block(text, _features(stack, text, linked), marked, marked and bool(stack.foreign) and stack.foreign[-1] > stack.marked[0]))
         parts.clear()
         linked = 0
 
     def speak(to: int) -> None:
         nonlocal hush
         if hush is not None and to <= hush:
-            del stack[hush:]
+            stack.cut(hush)
             hush = None
 
     def ended(name: str) -> bool:
@@ -78,15 +144,15 @@ def blocks(page: str | None) -> list[Block]:
 
     def close(to: int) -> None:
         speak(to)
-        if any(tag not in _INLINE for tag, _ in stack[to:]):
+        if stack.blocks and stack.blocks[-1] >= to:
             flush()
-        del stack[to:]
+        stack.cut(to)
 
     def say(piece: str) -> None:
         nonlocal linked
         if piece and hush is None:
             parts.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if stack.last("a") is not None:
                 linked += len(piece)
 
     while pos < n:
@@ -103,17 +169,15 @@ def blocks(page: str | None) -> list[Block]:
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in _INLINE:
-                        speak(k)
-                        del stack[k]
-                    else:
-                        close(k)
-                    break
-            else:
+            k = stack.last(name)
+            if k is None:
                 if name not in _INLINE:
                     flush()
+            elif name in _INLINE:
+                speak(k)
+                stack.drop(k)
+            else:
+                close(k)
             continue
         if name == "br":
             say(" ")
@@ -122,44 +186,49 @@ def blocks(page: str | None) -> list[Block]:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
+        attrs = m[3] or m[6] or ""
         if name in _SILENT:
             if name != "template":
                 flush()
-            if not _SELF_CLOSED.search(m[3] or m[6] or ""):
+            if not _SELF_CLOSED.search(attrs):
                 if hush is None:
                     hush, loose = len(stack), not ended(name)
-                stack.append((name, ()))
+                stack.push(name, silent=True)
             continue
         if name not in _INLINE:
             flush()
             gone = _CLOSES.get(name, {"p"} if name in _CLOSES_P else ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in gone:
+            for k in reversed(stack.blocks):  # it ends at the first that is no paragraph
+                if stack.tags[k] in gone:
                     close(k)
                     break
-                if stack[k][0] not in _INLINE and stack[k][0] != "p" and not (loose and k == hush):
+                if stack.tags[k] != "p" and not (loose and k == hush):
                     break
-        if name not in _VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
-            stack.append((name, _names(name, m[3] or m[6] or "")))
+        if name not in _VOID and not attrs.rstrip().endswith("/"):
+            stack.push(name, attrs)
     speak(0)
     flush()
     return out
 
 
-def _names(tag: str, attrs: str) -> tuple[str, ...]:
-    got = ["t:" + tag]
+def _names(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
+    """Features of an element, and whether it is a foreign container inside an article: by its tag, or by a whole
+    class, id or role (``site-title`` does not make ``site`` foreign)."""
+    got, tokens = ["t:" + tag], []
     if attrs:
         for a in _ATTR.finditer(attrs):
-            got += ["c:" + w for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-    return tuple(got)
+            value = (a[2] or a[3] or a[4] or "").lower()
+            got += ["c:" + w for w in _NAME.findall(value)]
+            tokens += value.split()
+        got += ["k:" + t for t in tokens if not t.isalpha()]
+    return tuple(dict.fromkeys(got)), tag in _FOREIGN_TAGS or not _FOREIGN.isdisjoint(tokens)
 
 
-def _features(stack: list, text: str, linked: int) -> list[str]:
-    up = dict.fromkeys(f for _, names in stack for f in names)
+def _features(stack: _Open, text: str, linked: int) -> list[str]:
     words = text.count(" ") + 1
-    own = next((tag for tag, _ in reversed(stack) if tag not in _INLINE), "none")
+    own = stack.tags[stack.blocks[-1]] if stack.blocks else "none"
     link = linked / max(len(text), 1)
-    return [*up, "o:" + own, f"w:{min(words.bit_length(), 7)}", "l:" + ("none" if not linked else "some" if link < 0.5 else "all"),
+    return [*stack.features, "o:" + own, f"w:{min(words.bit_length(), 7)}", "l:" + ("none" if not linked else "some" if link < 0.5 else "all"),
             "e:" + ("stop" if text[-1] in ".!?:;…\"”" else "open"), "s:" + ("copy" if "©" in text else "plain"), "bias"]
 
 
@@ -206,7 +275,6 @@ class Model:
         return " ".join(b.text for b, keep in zip(got, self.decode(got), strict=True) if keep)
 
 
-_MARKED = frozenset(("t:article", "t:main"))
 # fixed values: containers of the layouts, as (tag, attributes); {} takes nothing
 _ARTICLE = [("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("div", 'class="post-body"'), ("div", 'class="entry-content"'),
             ("section", 'class="article-body"'), ("div", 'class="story"'), ("div", 'role="main"'), ("article", 'class="post"'), ("div", 'class="text"'), ("div", 'itemprop="articleBody"'), ("div", 'id="article"')]
@@ -221,17 +289,15 @@ _AROUND = {
     "comments": [("section", 'class="comments"'), ("div", 'id="comments"'), ("ol", 'class="commentlist"'), ("div", 'class="comment"'), ("div", 'class="comment-thread"'), ("div", 'id="disqus-thread"'), ("section", 'id="discussion"'), ("div", 'class="replies"'), ("div", 'class="user-comments reviews"'), ("section", 'class="reader-comments"')],
     "footer": [("footer", ""), ("div", 'id="footer"'), ("div", 'class="footer"'), ("div", 'class="site-footer"'), ("div", 'class="copyright"'), ("div", 'class="legal"'), ("div", 'role="contentinfo"'), ("div", 'class="disclaimer"')],
 }
-#: class words of containers that are never part of an article, wherever they stand
-_FOREIGN = frozenset(f for places in _AROUND.values() for tag, attrs in places for f in _names(tag, attrs) if f not in ("t:div", "t:ul", "t:ol", "t:section", "t:header", "t:ins", "t:fieldset"))
+#: whole classes, ids and roles of these containers, and their tags: no part of an article that they stand in
+_FOREIGN = frozenset(t for places in _AROUND.values() for _, attrs in places for a in _ATTR.finditer(attrs) for t in (a[2] or "").lower().split())
+_FOREIGN_TAGS = frozenset(tag for places in _AROUND.values() for tag, _ in places) - frozenset("div ul ol section header ins fieldset".split())
 
 
 def own_labels(page: list[Block]) -> list[bool] | None:
-    """Labels of a page that marks its article itself: inside ``article`` or ``main``, but in no foreign container.
+    """Labels of a page that marks its article itself: inside ``article`` or ``main``, but in no foreign container there.
     None for pages that do not."""
-    marked = [bool(_MARKED & set(b.features)) for b in page]
-    if not any(marked):
-        return None
-    return [m and not (_FOREIGN & set(b.features)) for m, b in zip(marked, page, strict=True)]
+    return [b.marked and not b.foreign for b in page] if any(b.marked for b in page) else None
 
 
 def layout(body: list[str], other: list[str], rng: random.Random) -> tuple[list[Block], list[bool]]:

@@ -48,15 +48,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollup(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Totals after two batches: all documents come in, then exact copies (all but the smallest id of a text) go."""
-    docs = table(spark, sf_dir, "documents")
+    """Totals after four batches: all documents come in, texts with white space around them are revised to their trimmed
+    counts, the first batch arrives again (and changes nothing), and exact copies go (all but the smallest id of a text)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     store = token_rollup.Rollup(spark, scratch_path(spark, "llm", f"rollup-{uuid.uuid4().hex}"))
     version = vocabulary.rsplit("/", 1)[-1].split(".")[0]
-    store.commit("0001-load", token_rollup.with_tokens(docs, vocabulary).select(F.lit("upsert").alias("op"), "doc_id", "source", "lang", F.lit(version).alias("version"), "tokens"))
-    same = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-    first = same.groupBy("h", "n").agg(F.min("doc_id").alias("first"))
-    copies = same.join(first, ["h", "n"]).where("doc_id <> first").select(F.lit("delete").alias("op"), "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("version", "string"), ("tokens", "long"))])
-    store.commit("0002-copies", copies)
+    counted = lambda d: (token_rollup.with_tokens(d, vocabulary)
+                         .select(F.lit("upsert").alias("op"), "doc_id", F.xxhash64("text").alias("text_hash"), "source", "lang", F.lit(version).alias("version"), "tokens"))
+    store.commit("0001-load", counted(docs))
+    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
+    store.commit("0002-trim", counted(docs.where((F.col("text") != trimmed) & F.col("doc_id").isNotNull()).withColumn("text", trimmed)))
+    store.commit("0001-load", counted(docs))
+    same = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    first = same.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    copies = same.join(first, ["h", "n"]).where("doc_id <> first").select(F.lit("delete").alias("op"), "doc_id", F.col("h").alias("text_hash"), *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("version", "string"), ("tokens", "long"))])
+    store.commit("0003-copies", copies)
     return store.totals()
 
 

@@ -54,14 +54,15 @@ def _ranges(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
     return rows.withColumn("range", place("key", "tie") if splitters else F.lit(0))
 
 
-def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges_per_shard: int = 4, sample_per_range: int = 32,
+def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges_per_shard: int = 4, sample_per_range: int = 32, rows_per_range: int = 1_000_000,
           whole_group: float = 0.02, overfull: float = 2.0, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_hash, size, text_crc32, law, shard, slot, grown_shard``, one row per input row.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 16.  ``law``: ``bytes`` evens out sizes, ``rows`` counts.
     Equal texts of up to ``whole_group`` of a shard stay in one shard, larger groups are cut between records.
     ``slot`` numbers a shard's records from 0 without gaps.  Null ids sort first; an empty table has no row.
-    ``sample_per_range`` times the number of ranges bounds the sample on the driver.
+    There are ``ranges_per_shard`` ranges a shard, more if they would hold over ``rows_per_range`` rows on average;
+    ``sample_per_range`` times their number bounds the sample on the driver.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
@@ -70,8 +71,8 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "bytes", ranges_per_shar
     rows = rows.withColumns({"key": F.col("text_hash"), "tie": F.xxhash64(F.lit("tie"), "doc_id"),
                              "weight": (F.col("size") if law == "bytes" else F.lit(1).cast("long"))})
     rows = staged(rows, "shard-rows")
-    total = rows.agg(F.sum("weight")).first()[0] or 0
-    n_ranges = shards * ranges_per_shard
+    total, n_rows = rows.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
+    n_ranges = max(shards * ranges_per_shard, -(-n_rows // rows_per_range))
     splitters = _splitters(_draw(rows, n_ranges * sample_per_range, total, "first"), n_ranges)
     for r in range(rounds):
         dealt = _ranges(rows, splitters)

@@ -1,8 +1,8 @@
 """Token counts as delta-maintained rollups.
 
 Every committed batch of changes leaves two small tables in the store: ``deltas``, the signed totals by source,
-language and tokenizer version, and ``ledger``, the signed entries of its documents, from which a later delete or
-revision takes the counts it has to withdraw.  Totals are sums over the deltas of committed batches, so they are
+language and tokenizer version, and ``ledger``, the signed entries of its documents by buckets of their key, from which
+a later delete or revision takes the counts it has to withdraw.  Totals are sums over the deltas of committed batches, so they are
 additive and no document is counted again.  A batch is committed by the marker file that Spark's writer leaves last:
 a batch that was interrupted is written again, one that was committed is skipped, so commits are idempotent.
 """
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 # fixed value: the split pattern that belongs to the byte-level vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ["source", "lang", "version"]
-_LEDGER = "doc_id long, source string, lang string, version string, tokens long, sign int"
+_LEDGER = "key string, doc_id long, source string, lang string, version string, tokens long, rows long, bucket int"
+_BUCKETS = 64
 
 
 @lru_cache(maxsize=4)
@@ -65,7 +66,7 @@ class Rollup:
     path: str
 
     def _folder(self, kind: str, batch: str) -> str:
-        return f"{self.path}/{kind}/{batch}"
+        return f"{self.path}/{kind}/{batch}" if kind == "deltas" else f"{self.path}/{kind}/batch={batch}"
 
     def _has(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,31 +79,41 @@ class Rollup:
         names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(n for n in names if self._has(f"{self.path}/deltas/{n}/_SUCCESS"))
 
-    def ledger(self) -> DataFrame:
-        """The documents counted now: ``doc_id, source, lang, version, tokens``, one row each."""
+    def _entries(self, buckets: list[int] | None = None) -> DataFrame:
         parts = [self._folder("ledger", b) for b in self.batches()]
-        rows = self.spark.read.schema(_LEDGER).parquet(*parts) if parts else self.spark.createDataFrame([], _LEDGER)
-        return rows.groupBy("doc_id", *KEYS, "tokens").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+        rows = self.spark.read.option("basePath", f"{self.path}/ledger").schema(_LEDGER).parquet(*parts) if parts else self.spark.createDataFrame([], _LEDGER)
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """What is counted now: ``key, doc_id, source, lang, version, tokens, rows`` (equal rows as one, with their number)."""
+        got = self._entries(buckets).groupBy("key", "doc_id", *KEYS, "tokens").agg(F.sum("rows").alias("rows"))
+        return got.where("rows > 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (op, doc_id, source, lang, version, tokens) as the batch of that name; False when it
-        was committed before.  ``op``: ``upsert`` counts the document, withdrawing what was counted of it before;
-        ``delete`` withdraws it.  Deletes of unknown documents change nothing; of several changes of a document
-        in a batch the upsert with the most tokens holds, else the delete.  Rows without an id are ignored."""
+        """Apply ``changes`` (op, doc_id, text_hash, source, lang, version, tokens) as the batch of that name; False when
+        it was committed before.  ``op``: ``upsert`` rows of a document, all of them, are its new state: what was counted
+        of it before is withdrawn; ``delete`` withdraws it.  A document is all rows of an id, so rows that repeat an id
+        all count; rows without an id are documents by their text hash.  Deletes of unknown documents change nothing;
+        a document with both kinds of change in a batch is upserted.  Of the ledger only the buckets that the changes
+        fall into are read."""
         if self._has(f"{self._folder('deltas', batch)}/_SUCCESS"):
             return False
-        rows = changes.select(F.col("op") == "upsert", F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in KEYS], F.col("tokens").cast("long"))
-        rows = rows.toDF("up", "doc_id", *KEYS, "tokens").where("doc_id is not null")
-        last = rows.groupBy("doc_id").agg(F.max(F.struct("up", "tokens", *KEYS)).alias("c")).select("doc_id", "c.*")
-        new = last.where("up").select("doc_id", *KEYS, F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.lit(1).alias("sign"))
+        own = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("h"), F.coalesce(F.col("text_hash").cast("string"), F.lit(""))))
+        rows = changes.select((F.col("op") == "upsert").alias("up"), own.alias("key"), F.col("doc_id").cast("long").alias("doc_id"),
+                              *[F.col(c).cast("string").alias(c) for c in KEYS], F.coalesce(F.col("tokens").cast("long"), F.lit(0)).cast("long").alias("tokens"))
+        # equal rows are counted before anything else: copies without an id, however many, are one row
+        rows = rows.groupBy("up", "key", "doc_id", *KEYS, "tokens").agg(F.count("*").alias("rows")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(_BUCKETS)).cast("int"))
+        new = rows.where("up").drop("up")
         if self.batches():
-            old = self.ledger().join(last.select("doc_id"), "doc_id", "leftsemi").withColumn("sign", F.lit(-1))
+            touched = rows.select("key", "bucket").distinct()
+            buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most _BUCKETS
+            old = self.ledger(buckets).join(touched, "key").withColumn("rows", -F.col("rows"))
             new = new.unionByName(old)
-        new.write.mode("overwrite").parquet(self._folder("ledger", batch))
-        entries = self.spark.read.schema(_LEDGER).parquet(self._folder("ledger", batch))
+        new.write.mode("overwrite").partitionBy("bucket").parquet(self._folder("ledger", batch))
+        entries = self.spark.read.option("basePath", f"{self.path}/ledger").schema(_LEDGER).parquet(self._folder("ledger", batch))
         part = lambda keep, value: F.sum(F.when(keep, value).otherwise(0)).cast("long")
-        deltas = entries.groupBy(*KEYS).agg(part(F.col("sign") > 0, F.lit(1)).alias("docs_in"), part(F.col("sign") > 0, F.col("tokens")).alias("tokens_in"),
-                                            part(F.col("sign") < 0, F.lit(1)).alias("docs_out"), part(F.col("sign") < 0, F.col("tokens")).alias("tokens_out"))
+        n, t = F.col("rows"), F.col("rows") * F.col("tokens")
+        deltas = entries.groupBy(*KEYS).agg(part(n > 0, n).alias("docs_in"), part(n > 0, t).alias("tokens_in"), part(n < 0, -n).alias("docs_out"), part(n < 0, -t).alias("tokens_out"))
         deltas.write.mode("overwrite").parquet(self._folder("deltas", batch))
         return True
 

@@ -7,9 +7,11 @@ towards the next shorter one, down to the base rate; unseen word forms thus inhe
 
 A text is then one linear scan: the log-odds, less a drift, are summed into all maximal scoring segments.
 Segment scores follow an extreme-value law on clean text, ``P(S >= x) = 1 - exp(-K m exp(-lambda x))`` for m
-tokens; lambda and K are fitted on clean training texts, segments below the significance level are passages,
-and the best one's calibrated excess ``lambda S - ln(K m)`` is mapped to a probability.  Calibration scores
-each half of the sample by the counts of the other half.
+tokens; lambda and K are fitted on clean training texts, and segments below the significance level are passages.
+A text's excess is that of its best segment, ``lambda S - ln(K m)``, or of its best few together by the law of sums of
+such scores, and is mapped to a probability.  Calibration scores
+each text of the sample by the counts of all others: every unit of a text has counted it once, so its own count is
+taken off.  Counts are then as dense as those that score new texts, also in languages with few texts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from barlens.llm.common import staged
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: segments of a text that a sum takes at most
+_SUMMED = 12
 _PASSAGES = "array<struct<start:long,end:long,score:double,p_value:double>>"
 
 
@@ -56,8 +60,12 @@ class Model:
     table: dict[str, tuple[int, int]] = field(default_factory=dict)
     lam: float = 1.0
     log_k: float = 0.0
-    slope: float = 1.0
-    cut: float = 0.0
+    u: float = 0.0
+    rate: float = 0.0  # 0: every text has the probability ``base``
+    most: float = 1.0
+    scale: float = 1.0
+    odds: float = 0.0
+    own: tuple[int, int] = (0, 0)  # toxic and clean counts to take off every unit (a text of the sample scored by the others)
     memo: dict[str, float] = field(default_factory=dict)
 
     def token_score(self, token: str) -> float:
@@ -70,7 +78,12 @@ class Model:
                     if u[0] != "=":
                         break  # no longer prefix was seen either
                     continue
-                rate = (got[0] + p.prior * rate) / (got[0] + got[1] + p.prior)
+                toxic, clean = max(got[0] - self.own[0], 0), max(got[1] - self.own[1], 0)
+                if toxic + clean < p.least_texts:  # as if the table did not have it
+                    if u[0] != "=":
+                        break
+                    continue
+                rate = (toxic + p.prior * rate) / (toxic + clean + p.prior)
             rate = min(max(rate, 1e-6), 1 - 1e-6)
             s = math.log(rate / (1 - rate)) - math.log(self.base / (1 - self.base)) - p.drift
             if len(self.memo) > 100_000:
@@ -106,15 +119,32 @@ class Model:
     def excess(self, best: float, m: int) -> float:
         return self.lam * best - self.log_k - math.log(max(m, 1))
 
+    def together(self, scores: list[float], m: int) -> float:
+        """The excess of the best segments together: -ln P of the sum t of the r largest, P = exp(-t) t^(r-1) / (r! (r-1)!),
+        for the best r, each further one at the price of a factor of two."""
+        top, t = self.excess(scores[0] if scores else 0.0, m), 0.0
+        for r, s in enumerate(scores[:_SUMMED], 1):
+            x = self.excess(s, m)
+            if x <= 0:
+                break
+            t += x
+            if r > 1:
+                top = max(top, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2.0))
+        return top
+
     def probability(self, x: float) -> float:
-        return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, self.slope * (x - self.cut)))))
+        if not self.rate:
+            return self.base
+        y = min(max(x - self.u, 0.0), 700.0 / self.rate)
+        toxic = 0.5 * math.exp(-y / self.scale) / self.scale + (0.5 / self.most)
+        odds = self.odds * toxic / (self.rate * math.exp(-self.rate * y))
+        return odds / (1.0 + odds) * math.exp(max(self.rate * min(x - self.u, 0.0), -40.0))
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
         low = (text or "").lower()
         tokens = _TOKEN.findall(low)
         found = self.segments(tokens)
-        best = max((s for *_, s in found), default=0.0)
-        p = self.probability(self.excess(best, len(tokens)))
+        p = self.probability(self.together(_largest(found), len(tokens)))
         passages = []
         for a, b, s in found:
             x = self.excess(s, len(tokens))
@@ -146,64 +176,63 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "
     texts = rows.join(F.broadcast(sample), "id").withColumn("h", F.xxhash64("text"))
     # copies count once: their rare words would else look like evidence
     first = staged(texts.groupBy("h").agg(F.min("id").alias("id"), F.max("toxic").alias("toxic")), "toxic-sample")
-    texts = rows.join(F.broadcast(first.select("id", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half"))), "id").dropDuplicates(["id"])
+    texts = rows.join(F.broadcast(first.select("id", "toxic")), "id").dropDuplicates(["id"])
     texts = staged(texts, "toxic-texts")  # bounded by sample_rows
-    size = {(r.half, r.toxic): r["count"] for r in texts.groupBy("half", "toxic").count().collect()}
-    toxic, every = sum(n for (_, t), n in size.items() if t), sum(size.values())
+    size = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    toxic, every = size.get(1, 0), sum(size.values())
     model = Model(plan, base=toxic / every if every else 0.0)
     if not 0 < toxic < every:
-        model.slope, model.cut = 0.0, 0.0
         return _flat(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
         for b in batches:
-            for text, t, half in zip(b["text"], b["toxic"], b["half"], strict=True):
+            for text, t in zip(b["text"], b["toxic"], strict=True):
                 have = {u for w in set(_TOKEN.findall((text or "").lower())) for u in units(w, plan.prefixes)}
                 for u in have:
-                    seen.setdefault(u, [0, 0, 0, 0])[2 * half + (1 - t)] += 1
+                    seen.setdefault(u, [0, 0])[1 - t] += 1
             if len(seen) > 500_000:
                 yield _counts(seen)
                 seen = {}
         yield _counts(seen)
 
-    counts = (texts.select("text", "toxic", "half").mapInPandas(count, "unit string, t0 long, c0 long, t1 long, c1 long")
-              .groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
-              .where(f"t0 + c0 + t1 + c1 >= {plan.least_texts}"))
+    counts = (texts.select("text", "toxic").mapInPandas(count, "unit string, toxic long, clean long")
+              .groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(f"toxic + clean >= {plan.least_texts}"))
     pdf = counts.toPandas()  # bounded by the sample's vocabulary
-    cols = [pdf[c].tolist() for c in ("unit", "t0", "c0", "t1", "c1")]
-    model.table = {u: (a + c, b + d) for u, a, b, c, d in zip(*cols, strict=True)}
-    halves = [Model(plan, model.base, {u: (x, y) for u, x, y in zip(cols[0], cols[1 + 2 * h], cols[2 + 2 * h], strict=True) if x + y >= plan.least_texts}) for h in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast(halves)
+    model.table = {u: (t, c) for u, t, c in zip(pdf["unit"].tolist(), pdf["toxic"].tolist(), pdf["clean"].tolist(), strict=True)}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def crossed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, table = shared.value.base, shared.value.table
+        by_others = [Model(plan, base, table, own=own) for own in ((0, 1), (1, 0))]
         for b in batches:
             out = []
-            for text, t, half in zip(b["text"], b["toxic"], b["half"], strict=True):
-                m = shared.value[1 - half]
+            for text, t in zip(b["text"], b["toxic"], strict=True):
                 tokens = _TOKEN.findall((text or "").lower())
-                found = m.segments(tokens)
-                # the text's own tail: counts of positive and all token scores give lambda
-                out.append((t, len(tokens), max((s for *_, s in found), default=0.0), sum(m.token_score(w) for w in tokens)))
-            yield pd.DataFrame(out, columns=["toxic", "m", "best", "total"])
+                out.append((t, len(tokens), _largest(by_others[t].segments(tokens))))
+            yield pd.DataFrame(out, columns=["toxic", "m", "scores"])
 
-    got = texts.select("text", "toxic", "half").mapInPandas(crossed, "toxic int, m long, best double, total double").toPandas()
+    got = texts.select("text", "toxic").mapInPandas(others, "toxic int, m long, scores array<double>").toPandas()  # a few numbers per sampled text
     return _calibrate(model, got)
 
 
+def _largest(found: list[tuple[int, int, float]]) -> list[float]:
+    return sorted((s for *_, s in found), reverse=True)[:_SUMMED]
+
+
 def _counts(seen: dict[str, list[int]]) -> pd.DataFrame:
-    return pd.DataFrame([(u, *c) for u, c in seen.items()], columns=["unit", "t0", "c0", "t1", "c1"])
+    return pd.DataFrame([(u, *c) for u, c in seen.items()], columns=["unit", "toxic", "clean"])
 
 
 def _flat(model: Model) -> Model:
-    model.base = min(max(model.base, 1e-6), 1 - 1e-6)
-    model.slope, model.cut = 1e-9, -math.log(model.base / (1 - model.base)) / 1e-9
+    model.base, model.rate = min(max(model.base, 1e-6), 1 - 1e-6), 0.0
     return model
 
 
 def _calibrate(model: Model, got: pd.DataFrame) -> Model:
-    """lambda and K by maximum likelihood of the extreme-value law over the clean texts' best segments; then a
-    logistic fit of the label on the excess, over at most ``sample_rows`` numbers."""
+    """lambda and K by maximum likelihood of the extreme-value law over the clean texts' best segments; then the
+    probability of the label given the excess, from at most ``sample_rows`` numbers."""
+    got = got.assign(best=[max(s, default=0.0) for s in got["scores"]])
     clean = got[(got["toxic"] == 0) & (got["m"] > 0)]
     s, m = clean["best"].to_numpy(), clean["m"].to_numpy(float)
 
@@ -215,24 +244,23 @@ def _calibrate(model: Model, got: pd.DataFrame) -> Model:
     grid = np.exp(np.linspace(math.log(0.05), math.log(5.0), 60))
     model.lam = float(max(grid, key=lambda v: loglik(v)[0])) if len(s) else 1.0
     model.log_k = math.log(loglik(model.lam)[1]) if len(s) else 0.0
-    x = model.lam * got["best"].to_numpy() - model.log_k - np.log(np.maximum(got["m"].to_numpy(), 1))
-    y = got["toxic"].to_numpy(float)
-    scale = max(float(np.std(x)), 1e-6)
-    a, b = 0.0, 0.0
-    z = (x - np.mean(x)) / scale
-    for _ in range(60):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(a + b * z, -40, 40)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([np.sum(y - p) - 1e-3 * a, np.sum((y - p) * z) - 1e-2 * b])
-        h = np.array([[np.sum(w) + 1e-3, np.sum(w * z)], [np.sum(w * z), np.sum(w * z * z) + 1e-2]])
-        da, db = np.linalg.solve(h, g)
-        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-9))
-        a, b = a + step * da, b + step * db
-        if abs(da) + abs(db) < 1e-8:
-            break
-    if b <= 1e-9:
+    x = np.array([model.together(list(s), m) for s, m in zip(got["scores"], got["m"], strict=True)])
+    y = got["toxic"].to_numpy(int)
+    return _posterior(model, x[y == 0], x[y == 1])
+
+
+def _posterior(model: Model, clean: np.ndarray, toxic: np.ndarray) -> Model:
+    """Bayes' rule on the excess, from the clean texts' tail.  Beyond its 90th percentile ``u`` the clean excess falls off
+    exponentially (the law of exceedances, its rate from their median, which a few mislabelled texts do not move).  Toxic excesses, which differ widely between
+    languages and are low where words are rare, get a wide density over the same range: half exponential with their
+    median, half even up to the largest.  Below ``u`` the probability falls off with the excess."""
+    u = float(np.quantile(clean, 0.9))
+    over, hits = clean[clean > u] - u, toxic[toxic > u] - u
+    if len(over) < 5 or len(hits) < 2 or not hits.max() > 0:
         return _flat(model)
-    model.slope, model.cut = float(b / scale), float(np.mean(x) - a * scale / b)
+    model.u, model.rate = u, math.log(2.0) / max(float(np.median(over)), 1e-6)
+    model.most, model.scale = float(hits.max()), max(float(np.median(hits)) / math.log(2.0), 1e-6)
+    model.odds = model.base * len(hits) / len(toxic) / ((1.0 - model.base) * len(over) / len(clean))
     return model
 
 

@@ -254,15 +254,17 @@ def test_mixing(spark, corpus):
 def test_token_rollup(spark, tmp_path):
     rows = [(1, "one two", "en", "a"), (2, "three", "en", "a"), (3, None, None, None), (2, "three", "en", "a"), (None, "lost", "en", "a")]
     docs = documents(spark, rows).withColumn("tokens", F.length(F.coalesce("text", F.lit(""))).cast("long")).withColumn("version", F.lit("v1"))
-    pick = lambda op, where: docs.where(where).select(F.lit(op).alias("op"), "doc_id", "source", "lang", "version", "tokens")
+    pick = lambda op, where: docs.where(where).select(F.lit(op).alias("op"), "doc_id", F.xxhash64("text").alias("text_hash"), "source", "lang", "version", "tokens")
     store = token_rollup.Rollup(spark, str(tmp_path))
     assert store.totals().count() == 0
     assert store.commit("1", pick("upsert", "true")) and not store.commit("1", pick("upsert", "true"))
-    assert {(r.source, r.docs, r.tokens) for r in store.totals().collect()} == {("a", 2, 12), (None, 1, 0)}
+    assert {(r.source, r.docs, r.tokens) for r in store.totals().collect()} == {("a", 4, 21), (None, 1, 0)}
     store.commit("2", pick("delete", "doc_id = 1").unionByName(pick("upsert", "doc_id = 2").withColumn("version", F.lit("v2"))))
-    assert {(r.source, r.version, r.docs, r.tokens) for r in store.totals().collect()} == {("a", "v1", 0, 0), ("a", "v2", 1, 5), (None, "v1", 1, 0)}
+    assert {(r.source, r.version, r.docs, r.tokens) for r in store.totals().collect()} == {("a", "v1", 1, 4), ("a", "v2", 2, 10), (None, "v1", 1, 0)}
     store.commit("3", pick("delete", "doc_id = 1"))  # gone already
-    assert {(r.doc_id, r.version) for r in store.ledger().collect()} == {(2, "v2"), (3, "v1")}
+    assert {(r.doc_id, r.version) for r in store.ledger().collect()} == {(2, "v2"), (3, "v1"), (None, "v1")}
+    store.commit("4", pick("delete", "doc_id is null"))  # by its text
+    assert {(r.source, r.version, r.docs, r.tokens) for r in store.totals().collect()} == {("a", "v1", 0, 0), ("a", "v2", 2, 10), (None, "v1", 1, 0)}
 
 
 def test_decontamination(spark):

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.series import CUM, div, pct, std
+from barlens.session import checkpoint_dir
 
 TRADING_DAYS = 252
 RISK_FREE = 0.02
@@ -117,40 +119,72 @@ def histogram(df: DataFrame, value: str, bins: int, key: str | None = None) -> D
                         F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def unit_returns(bars: DataFrame, bench: DataFrame, bench_name: str = "SPY") -> DataFrame:
+    """``series, last, z``: per series (the benchmark has ``last`` = true) the daily returns, in date order, less their
+    mean and divided by the root of their squares, so that a correlation is the product of two such arrays.
+
+    Returns run between the dates on which every series has a close, and only dates on which every series has a return
+    count.  ``z`` is null without variance.  One bar per series and date, so an array is bounded by the calendar."""
+    checkpoint_dir(bars.sparkSession)
+    rows = bars.select("ticker", F.lit(False).alias("last"), "date", "close")
+    rows = rows.unionByName(bench.select(F.lit(bench_name).alias("ticker"), F.lit(True).alias("last"), "date", "close"))
+    rows = rows.checkpoint(eager=True)  # bars-sized; the trades behind it are read once
+    key, every = ["last", "ticker"], rows.select("last", "ticker").distinct().agg(F.count("*")).scalar()
+
+    def whole(t, value):  # the rows of dates on which each series has a value
+        full = t.groupBy("date").agg(F.count(value).alias("has")).where(F.col("has") == every).select("date")
+        return t.join(full, "date", "leftsemi")
+
+    before = F.lag("close").over(Window.partitionBy(*key).orderBy("date"))
+    r = whole(rows, "close").select(*key, "date", (F.try_divide("close", before) - 1).alias("r"))
+    g = whole(r, "r").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("date", "r"))).alias("x"), F.avg("r").alias("m"))
+    g = g.select(*key, F.expr("transform(x, e -> e.r - m)").alias("d"))
+    size = F.sqrt(F.expr("aggregate(d, 0D, (a, e) -> a + e * e)"))
+    return g.select(F.col("ticker").alias("series"), "last", F.when(size > 0, F.transform("d", lambda e: e / size)).alias("z"))
+
+
+def return_corr_matrix(bars: DataFrame, bench: DataFrame, threshold: float = 0.6, bench_name: str = "SPY",
+                       per_block: int = 256) -> DataFrame:
+    """Daily-return correlations of every ticker pair (and the benchmark) on the dates where all closes exist, with an
+    edge flag for ``|corr| >= threshold``; ``a`` before ``b`` by name, the benchmark last.
+
+    A blocked matrix product: series are dealt by hash over blocks of about ``per_block``, each pair of blocks is one
+    task's product, and a series travels once per block.  The universe never comes to the driver, a task holds two
+    blocks, and rows grow with the matrix that is asked for.  Correlations without variance are null."""
+    unit = unit_returns(bars, bench, bench_name).checkpoint(eager=True)
+    blocks = max(1, math.ceil(unit.count() / per_block))
+    own = F.pmod(F.xxhash64("last", "series"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    t = unit.withColumn("own", own).select("*", other.alias("other"))
+    t = t.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "last", "series", "z")
+
+    def product(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["last", "series"], ignore_index=True)
+        days = max((len(z) for z in part["z"] if z is not None), default=0)
+        none = np.full(days, np.nan)
+        z = np.stack([none if v is None else np.asarray(v, np.float64) for v in part["z"]])
+        inside = part["own"].to_numpy()
+        if key[0] == key[1]:
+            a, b = np.triu_indices(len(part), 1)
+            corr = (z @ z.T)[a, b] if days else np.full(len(a), np.nan)
+        else:
+            left, right = np.flatnonzero(inside == key[0]), np.flatnonzero(inside == key[1])
+            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+            corr = (z[left] @ z[right].T).ravel() if days else np.full(len(x), np.nan)
+            a, b = np.minimum(x, y), np.maximum(x, y)
+        names = part["series"].to_numpy()
+        return pd.DataFrame({"a": names[a], "b": names[b], "corr": corr})
+
+    out = t.groupBy("i", "j").applyInPandas(product, "a string, b string, corr double")
+    return out.select("a", "b", F.nanvl("corr", F.lit(None).cast("double")).alias("corr")).withColumn("edge", F.abs("corr") >= threshold)
+
+
 def _pair_corr(x: str, y: str):
     xj = F.when(F.col(y).isNotNull(), F.col(x))
     yj = F.when(F.col(x).isNotNull(), F.col(y))
     return F.try_divide(F.covar_samp(xj, yj), F.stddev_samp(xj) * F.stddev_samp(yj))
 
 
-def corr_long(wide: DataFrame, cols: list[str], names: list[str] | None = None) -> DataFrame:
-    """Pairwise (pairwise-complete) correlations of ``cols`` as a long table (a, b, corr), a < b.
-
-    One aggregate pass with one covariance/sigma triple per pair (map-side partial aggregation);
-    no row is ever replicated per pair."""
-    names = names or cols
-    pairs = list(combinations(range(len(cols)), 2))
-    one = wide.agg(*[_pair_corr(cols[i], cols[j]).alias(f"p{i}_{j}") for i, j in pairs])
-    st = F.explode(F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"p{i}_{j}").alias("corr"))
-                             for i, j in pairs]))
-    return one.select(st.alias("r")).select("r.*")
-
-
-def return_corr_matrix(bars: DataFrame, bench: DataFrame, tickers: list[str], threshold: float = 0.6,
-                       bench_name: str = "SPY") -> DataFrame:
-    """Daily-return correlations of every ticker pair (and the benchmark) on the dates where all
-    closes exist, with an edge flag for |corr| >= threshold.  ``tickers`` is the universe dimension
-    (its size bounds the pivot width)."""
-    wide = bars.groupBy("date").pivot("ticker", tickers).agg(F.first("close"))
-    wide = wide.join(F.broadcast(bench.select("date", F.col("close").alias(bench_name))), "date").na.drop()
-    names = list(tickers) + [bench_name]
-    w = Window.orderBy("date")
-    rets = wide.select("date", *[(F.try_divide(F.col(f"`{c}`"), F.lag(f"`{c}`", 1).over(w)) - 1).alias(f"r{i}")
-                                 for i, c in enumerate(names)]).na.drop()
-    out = corr_long(rets, [f"r{i}" for i in range(len(names))], names)
-    return out.select("*", (F.abs(F.col("corr")) >= threshold).alias("edge"))
-
-
 def feature_target_corr(df: DataFrame, features: list[str], target: str = "outperforms") -> DataFrame:
     one = df.agg(*[_pair_corr(c, target).alias(c) for c in features])
     return one.unpivot([], features, "feature", "corr").select("feature", "corr", F.abs("corr").alias("abs_corr"))

@@ -168,26 +168,25 @@ def select_top(scores: DataFrame, score: str, n: int, name: str = "feature") ->
     return scores.orderBy(round_half_away(score, 9).desc_nulls_last(), name).limit(n)
 
 
-def standardize(df: DataFrame, features: list[str], fit_filter=None) -> DataFrame:
-    """(x - mean) / sigma with sigma of ddof 0 fitted on ``fit_filter`` rows (e.g. the train split);
-    sigma = 0 becomes 1.
-
-    Fit/transform like MLlib's scaler: one aggregate pass computes every mean and sigma, the fitted
-    parameters (two numbers per feature) come back to the driver, and the transform is a projection
-    with literals -- no per-feature subquery re-running the input plan."""
+def fit_scale(df: DataFrame, features: list[str], fit_filter=None) -> dict[str, tuple[float | None, float]]:
+    """``feature -> (mean, sigma)`` over the ``fit_filter`` rows: one aggregate pass, two numbers per feature come to
+    the driver.  Sigma has ddof 0; a sigma of 0 (or none) is 1, a mean without any value is None."""
     fit = df.filter(fit_filter) if fit_filter is not None else df
     st = fit.agg(*[F.avg(c).alias(f"mu_{i}") for i, c in enumerate(features)],
                  *[F.stddev_pop(c).alias(f"sd_{i}") for i, c in enumerate(features)]).first()
-    pos = {c: i for i, c in enumerate(features)}
-    out = []
-    for c in df.columns:
-        if c in pos:
-            mu, sd = st[f"mu_{pos[c]}"], st[f"sd_{pos[c]}"]
-            sd = 1.0 if sd is None or sd == 0 else sd
-            out.append(((F.col(c) - F.lit(mu)) / F.lit(sd)).alias(c) if mu is not None else F.col(c).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    return {c: (st[f"mu_{i}"], st[f"sd_{i}"] or 1.0) for i, c in enumerate(features)}
+
+
+def apply_scale(df: DataFrame, scale: dict[str, tuple[float | None, float]]) -> DataFrame:
+    """``(x - mean) / sigma`` of the columns in ``scale`` (unchanged where the mean is None), a projection with literals:
+    no per-feature subquery runs the input plan again."""
+    z = lambda c, mu, sd: F.col(c) if mu is None else (F.col(c) - F.lit(mu)) / F.lit(sd)
+    return df.select(*[z(c, *scale[c]).alias(c) if c in scale else F.col(c) for c in df.columns])
+
+
+def standardize(df: DataFrame, features: list[str], fit_filter=None) -> DataFrame:
+    """(x - mean) / sigma, fitted on ``fit_filter`` rows (e.g. the train split)."""
+    return apply_scale(df, fit_scale(df, features, fit_filter))
 
 
 def align_feature_columns(df: DataFrame, trained: list[str], keys: list[str]) -> DataFrame:
@@ -200,6 +199,12 @@ def align_feature_columns(df: DataFrame, trained: list[str], keys: list[str]) ->
     return df.selectExpr(*keys, *[f"coalesce(cast(`{c}` AS double), double('{med[c] if med[c] is not None else 0.0!r}')) AS `{c}`" if c in med else f"0.0D AS `{c}`" for c in trained])
 
 
+def model_rows(df: DataFrame, trained: list[str], scale: dict[str, tuple[float | None, float]], keys: list[str]) -> DataFrame:
+    """Raw feature rows as input of a model fitted on ``trained`` columns scaled by ``scale``: columns that ``df`` lacks
+    (those of a benchmark that cannot be had) are 0 and nulls the column's median, then all are scaled alike."""
+    return apply_scale(align_feature_columns(df, trained, keys), {c: scale[c] for c in trained}).fillna(0.0, trained)
+
+
 def prepare_matrix(df: DataFrame, features: list[str]) -> DataFrame:
     """Drop keys, map +-inf/NaN to NULL, fill with the global column median."""
     from barlens.operators.clean import inf_to_null, median_impute

@@ -118,8 +118,7 @@ def box_stats(spark, sf):
 
 
 def return_corr_matrix(spark, sf):
-    tick = [r.ticker for r in SB.universe(spark, sf, "p_type").orderBy("ordinal").collect()]  # dimension names
-    return rnd(RP.return_corr_matrix(SB.bars(spark, sf, "p_type"), SB.market_bars(spark, sf), tick), keep=("a", "b"))
+    return rnd(RP.return_corr_matrix(SB.bars(spark, sf, "p_type"), SB.market_bars(spark, sf)), keep=("a", "b"))
 
 
 def rolling_vol_report(spark, sf):

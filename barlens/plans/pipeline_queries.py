@@ -103,11 +103,22 @@ def training_frame(spark, sf, as_of=None, min_rows=50):
     source = ST.fingerprint(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
     path = scratch_path(spark, "training", spark.sparkContext.applicationId, f"{source}-{as_of}-{min_rows}")
     if not ST.exists(spark, f"{path}/_SUCCESS"):
-        _training_table(spark, sf, as_of, min_rows).write.mode("overwrite").parquet(path)
+        t, scale = _training_table(spark, sf, as_of, min_rows)
+        rows = spark.createDataFrame([(c, *v) for c, v in scale.items()], "feature string, mean double, sigma double")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}-scale")  # a row per column, before the table it belongs to
+        t.write.mode("overwrite").parquet(path)
     t = spark.read.parquet(path)
     return t, [c for c in t.columns if c not in _NOT_FEATURES]
 
 
+def training_scale(spark, sf, as_of=None, min_rows=50):
+    """``feature -> (mean, sigma)`` that the table of ``training_frame`` is scaled by."""
+    training_frame(spark, sf, as_of, min_rows)
+    source = ST.fingerprint(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
+    rows = spark.read.parquet(scratch_path(spark, "training", spark.sparkContext.applicationId, f"{source}-{as_of}-{min_rows}-scale"))
+    return {r["feature"]: (r["mean"], r["sigma"]) for r in rows.collect()}  # a row per column
+
+
 _NOT_FEATURES = ("ticker", "date", "last_price", "n_rows", "outperforms", "split")
 
 
@@ -128,7 +139,8 @@ def _training_table(spark, sf, as_of, min_rows):
     med = t.filter("split <> 'score'").groupBy("split").agg(*[F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in feats])
     t = t.join(F.broadcast(med), "split", "left")  # three rows
     u = t.select("ticker", "date", "last_price", "n_rows", "outperforms", "split", *[F.coalesce(c, f"m_{c}").alias(c) for c in feats])
-    return SE.standardize(u, feats, F.col("split") == "train").fillna(0.0, feats)
+    scale = SE.fit_scale(u, feats, F.col("split") == "train")
+    return SE.apply_scale(u, scale).fillna(0.0, feats), scale
 
 
 def newest_rows(spark, sf, as_of=None, min_rows=50):
@@ -230,6 +242,21 @@ def score_universe(spark, sf, as_of=None):
     return MD.score_universe(m, f.filter("split = 'score'"), feats, "logistic_regression", price="last_price", bounds=bounds)
 
 
+def score_no_benchmark(spark, sf, as_of=None, min_rows=50):
+    """``score_universe`` when no benchmark can be had: the model is the same, the newest rows are engineered from the
+    series alone, and what needs the benchmark is 0 before scaling."""
+    f, feats = training_frame(spark, sf, as_of, min_rows)
+    train = f.filter("split = 'train'")
+    m = MD.fit("logistic_regression", train, feats)
+    bars = SB.bars(spark, sf, "p_type", end=as_of)
+    long = bars.groupBy("ticker").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= min_rows).select("ticker")
+    alone = engineer(bars, fill_mode="none")
+    newest = MD.latest_rows(alone).join(long, "ticker", "leftsemi").withColumn("last_price", F.col("close"))
+    newest = CL.inf_to_null(newest, alone.columns).checkpoint(eager=True)  # a row per series
+    rows = SE.model_rows(newest, feats, training_scale(spark, sf, as_of, min_rows), ["ticker", "date", "last_price"])
+    return MD.score_universe(m, rows, feats, "logistic_regression", price="last_price", bounds=MD.feature_bounds(train, feats))
+
+
 QUERIES = {
     "feature_merge": feature_merge, "resample_bars": resample_bars, "stream_bars": stream_bars,
     "stream_dedup": stream_dedup, "write_bars": write_bars, "write_processed": write_processed,
@@ -239,5 +266,5 @@ QUERIES = {
     "train_gbt": _train_one("gradient_boosting"), "train_svm": _train_one("svm"), "train_mlp": _train_one("mlp"),
     "train_all": train_all, "tune": tune, "feature_importance": feature_importance, "rfe": rfe,
     "top_importance": top_importance, "saved_models": saved_models, "train_scaling": train_scaling,
-    "model_save_load": model_save_load, "score_universe": score_universe, "score_rows": score_rows,
+    "model_save_load": model_save_load, "score_universe": score_universe, "score_no_benchmark": score_no_benchmark, "score_rows": score_rows,
 }

@@ -163,3 +163,49 @@ def test_stream_state_is_compacted_and_repeats_days_apart_land_once(spark, tmp_p
     STR.stream_bars(spark, str(src), f"b-{name}").count()
     out = scratch_path(spark, "streams", f"b-{name}")
     assert STR._numbers(spark, f"{out}/data") == [] and len(STR._numbers(spark, f"{out}/state")) == 1
+
+
+@pytest.mark.parametrize("per_block", [1, 2, 256])
+def test_return_correlations_do_not_depend_on_blocks(spark, per_block):
+    rng = np.random.default_rng(8)
+    price = {t: 100 * np.cumprod(1 + rng.normal(0, 0.02, 40)) for t in ("B", "A", "SPY", "C")}
+    price["A"] = price["B"] * 3.0
+    price["flat"] = np.full(40, 7.0)
+    bench = 50 * np.cumprod(1 + rng.normal(0, 0.02, 40))
+    rows = [r for t, v in price.items() for r in closes(spark, t, v) if (t, r[1]) != ("C", 11)]  # a date that one series lacks
+    bars = make_bars(spark, rows).repartition(3)
+    market = make_bars(spark, closes(spark, "M", bench)).select("date", "close")
+    rows = reports.return_corr_matrix(bars, market, bench_name="SPY", per_block=per_block).collect()
+    got = {(r.a, r.b): (r["corr"], r.edge) for r in rows}
+    wide = pd.DataFrame({**price, "market": bench}).drop(index=11).pct_change().dropna()
+    want = wide.corr()
+    # the benchmark bears the name of a series here; it comes last, and the series keeps its own rows
+    assert len(rows) == 15 and len(got) == 12 and ("A", "B") in got and got[("A", "B")] == (pytest.approx(1.0), True)
+    for (a, b), (c, edge) in got.items():
+        if "flat" in (a, b):
+            assert c is None and edge is None
+        elif b != "SPY" and a != "SPY":
+            assert c == pytest.approx(want.loc[a, b]) and edge == (abs(want.loc[a, b]) >= 0.6)
+
+
+def test_return_correlations_of_nothing(spark):
+    assert reports.return_corr_matrix(make_bars(spark, []), make_bars(spark, []).select("date", "close")).collect() == []
+
+
+def test_rows_without_a_benchmark_take_zero_before_scaling(spark):
+    df, cols = _labelled(spark)
+    scale = select.fit_scale(df, cols)
+    lacking = df.drop("f5").withColumn("f4", F.when(F.col("ticker") != "T0", F.col("f4")))
+    got = select.model_rows(lacking, cols, scale, ["ticker", "date"])
+    assert got.columns == ["ticker", "date", *cols]
+    mu, sd = scale["f5"]
+    one = got.agg(F.min("f5").alias("lo"), F.max("f5").alias("hi"), F.stddev_pop("f0").alias("s"), F.count("f4").alias("n")).first()
+    assert one.lo == one.hi == pytest.approx(-mu / sd) and one.s == pytest.approx(1.0) and one.n == 200
+    middle = lacking.agg(F.percentile("f4", 0.5)).first()[0]
+    assert got.where("ticker = 'T0'").first().f4 == pytest.approx((middle - scale["f4"][0]) / scale["f4"][1])
+
+
+def test_scale_of_constant_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (3.0, 2.0, None)], "a double, b double, c double")
+    assert select.fit_scale(df, list("abc")) == {"a": (2.0, 1.0), "b": (2.0, 1.0), "c": (None, 1.0)}
+    assert [tuple(r) for r in select.standardize(df, list("abc")).orderBy("a").collect()] == [(-1.0, 0.0, None), (1.0, 0.0, None)]

@@ -61,9 +61,9 @@ def feature_frame(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     source = ST.fingerprint(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet")
     path = scratch_path(spark, "features", spark.sparkContext.applicationId, source)
     if not ST.exists(spark, f"{path}/_SUCCESS"):
-        b = SB.bars(spark, sf, "p_type")
-        f = engineer(b, SB.as_benchmark(SB.market_gappy(spark, sf)), fill_mode="none")
-        lab = S.chrono_split(L.labels(b, SB.market_bars(spark, sf))).select("ticker", "date", "outperforms", "split")
+        b, market = SB.bars_and_market(spark, sf, "p_type")
+        f = engineer(b, SB.as_benchmark(market.filter(F.weekday("date") < 5)), fill_mode="none")
+        lab = S.chrono_split(L.labels(b, market)).select("ticker", "date", "outperforms", "split")
         f.join(lab, ["ticker", "date"]).write.mode("overwrite").parquet(path)
     t = spark.read.parquet(path)
     return t, ENGINEERED_COLS
